@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import encoding
 from tessera.llm.components import connected_components
 from tessera.llm.cutoff import DyadicCountTree
 from tessera.llm.topn import top_n
@@ -51,7 +52,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges, "left_market_id", "right_market_id").select(F.col("group").alias("group_id"), F.col("vertex").alias("market_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p5_found": p5_found}
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encoding.restore(docs, encoding.fit_on(docs)).filter("damaged")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restored(spark, sf_dir).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restored(spark, sf_dir).select("doc_id", "restored", "chains")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _CURRENT = """
 c as (select * from (select *, row_number() over (partition by left_venue, left_market_id, right_venue, right_market_id
