@@ -70,3 +70,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def spread(df: DataFrame, by: str, per_core: int = 3) -> DataFrame:
+    """For stages that take much CPU a row: where the input has fewer partitions than there are cores (a few large files),
+    its rows are dealt out by a hash of ``by``. Large inputs have partitions enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(per_core * cores, by)
