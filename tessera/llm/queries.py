@@ -9,6 +9,7 @@ from tessera.llm import encoding
 from tessera.llm.components import connected_components
 from tessera.llm.cutoff import DyadicCountTree
 from tessera.llm.leakage import find_leaks
+from tessera.llm.packing import pack, token_counts
 from tessera.llm.topn import top_n
 from tessera.operators.links import current_links, label, score_value
 from tessera.shared import Scratch, small, table
@@ -53,6 +54,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges, "left_market_id", "right_market_id").select(F.col("group").alias("group_id"), F.col("vertex").alias("market_id"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents")), 2048)
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -74,7 +79,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _restored(spark, sf_dir).select("doc_id", "restored", "chains")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _CURRENT = """
 c as (select * from (select *, row_number() over (partition by left_venue, left_market_id, right_venue, right_market_id
