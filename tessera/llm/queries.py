@@ -9,6 +9,7 @@ from tessera.llm import encoding
 from tessera.llm.components import connected_components
 from tessera.llm.cutoff import DyadicCountTree
 from tessera.llm.leakage import find_leaks
+from tessera.llm.linkage import link
 from tessera.llm.packing import pack, token_counts
 from tessera.llm.topn import top_n
 from tessera.operators.links import current_links, label, score_value
@@ -48,6 +49,15 @@ def p2_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.select(F.col("source").alias("topic"), F.col("total").alias("n_links"), "cutoff", F.col("kept").alias("n_kept"))
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = link(table(spark, sf_dir, "markets")).pairs.filter("agrees and confidence >= 0.5")
+    return found.select("market_id_a", "market_id_b", "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs(spark, sf_dir).select("market_id_a", "market_id_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = current_links(table(spark, sf_dir, "market_links"), keep=("status",))
     edges = links.filter(label(F.col("status")) == "CONFIRMED").select("left_market_id", "right_market_id")
@@ -79,7 +89,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _restored(spark, sf_dir).select("doc_id", "restored", "chains")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _CURRENT = """
 c as (select * from (select *, row_number() over (partition by left_venue, left_market_id, right_venue, right_market_id
