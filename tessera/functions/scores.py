@@ -78,4 +78,4 @@ def time_bucket(ts: Column, seconds: int) -> Column:
 
 def from_epoch(x: Column) -> Column:
     """A timestamp from a number of seconds, or of milliseconds where it is above 1e12."""
-    return F.timestamp_millis(F.when(x > 1_000_000_000_000, x).otherwise(x * 1000).cast("long"))
+    return F.timestamp_millis(F.when(x > 1_000_000_000_000, x.cast("long")).otherwise((x.cast("double") * 1000).cast("long")))

@@ -79,7 +79,7 @@ def is_intraday_ticker(c: Column) -> Column:
 
 
 def is_dated_ticker(c: Column) -> Column:
-    return F.coalesce(F.upper(c).rlike("[0-9]{2}[A-Z]{3}[0-9]{0,2}$"), F.lit(False)) & ~is_intraday_ticker(c)
+    return F.coalesce(ticker(c).rlike("[0-9]{2}[A-Z]{3}[0-9]{0,2}$"), F.lit(False)) & ~is_intraday_ticker(c)
 
 
 def season_of_ticker(c: Column) -> Column:

@@ -66,7 +66,7 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         return pd.DataFrame(out, columns=["l", "r", "score"])
 
     kinds = ", ".join(f"{c} {dict(left.dtypes)[c]}" for c in ("l", "r", "score"))
-    out = left.groupBy(F.lit(1)).applyInPandas(one_by_one, kinds)
+    out = left.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one_by_one, kinds)
     for t in taken:
         out = out.unionByName(t)
     return out

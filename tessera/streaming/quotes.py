@@ -68,7 +68,7 @@ def dedup_stateful(stream: DataFrame, epsilon: float = EPSILON, interval: int =
 
 def tumbling_counts(events: DataFrame, ts: str, width: str, late: str = "1 hour", *by: str) -> DataFrame:
     """Counts per window; in a stream, windows close ``late`` after their end and later rows are dropped."""
-    rows = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    rows = events.withColumn("_ts", F.col(ts))
     if events.isStreaming:
         rows = rows.withWatermark("_ts", late)
     return rows.groupBy(F.window("_ts", width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
