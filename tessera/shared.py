@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +80,23 @@ def spread(df: DataFrame, by: str, per_core: int = 3) -> DataFrame:
     its rows are dealt out by a hash of ``by``. Large inputs have partitions enough and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(per_core * cores, by)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so that Python stages need no path set on them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    root = shared_dir(spark).removeprefix("file://")
+    folder = root if root.startswith("/") else tempfile.mkdtemp(prefix="tessera-")  # Spark's file server hands it out from there
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/tessera-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path(package.name) / f.relative_to(package))
+    sc.addPyFile(path)
