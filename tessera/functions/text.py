@@ -85,3 +85,57 @@ def is_dated_ticker(c: Column) -> Column:
 def season_of_ticker(c: Column) -> Column:
     """The part of a ticker before its first date-like part."""
     return F.regexp_extract(ticker(c), "^([A-Z0-9]+?)(?:-|$)", 1)
+
+
+# Words that say on which side of a number, or that somebody wins.
+AT_LEAST_WORDS = ("above", "over", "exceed", "exceeds", "exceeding", "reach", "reaches", "reaching", "hit", "hits", "at least", "greater than", "more than", "higher than", "surpass", "surpasses", "top", "tops")
+AT_MOST_WORDS = ("below", "under", "less than", "at most", "lower than", "fall below", "falls below", "drop below", "drops below", "not exceed", "not reach", "fail to reach")
+WIN_WORDS = ("win", "wins", "winning", "winner", "beat", "beats", "defeat", "defeats", "elected", "election winner", "victory", "champion", "champions", "championship")
+BETWEEN = r"between\s+\$?[0-9,]+\s+and\s+\$?[0-9,]+|from\s+\$?[0-9,]+\s+to\s+\$?[0-9,]+|\$?[0-9,]+\s*[-–]\s*\$?[0-9,]+|\$?[0-9,]+\s+to\s+\$?[0-9,]+"
+
+
+def comparator(title: Column, whole_words: bool = False) -> Column:
+    """BETWEEN, GE, LE, WIN or UNKNOWN, in this order. By default a word counts wherever its letters stand ("government" has
+    "over" in it), as existing links were made so; ``whole_words`` mends that."""
+    t = F.lower(title)
+
+    def has(words: tuple[str, ...]) -> Column:
+        p = "|".join(words)
+        return t.rlike(f"(^|[^a-z0-9_])({p})([^a-z0-9_]|$)" if whole_words else p)
+
+    return F.when(t.rlike(BETWEEN), "BETWEEN").when(has(AT_LEAST_WORDS), "GE").when(has(AT_MOST_WORDS), "LE").when(has(WIN_WORDS), "WIN").otherwise("UNKNOWN")
+
+
+def numbers(title: Column) -> Column:
+    """Numbers of a title, distinct and rising. k, m, b, t and the words for them multiply. Left out: numbers below 1, years
+    (1900 to 2100), 1 to 31 without a dollar sign, multiplier or percent sign, and days after a month's name."""
+    t = F.regexp_replace(F.lower(title), r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{1,2}(?![0-9,.])", " ")
+    part = lambda k: F.regexp_extract_all(t, F.lit(r"(\$?)([0-9][0-9,]*(?:\.[0-9]+)?)(k|m|b|t|\s*thousand|\s*million|\s*billion|\s*trillion)?(\b|\s*%)(\s*%)?"), F.lit(k))
+
+    def one(x: Column) -> Column:
+        digits, unit = F.regexp_replace(x["1"], ",", ""), F.trim(x["2"])
+        scale = F.when(unit.isin("k", "thousand"), 1e3).when(unit.isin("m", "million"), 1e6).when(unit.isin("b", "billion"), 1e9).when(unit.isin("t", "trillion"), 1e12).otherwise(1.0)
+        n = F.round(digits.try_cast("double") * scale, 6)
+        pct = F.concat(x["3"], x["4"]).contains("%")
+        marked = (x["0"] == "$") | (unit != "") | pct
+        fits = ((n >= 1) | pct) & ~((n >= 1900) & (n <= 2100) & ~pct) & (marked | (n > 31))
+        return F.when(fits, n)
+
+    rows = F.arrays_zip(part(1).alias("0"), part(2).alias("1"), part(3).alias("2"), part(4).alias("3"), part(5).alias("4"))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(rows, one))))
+
+
+def n_grams(tokens: Column, longest: int = 3) -> Column:
+    """Runs of one to ``longest`` tokens, as texts: what an alias table is joined to."""
+
+    def run(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    runs = [run(n) for n in range(1, longest + 1)]
+    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*runs)))
+
+
+def verdict(answer: Column) -> Column:
+    """YES, NO or UNCERTAIN of a free answer: yes is looked for first, no as a word of its own."""
+    a = F.upper(answer)
+    return F.when(a.contains("YES"), "YES").when(a.rlike("(^|[^A-Z])NO([^A-Z]|$)"), "NO").otherwise("UNCERTAIN")

@@ -200,3 +200,49 @@ def _(t):
     from tessera.functions.signals import read_signals
 
     return read_signals(t.markets)
+
+
+def _words_sql(words) -> str:
+    return "|".join(words)
+
+
+def _comparator_sql() -> str:
+    from tessera.functions import text as X
+
+    t = "lower(title)"
+    return (
+        f"case when regexp_matches({t}, '{X.BETWEEN.replace(chr(39), chr(39) * 2)}') then 'BETWEEN' when regexp_matches({t}, '{_words_sql(X.AT_LEAST_WORDS)}') then 'GE' "
+        f"when regexp_matches({t}, '{_words_sql(X.AT_MOST_WORDS)}') then 'LE' when regexp_matches({t}, '{_words_sql(X.WIN_WORDS)}') then 'WIN' else 'UNKNOWN' end"
+    )
+
+
+@query("s_comparator", f"select id, {_comparator_sql()} as comparator from markets")
+def _(t):
+    from tessera.functions.text import comparator
+
+    return t.markets.select("id", comparator(F.col("title")).alias("comparator"))
+
+
+@query("s_numbers")
+def _(t):
+    """Numbers of every title with their multipliers applied."""
+    from tessera.functions.text import numbers
+
+    return t.markets.select("id", numbers(F.col("title")).alias("numbers"))
+
+
+_ALIASES = [("rate decision", "RATES"), ("central bank", "RATES"), ("opening weekend", "FILM"), ("box office", "FILM"), ("high temp", "WEATHER"), ("temperature", "WEATHER"), ("jobless rate", "JOBS"), ("unemployment", "JOBS"), ("trade treaty", "TRADE")]
+
+
+@query("j_alias_lookup", f"""
+with w as (select id, list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: w <> '') as t from markets), a(alias, canon) as (values {", ".join(f"('{x}', '{y}')" for x, y in _ALIASES)}),
+g as (select id, unnest(list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))) as alias from w)
+select id, string_agg(distinct canon, ',' order by canon) as names from g join a using (alias) group by 1
+""")
+def _(t):
+    from tessera.functions.text import n_grams, words
+    from tessera.shared import small
+
+    a = t.spark.createDataFrame(_ALIASES, "alias string, canon string")
+    g = t.markets.select("id", F.explode(n_grams(words(F.col("title")), 2)).alias("alias"))
+    return g.join(small(a), "alias").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("canon")), ",").alias("names"))

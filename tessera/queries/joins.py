@@ -37,7 +37,7 @@ def _(t):
 
 
 @query("j_resolve_outcomes", """
-with q as (select o.market_id, case when o.id % 2 = 0 then o.external_id end as external_id, upper(o.name) as name, o.id as truth from outcomes o),
+with q as (select o.market_id, case when o.side = 'yes' then o.external_id end as external_id, upper(o.name) as name, o.id as truth from outcomes o),
 e as (select market_id, external_id, min(id) as i from outcomes where external_id is not null group by 1, 2), n as (select market_id, lower(trim(name)) as name, min(id) as i from outcomes where name is not null group by 1, 2)
 select q.truth, coalesce(e.i, n.i) as outcome_id from q left join e on q.market_id = e.market_id and q.external_id = e.external_id left join n on q.market_id = n.market_id and lower(trim(q.name)) = n.name
 where coalesce(e.i, n.i) is not null
@@ -45,7 +45,7 @@ where coalesce(e.i, n.i) is not null
 def _(t):
     from tessera.operators.quotes import resolve_outcomes
 
-    q = t.outcomes.select("market_id", F.when(F.col("id") % 2 == 0, F.col("external_id")).alias("external_id"), F.upper("name").alias("name"), F.col("id").alias("truth"))
+    q = t.outcomes.select("market_id", F.when(F.col("side") == "yes", F.col("external_id")).alias("external_id"), F.upper("name").alias("name"), F.col("id").alias("truth"))
     return resolve_outcomes(q, t.outcomes).select("truth", "outcome_id")
 
 
@@ -189,3 +189,28 @@ def _(t):
     x = t.lineitem.select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     x = x.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
     return x.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n", F.round("v", 2).alias("revenue"))
+
+
+@query("j_typed_keys", """
+with m as (select id, venue, lower(trim(category)) as g, cast(cast(close_time as date) as varchar) as d, derived_topic as k from markets where close_time is not null and status = 'resolved'),
+e as (select id, venue, unnest([case when k is not null then 'a|' || k || '|' || d end, case when g is not null then 'b|' || g || '|' || d end]) as key from m)
+select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from e a join e b on a.key = b.key and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2
+""")
+def _(t):
+    m = t.markets.filter("close_time is not null and status = 'resolved'").select("id", "venue", F.lower(F.trim("category")).alias("g"), F.date_format("close_time", "yyyy-MM-dd").alias("d"), F.col("derived_topic").alias("k"))
+    key = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat_ws("|", F.lit(kind), c, "d"))
+    keys = F.array(key("a", "k"), key("b", "g"))
+    return B.key_join(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), keys, keys)
+
+
+@query("j_team_pairs", r"""
+with k as (select id, regexp_extract(title, '^([A-Za-z]+) at ([A-Za-z]+) winner', 1) as a, regexp_extract(title, '^([A-Za-z]+) at ([A-Za-z]+) winner', 2) as b from markets where venue = 'kalshi'),
+p as (select id, regexp_extract(title, '^([A-Za-z]+)( [A-Za-z]+)? vs\.? ([A-Za-z]+)', 1) as a, regexp_extract(title, '^([A-Za-z]+)( [A-Za-z]+)? vs\.? ([A-Za-z]+)', 3) as b from markets where venue = 'polymarket')
+select k.id as l, p.id as r from k join p on k.a <> '' and p.a <> '' and least(k.a, k.b) = least(p.a, p.b) and greatest(k.a, k.b) = greatest(p.a, p.b)
+""")
+def _(t):
+    def sides(venue, pattern, i, j, name):
+        m = t.markets.filter(F.col("venue") == venue).select(F.col("id").alias(name), F.regexp_extract("title", pattern, i).alias("a"), F.regexp_extract("title", pattern, j).alias("b")).filter("a <> ''")
+        return m.select(name, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+
+    return sides("kalshi", "^([A-Za-z]+) at ([A-Za-z]+) winner", 1, 2, "l").join(sides("polymarket", r"^([A-Za-z]+)( [A-Za-z]+)? vs\.? ([A-Za-z]+)", 1, 3, "r"), ["x", "y"]).select("l", "r")

@@ -45,21 +45,21 @@ def _(t):
 
 
 _LATEST2 = """
-a as (select outcome_id, ts, price from (select *, row_number() over (partition by outcome_id order by ts desc, arrival) as k from quotes where arrival % 2 = 0 and outcome_id is not null and ts is not null) where k = 1),
-b as (select outcome_id, ts, price from (select *, row_number() over (partition by outcome_id order by ts desc, arrival) as k from quotes where arrival % 2 = 1 and outcome_id is not null and ts is not null) where k = 1)
+a as (select outcome_id, ts, price from (select *, row_number() over (partition by outcome_id order by ts desc, arrival) as k from quotes where raw is null and outcome_id is not null and ts is not null) where k = 1),
+b as (select outcome_id, ts, price from (select *, row_number() over (partition by outcome_id order by ts desc, arrival) as k from quotes where raw is not null and outcome_id is not null and ts is not null) where k = 1)
 """
 
 
 @query("q_merge_latest", f"with {_LATEST2} select * from b union all select * from a where outcome_id not in (select outcome_id from b)")
 def _(t):
-    part = lambda k: Q.latest_quotes(t.quotes.filter(F.col("arrival") % 2 == k))
-    return Q.merge_latest(part(0), part(1))
+    part = lambda bare: Q.latest_quotes(t.quotes.filter(F.col("raw").isNull() == bare))
+    return Q.merge_latest(part(True), part(False))
 
 
 @query("q_merge_monotonic", f"with {_LATEST2} select outcome_id, case when b.ts is null or a.ts > b.ts then a.ts else b.ts end as ts, case when b.ts is null or a.ts > b.ts then a.price else b.price end as price from a full join b using (outcome_id)")
 def _(t):
-    part = lambda k: Q.latest_quotes(t.quotes.filter(F.col("arrival") % 2 == k))
-    return Q.merge_latest(part(0), part(1), monotonic=True)
+    part = lambda bare: Q.latest_quotes(t.quotes.filter(F.col("raw").isNull() == bare))
+    return Q.merge_latest(part(True), part(False), monotonic=True)
 
 
 @query("q_freshness", f"""
@@ -120,7 +120,7 @@ def _(t):
     return read("offset").select(F.lit("offset").alias("paging"), name).unionByName(read("cursor").select(F.lit("cursor").alias("paging"), name))
 
 
-_STORED = "s as (select id, title, status from markets where id % 3 <> 0), b as (select id, case when id % 5 = 0 then upper(title) else title end as title, case when id % 7 = 0 then null else status end as status from markets where id % 2 = 0)"
+_STORED = "s as (select id, title, status from markets where created_at < timestamp '2025-12-01'), b as (select id, case when metadata is null then upper(title) else title end as title, case when derived_topic is null then null else status end as status from markets where updated_at >= timestamp '2025-10-01')"
 
 
 @query("w_upsert", f"""
@@ -130,9 +130,9 @@ select id, case when b.id is null then s.title else b.title end as title, case w
 from s full join b using (id)
 """)
 def _(t):
-    m = t.markets.select("id", "title", "status")
-    batch = m.filter("id % 2 = 0").select("id", F.when(F.col("id") % 5 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"), F.when(F.col("id") % 7 != 0, F.col("status")).alias("status"))
-    return U.merge(m.filter("id % 3 <> 0"), batch, ["id"], {"status": U.changed_only})
+    new = t.markets.filter("updated_at >= timestamp_ntz'2025-10-01 00:00:00'")
+    batch = new.select("id", F.when(F.col("metadata").isNull(), F.upper("title")).otherwise(F.col("title")).alias("title"), F.when(F.col("derived_topic").isNotNull(), F.col("status")).alias("status"))
+    return U.merge(t.markets.filter("created_at < timestamp_ntz'2025-12-01 00:00:00'").select("id", "title", "status"), batch, ["id"], {"status": U.changed_only})
 
 
 @query("w_priority_merge", """
@@ -148,14 +148,14 @@ def _(t):
 
 
 @query("w_link_merge", """
-with o as (select left_market_id as l, right_market_id as r, max(score) as score, max(lower(trim(status))) as status from market_links where id % 2 = 0 and score is not null and not isnan(score) group by 1, 2),
-n as (select left_market_id as l, right_market_id as r, max(score) as score from market_links where id % 2 = 1 and score is not null and not isnan(score) group by 1, 2)
+with o as (select left_market_id as l, right_market_id as r, max(score) as score, max(lower(trim(status))) as status from market_links where reason is not null and score is not null and not isnan(score) group by 1, 2),
+n as (select left_market_id as l, right_market_id as r, max(score) as score from market_links where reason is null and score is not null and not isnan(score) group by 1, 2)
 select l, r, case when n.l is null or o.status = 'confirmed' then o.score else n.score end as score, case when o.status = 'confirmed' or n.l is null then o.status else 'suggested' end as status from o full join n using (l, r)
 """)
 def _(t):
     x = t.market_links.filter("score is not null and not isnan(score)")
-    o = x.filter("id % 2 = 0").groupBy(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).agg(F.max("score").alias("score"), F.max(F.lower(F.trim("status"))).alias("status"))
-    n = x.filter("id % 2 = 1").groupBy(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).agg(F.max("score").alias("score"), F.lit("suggested").alias("status"))
+    o = x.filter("reason is not null").groupBy(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).agg(F.max("score").alias("score"), F.max(F.lower(F.trim("status"))).alias("status"))
+    n = x.filter("reason is null").groupBy(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).agg(F.max("score").alias("score"), F.lit("suggested").alias("status"))
     v = lambda d: d.select("l", "r", F.struct("score", "status").alias("v"))
     return U.merge(v(o), v(n), ["l", "r"], {"v": lambda a, b: F.when(a["status"] == "confirmed", a).otherwise(b)}).select("l", "r", "v.score", "v.status")
 
@@ -319,3 +319,19 @@ def _(t):
         except Exception:
             last -= 1
     raise RuntimeError("nothing was ingested")
+
+
+@query("e_topics")
+def _(t):
+    """Suggested links of every topic's pipeline, over all markets."""
+    from tessera.plans.topics import suggest
+
+    return suggest(t.markets)
+
+
+@query("e_universal")
+def _(t):
+    """The pipeline that takes listings of any kind."""
+    from tessera.plans.topics import suggest
+
+    return suggest(t.markets, "UNIVERSAL")
