@@ -8,7 +8,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import cache, cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.encoding import utf8_reader
+from tessera.llm.encoding import byte_of, utf8_reader
 from tessera.shared import spread
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
@@ -28,8 +28,21 @@ _PLAIN = re.compile(r"[¡-ſ‐-⁞€°™]+\Z")
 _DAMAGE = ("cp1252", "cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
 
 
+@cache
+def _maybe_damaged() -> re.Pattern:
+    """A character that may be the first of a UTF-8 character read in one of the encodings, and one that may follow it."""
+    pairs = []
+    for enc in dict.fromkeys(_DAMAGE):
+        table = byte_of(enc)
+        lead, cont = ("[" + "".join(re.escape(c) for c, b in table.items() if lo <= b <= hi) + "]" for lo, hi in ((0xC2, 0xE3), (0x80, 0xBF)))
+        pairs.append(lead + cont)
+    return re.compile("|".join(pairs))
+
+
 def _mended(text: str) -> str:
     """Runs that read as one common Western character in UTF-8 replaced by it; good enough to compare words."""
+    if not _maybe_damaged().search(text):
+        return text
     for enc in _DAMAGE:
         text = utf8_reader(enc, _PLAIN)(text)
     return text
@@ -126,10 +139,11 @@ class Items:
     def hits(self, first: list[str], second: list[str]) -> dict[int, list[int]]:
         """Places in the document of each seed that occurs in it, in either form."""
         out: dict[int, list[int]] = {}
+        number, seeds = xxhash.xxh64_intdigest, self.seeds
         for form in (first, second) if second != first else (first,):
-            for p in range(max(0, len(form) - self.n + 1)):
-                s = _number(" ".join(form[p : p + self.n]))
-                if s in self.seeds:
+            for p, gram in enumerate(zip(*(form[k:] for k in range(self.n)))):
+                s = number(" ".join(gram)) >> 1
+                if s in seeds:
                     out.setdefault(s, []).append(p)
         return out
 
