@@ -8,7 +8,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache, cached_property, reduce
+from functools import cache, cached_property, lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.encoding import byte_of, utf8_reader
-from tessera.shared import spread
+from tessera.shared import Scratch, spread
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _ENTITY = re.compile(r"&#?\w{1,10};")
-_JOINED = re.compile(r"(?<=\d)[.,   ](?=\d)|['’‘`´­​-‍⁠﻿]|-\n\s*(?=[a-zß-ÿ])")
-_WORDS = re.compile(r"[^\W_]+(?:�+[^\W_]*)*|�+[^\W_]+(?:�+[^\W_]*)*")
+_APOSTROPHES = "'’‘`´"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_GROUPED = re.compile(r"(\d)[.,\u00a0\u202f\u2009](?=\d)")
+_HYPHEN = re.compile(r"-\n\s*(?=[a-zß-ÿ])")
+_WORDS = re.compile(r"[^\W_]+")
+_HOLED = re.compile("[^\\W_]+(?:\ufffd+[^\\W_]*)*|\ufffd+[^\\W_]+(?:\ufffd+[^\\W_]*)*")
 _ASCII = re.compile(r"[^a-z0-9]")
 _PLAIN = re.compile(r"[¡-ſ‐-⁞€°™]+\Z")
 _DAMAGE = ("cp1252", "cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
@@ -63,20 +67,28 @@ def words(text: str | None) -> tuple[list[str], list[str]]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
-    text = _JOINED.sub("", unicodedata.normalize("NFC", text).lower())
-    found = _WORDS.findall(text)
+    text = text.lower()
+    for c in _APOSTROPHES:
+        if c in text:
+            text = text.replace(c, "")
+    text = _GROUPED.sub(r"\1", text)
+    if "-\n" in text:
+        text = _HYPHEN.sub("", text)
     if text.isascii():
+        found = _WORDS.findall(text)
         return found, found
-    first, second = [], []
-    for w in found:
-        if w.isascii():
-            first.append(w)
-            second.append(w)
-        else:
-            a = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
-            first.append(a)
-            second.append(_ASCII.sub("", w) or a)
-    return first, second
+    for c in _INVISIBLE:
+        if c in text:
+            text = text.replace(c, "")
+    found = (_HOLED if "\ufffd" in text else _WORDS).findall(unicodedata.normalize("NFC", text))
+    both = [(w, w) if w.isascii() else _forms(w) for w in found]
+    return [a for a, _ in both], [b for _, b in both]
+
+
+@lru_cache(maxsize=200_000)
+def _forms(word: str) -> tuple[str, str]:
+    first = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return first, _ASCII.sub("", word) or first
 
 
 def _number(word: str) -> int:
@@ -119,6 +131,7 @@ class Items:
     ids: list[int] = field(default_factory=list)
     forms: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    grams: dict[tuple[str, ...], int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], n: int = 3) -> Items:
@@ -132,19 +145,22 @@ class Items:
             out.forms.append((np.array([_number(w) for w in first]), np.array([_number(w) for w in second])))
             for p in range(max(1, len(first) - n + 1)):
                 for form in {tuple(first[p : p + n]), tuple(second[p : p + n])}:
-                    seeds[_number(" ".join(form))].append((k, p))
+                    seed = out.grams[form] = _number(" ".join(form))
+                    seeds[seed].append((k, p))
         out.seeds = dict(seeds)
         return out
 
     def hits(self, first: list[str], second: list[str]) -> dict[int, list[int]]:
         """Places in the document of each seed that occurs in it, in either form."""
         out: dict[int, list[int]] = {}
-        number, seeds = xxhash.xxh64_intdigest, self.seeds
+        grams = self.grams
         for form in (first, second) if second != first else (first,):
-            for p, gram in enumerate(zip(*(form[k:] for k in range(self.n)))):
-                s = number(" ".join(gram)) >> 1
-                if s in seeds:
-                    out.setdefault(s, []).append(p)
+            runs = [form[k:] for k in range(self.n)]
+            if grams.keys().isdisjoint(zip(*runs)):
+                continue
+            for p, gram in enumerate(zip(*runs)):
+                if gram in grams:
+                    out.setdefault(grams[gram], []).append(p)
         return out
 
     def rare(self, frequency: dict[int, int], most: int, items: int = 2) -> Items:
@@ -159,7 +175,31 @@ class Items:
         for seeds in own.values():
             seeds.sort(key=lambda s: (spread[s], frequency.get(s, 0), s))
             keep.update(seeds[: (len(seeds) + 1) // 2])
-        return Items(self.n, self.ids, self.forms, {s: p for s, p in self.seeds.items() if s in keep})
+        return Items(self.n, self.ids, self.forms, {s: p for s, p in self.seeds.items() if s in keep}, {g: s for g, s in self.grams.items() if s in keep})
+
+    @cached_property
+    def early(self) -> tuple[set[int], dict[int, float]]:
+        """What can be told before frequencies are known: seeds that may turn out rare, and for each item the fewest places
+        with a rare seed that it can be left with. Seeds are ranked by the items they are in before their frequency, so the rarer
+        half of an item's seeds is among those in no more items than the one in the middle."""
+        spread = {s: len({k for k, _ in places}) for s, places in self.seeds.items()}
+        own = defaultdict(list)
+        for s, places in self.seeds.items():
+            for k in {k for k, _ in places}:
+                own[k].append(spread[s])
+        middle = {k: sorted(v)[(len(v) + 1) // 2 - 1] for k, v in own.items()}
+        maybe = {s for s, places in self.seeds.items() if any(spread[s] <= max(2, middle[k]) for k, _ in places)}
+        return maybe, {k: (len(v) + 1) // 2 / 2 for k, v in own.items()}
+
+    def possible(self, found: dict[int, list[int]], seeded: float) -> bool:
+        """Whether the seeds found in a text can make any item worth aligning."""
+        maybe, fewest = self.early
+        places: dict[int, set[int]] = {}
+        for s in found:
+            if s in maybe:
+                for k, p in self.seeds[s]:
+                    places.setdefault(k, set()).add(p)
+        return any(len(ps) >= seeded * fewest[k] for k, ps in places.items())
 
     @cached_property
     def own(self) -> dict[int, int]:
@@ -190,15 +230,17 @@ class Items:
             if doc is None:
                 doc = np.array([_number(w) for w in first]), np.array([_number(w) for w in second])
             best, reach = None, m + 60
-            spots, at = sorted({d for d, _ in pairs}), defaultdict(set)
+            spots, at, shift = sorted({d for d, _ in pairs}), defaultdict(set), defaultdict(list)
             for d, p in pairs:
                 at[d].add(p)
+                shift[d].append(d - p)
             cuts = [0, *[i for i in range(1, len(spots)) if spots[i] - spots[i - 1] > reach], len(spots)]
             for a, b in zip(cuts, cuts[1:]):
                 near = spots[a:b]
                 if len(set().union(*(at[d] for d in near))) < least:
                     continue
-                lo, hi = max(0, near[0] - reach), min(len(first), near[-1] + reach)
+                starts = [x for d in near for x in shift[d]]
+                lo, hi = max(0, near[0] - reach, min(starts) - 60), min(len(first), near[-1] + reach, max(starts) + m + 60)
                 hits, x, y = align(self.forms[k], (doc[0][lo:hi], doc[1][lo:hi]))
                 if best is None or hits > best[0]:
                     best = hits, x + lo, y + lo
@@ -237,20 +279,22 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, n: in
 
 
 def _block(spark, docs: DataFrame, every: Items, most: int, share: float, seeded: float) -> DataFrame:
-    sent = spark.sparkContext.broadcast(every)
+    """One block of items: a pass over the documents notes the seeds each text has, and keeps the texts in which an item may
+    stand; from the notes come the seeds' frequencies, and the kept texts are aligned with the rare ones."""
+    sent, scratch = spark.sparkContext.broadcast(every), Scratch(spark, "leakage")
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def note(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = sent.value
         for part in parts:
-            seeds, texts = [], []
-            for t in part["text"]:
-                got = items.hits(*words(t))
-                if got:
-                    seeds += got
-                    texts += [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1] * len(got)
-            yield pd.DataFrame({"seed": np.array(seeds, "int64"), "t": np.array(texts, "int64")})
-
-    pairs = docs.select("text").mapInPandas(count, "seed long, t long").distinct()
+            out = []
+            for d, t in zip(part["doc_id"], part["text"]):
+                found = items.hits(*words(t))
+                if found:
+                    out.append((d, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1, list(found), t if items.possible(found, seeded) else None))
+            yield pd.DataFrame(out, columns=["doc_id", "t", "seeds", "text"])
+
+    noted = scratch.write(docs.mapInPandas(note, "doc_id long, t long, seeds array<long>, text string"), "noted")
+    pairs = noted.select(F.explode("seeds").alias("seed"), "t").distinct()
     frequency = {r[0]: r[1] for r in pairs.groupBy("seed").count().filter(F.col("count") > min(most, 1)).collect()}
     rare = spark.sparkContext.broadcast(every.rare(frequency, most))
 
@@ -260,4 +304,5 @@ def _block(spark, docs: DataFrame, every: Items, most: int, share: float, seeded
             out = [(d, *x) for d, t in zip(part["doc_id"], part["text"]) for x in items.leaks(t, share, seeded)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "item_words", "first_word", "last_word"])
 
-    return docs.mapInPandas(look, "doc_id long, item_id long, matched int, item_words int, first_word int, last_word int")
+    kept = spread(noted.filter("text is not null").select("doc_id", "text"), "doc_id")
+    return kept.mapInPandas(look, "doc_id long, item_id long, matched int, item_words int, first_word int, last_word int")
