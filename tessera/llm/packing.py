@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import bisect
 import os
 import random
@@ -14,24 +15,36 @@ from pyspark.sql import functions as F
 
 from tessera.shared import Scratch, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how byte-level BPE splits a text before it merges bytes.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, batch: int = 64) -> DataFrame:
-    """(doc_id, tokens) of every document's whole text; null and empty texts have none. ``tokenizer`` is the path
-    of a public tokenizer's file, which every executor must be able to read."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def encoder(path: str = TOKENIZER, split: str = SPLIT):
+    """Text -> token ids, from a file of ranks (base64 bytes and a number a line) or a tokenizers JSON file. The names of
+    special tokens in a text are ordinary text."""
+    if path.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        return lambda text: t.encode(text, add_special_tokens=False).ids
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, split: str = SPLIT) -> DataFrame:
+    """(doc_id, tokens) of every document's whole text; null and empty texts have none. ``tokenizer`` is the path
+    of a public tokenizer's file, which every executor must be able to read."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(tokenizer, split)
         for part in parts:
-            texts, n = part["text"].fillna("").tolist(), []
-            for i in range(0, len(texts), batch):
-                n += [len(e.ids) for e in t.encode_batch_fast(texts[i : i + batch], add_special_tokens=False)]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": n})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": [len(encode(t)) if isinstance(t, str) and t else 0 for t in part["text"]]})
 
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     return spread(docs, "doc_id").mapInPandas(count, "doc_id long, tokens long")

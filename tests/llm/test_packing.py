@@ -41,9 +41,10 @@ def test_pack_table(spark):
 
 
 def test_token_counts(spark):
-    texts = ["Grüße an <|endoftext|> alle", "", None, "x" * 60_000, "plain words here"]
+    texts = ["Grüße an <|endoftext|> alle", "", None, "x" * 60_000, "plain words here", "é" * 3_000, "'ll 've don't  \n\n 12,345 日本"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    t = Tokenizer.from_file(P.TOKENIZER)
+    t = Tokenizer.from_file(P.TOKENIZER.replace(".tiktoken", ".json"))
     t.encode_special_tokens = True
     want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert {r.doc_id: r.tokens for r in P.token_counts(df).collect()} == want
+    assert {r.doc_id: r.tokens for r in P.token_counts(df, P.TOKENIZER.replace(".tiktoken", ".json")).collect()} == want
