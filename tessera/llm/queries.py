@@ -112,5 +112,14 @@ select left_market_id, id as link_id from (
     "p2_found": f"{_RANKED} select r.topic, r.link_id from r join x using (topic) where r.value >= x.cutoff",
     "p2_cutoffs": f"""{_RANKED}
 select topic, cast(count(*) as bigint) as n_links, x.cutoff, cast(count(*) filter (where value >= cutoff) as bigint) as n_kept from r join x using (topic) group by topic, x.cutoff
+""",
+    "p5_found": f"""
+with recursive {_CURRENT},
+p as (select left_market_id as a, right_market_id as b from c where upper(trim(status)) = 'CONFIRMED'), e as (select a, b from p union select b, a from p),
+g(v, m) using key (v) as (
+  select distinct a, a from e
+  union
+  select e.b, min(g.m) from g join e on e.a = g.v join recurring.g r on r.v = e.b where g.m < r.m group by e.b)
+select m as group_id, v as market_id from g
 """,
 }
