@@ -26,7 +26,7 @@ def depth(levels: Column) -> Column:
 
 def metadata_quotes(markets: DataFrame, metadata: str = "metadata") -> DataFrame:
     """(id, side, price) from bids and asks in cents kept in a market's JSON metadata; a side without any gives none."""
-    cents = lambda k: F.get_json_object(metadata, f"$.{k}").cast("double")
+    cents = lambda k: F.get_json_object(metadata, f"$.{k}").try_cast("double")
     sides = F.array(*[F.struct(F.lit(s).alias("side"), (mid_price(cents(f"{s}Bid"), cents(f"{s}Ask")) / 100).alias("price")) for s in ("yes", "no")])
     return markets.select("id", F.explode(sides).alias("q")).select("id", "q.side", "q.price").filter("price is not null")
 
