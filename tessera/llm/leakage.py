@@ -23,7 +23,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _ENTITY = re.compile(r"&#?\w{1,10};")
 _APOSTROPHES = "'’‘`´"
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_GROUPED = re.compile(r"(\d)[.,\u00a0\u202f\u2009](?=\d)")
+_GROUPED = re.compile(r"(\d)[-.,\u00a0\u202f\u2009](?=\d)")
 _HYPHEN = re.compile(r"-\n\s*(?=[a-zß-ÿ])")
 _WORDS = re.compile(r"[^\W_]+")
 _HOLED = re.compile("[^\\W_]+(?:\ufffd+[^\\W_]*)*|\ufffd+[^\\W_]+(?:\ufffd+[^\\W_]*)*")
@@ -96,7 +96,8 @@ def _number(word: str) -> int:
 
 
 def align(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], match: float = 2.0, mismatch: float = -1.0, gap: float = -0.7) -> tuple[int, int, int]:
-    """Smith-Waterman over word numbers in two forms: (matched words, first and last doc word of the best local alignment)."""
+    """Smith-Waterman over word numbers in two forms: (words carried, first and last doc word of the best local alignment).
+    Words that are the same are carried, and words aligned with a changed one between them."""
     (ia, ib), (da, db) = item, doc
     m, n = len(ia), len(da)
     if not m or not n:
@@ -113,8 +114,7 @@ def align(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray
     last, hits, first = j - 1, 0, j - 1
     while i > 0 and j > 0 and h[i, j] > 1e-9:
         if abs(h[i, j] - (h[i - 1, j - 1] + step[i - 1, j - 1])) < 1e-9:
-            if same[i - 1, j - 1]:
-                hits, first = hits + 1, j - 1
+            hits, first = hits + 1, j - 1
             i, j = i - 1, j - 1
         elif abs(h[i, j] - (h[i - 1, j] + gap)) < 1e-9:
             i -= 1
@@ -251,7 +251,8 @@ class Items:
 
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, n: int = 3, rare_share: float = 0.001, rare_least: int = 50, seeded: float = 0.1, block: int = 2_000) -> DataFrame:
     """(doc_id, item_id, matched, item_words, first_word, last_word) for each document that carries, in one place
-    and in order, at least ``share`` of an item's words.
+    and in order, at least ``share`` of an item's words. ``matched`` counts the words that are the same and those changed in
+    place, that is aligned with another word; a date or number written with separators is one word.
 
     Items are taken in blocks of at most ``block`` (one pass over the documents each), so what is sent to the executors is
     bounded. A seed is rare if at most max(rare_least, rare_share * documents) different texts and two items have it; of
