@@ -222,3 +222,32 @@ def test_pipeline_registry_and_store(spark):
     found = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.6), (4, 5, 0.7)], "l long, r long, score double")
     got = {(r.left_market_id, r.right_market_id, r.status, r.score) for r in P.store(links, found).collect()}
     assert got == {(1, 2, "confirmed", 0.9), (1, 3, "suggested", 0.6), (4, 5, "suggested", 0.7)}
+
+
+def test_runs_and_health(spark, tmp_path):
+    from tessera.operators import runs as R
+
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("a", 1, at(0), "start", None, None), ("a", 1, at(1), "done", "c1", None), ("a", 2, at(50), "start", None, None), ("a", 2, at(51), "done", "c2", None)]
+    rows += [("b", k, at(k), "start", None, None) for k in range(6)] + [("b", 0, at(0), "done", "x", None)] + [("b", k, at(k + 1), "failed", None, "e") for k in range(1, 6)]
+    rows += [("c", 1, at(0), "start", None, None), ("d", 1, at(-200), "start", None, None), ("d", 1, at(-199), "done", None, None), (None, None, None, None, None, None)]
+    R.log(spark, f"{tmp_path}/log", rows[:5])
+    R.log(spark, f"{tmp_path}/log", rows[5:])
+    events = spark.read.parquet(f"{tmp_path}/log")
+    now = F.lit(at(60))
+    assert {r.job: (r.verdict, r.failed_runs) for r in R.health(events, now).collect()} == {"a": ("OK", 0), "b": ("FAILING", 5), "c": ("STUCK", 0), "d": ("STALE", 0)}
+    assert {r.job: r.cursor for r in R.resume_from(events).collect()} == {"a": "c2", "b": "x", "d": None}
+
+
+def test_wide_scans_read_only_what_they_need(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    plan = entry.queries()["q_latest"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "raw" not in plan and "liquidity" not in plan and "WindowGroupLimit" in plan
+    plan = entry.queries()["f_keyset_page"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThan(id,100)" in plan and "metadata" not in plan
