@@ -80,3 +80,16 @@ def test_components_match_union_find(spark):
     assert got == {v: find(v) for v in list(parent)}
     assert max(Counter(got.values()).values()) == 300
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_hot_source_and_null_fractions(spark):
+    rows = [("HOT", (i % 100) / 100) for i in range(3000)] + [("A", 0.5), (None, 0.5), ("B", None)]
+    df = spark.createDataFrame(rows, "t string, s double").withColumn("source", F.lit("x")).withColumn("cutoff", F.lit(1))
+    targets = spark.createDataFrame([("HOT", 0.25), ("A", None), ("B", 0.5), ("A", float("nan")), (None, 1.0)], "t string, f double")
+    tree = DyadicCountTree(spark, Scratch(spark, "t").root)
+    tree.add(df, "t", "s", "one")
+    got = tree.cutoffs(df, "t", "s", targets, "t", "f").collect()
+    assert [(r.source, r.cutoff, r.kept, r.total) for r in got] == [("HOT", 0.75, 750, 3000)]
+    empty = DyadicCountTree(spark, Scratch(spark, "t").root)
+    empty.add(df.limit(0), "t", "s", "none")
+    assert empty.cutoffs(df.limit(0), "t", "s", targets, "t", "f").count() == 0

@@ -48,3 +48,11 @@ def test_token_counts(spark):
     want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert {r.doc_id: r.tokens for r in P.token_counts(df).collect()} == want
     assert {r.doc_id: r.tokens for r in P.token_counts(df, P.TOKENIZER.replace(".tiktoken", ".json")).collect()} == want
+
+
+def test_a_third_of_the_rows_has_one_id(spark):
+    rows = [(1, 100)] * 300 + [(i, 300) for i in range(2, 602)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens int")
+    got = P.pack(df, 1000, shard_items=100, epochs=1, generations=2)
+    assert got.count() == 900 and got.filter("doc_id = 1").count() == 300
+    assert got.groupBy("container_id").agg(F.sum("tokens").alias("t")).agg(F.max("t")).first()[0] <= 1000
