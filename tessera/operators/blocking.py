@@ -17,6 +17,19 @@ def key_join(left: DataFrame, right: DataFrame, keys_left: Column, keys_right: C
     return a.join(b, "k").groupBy("l", "r").agg(F.count("*").alias("n_keys"))
 
 
+def meet(left: DataFrame, right: DataFrame, keys_left: str, keys_right: str, most: int = 10_000_000) -> DataFrame:
+    """Whole rows of both sides at every key ``_k`` they share, without a shuffle of pairs. A key with more than ``most`` pairs
+    is cut into slices: its left rows are dealt out, its right rows go to each. No pair is left out."""
+    a = left.withColumn("_k", F.explode(keys_left)).filter("_k is not null")
+    b = right.withColumn("_k", F.explode(keys_right)).filter("_k is not null")
+    n = a.groupBy("_k").agg(F.count("*").alias("a")).join(b.groupBy("_k").agg(F.count("*").alias("b")), "_k")
+    hot = small(n.filter(F.col("a") * F.col("b") > most).select("_k", F.ceil(F.col("a") * F.col("b") / most).cast("int").alias("_n")))
+    slices = F.coalesce("_n", F.lit(1))
+    a = a.join(hot, "_k", "left").withColumn("_slice", F.pmod(F.xxhash64("l"), slices).cast("int")).drop("_n")
+    b = b.join(hot, "_k", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_n")
+    return a.hint("merge").join(b, ["_k", "_slice"]).drop("_slice")
+
+
 def token_join(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, common: int | None = None, shortest: int = 3, on: str = "id") -> DataFrame:
     """Pairs that share at least ``least`` tokens of ``shortest`` letters or more. Tokens that more than ``common`` rows of a
     side have (a third of all rows may) are no keys: they say little, and their pairs would grow with the square."""

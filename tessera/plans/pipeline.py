@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.blocking import cap_per, key_join
+from tessera.operators.blocking import cap_per, key_join, meet
 from tessera.operators.selection import greedy_capped
 from tessera.operators.upsert import merge
 
@@ -16,14 +16,16 @@ from tessera.operators.upsert import merge
 @dataclass(frozen=True)
 class Pipeline:
     """``keys``: array of block keys of a row; ``gates``: conditions on a pair (columns l_* and r_*); ``scores``: weighted
-    component scores; ``least``: lowest score kept."""
+    component scores; ``least``: lowest score kept. ``keys_right``: those of right rows, where they are others. With
+    ``candidates`` a left row keeps only so many candidates before anything is compared; by default it keeps all."""
 
     name: str
     keys: Callable[[], Column]
     scores: dict[str, tuple[float, Column]]
     gates: list[Column] = field(default_factory=list)
     least: float = 0.6
-    candidates: int = 200
+    candidates: int | None = None
+    keys_right: Callable[[], Column] | None = None
     per_left: int = 5
     per_right: int = 5
     gap: float = 0.0
@@ -49,19 +51,25 @@ def pipeline(name: str) -> Pipeline:
 def scored(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r, components, score) of the candidate pairs that pass the gates and reach the least score.
 
-    Each left row keeps its ``candidates`` candidates with the most shared keys before anything is compared; attributes are
-    joined to the ids only then.
+    Pairs are compared where their keys meet and are never shuffled; a pair that shares several keys is kept at the first of them.
+    Only a pipeline with ``candidates`` ranks the candidates before, by the most shared keys and then the smallest right id.
     """
-    pairs = cap_per(key_join(left, right, p.keys(), p.keys()), "l", p.candidates, F.col("n_keys").desc(), F.col("r")).select("l", "r")
-    x = left.select(F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in left.columns])
-    y = right.select(F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
-    j = pairs.join(x, "l").join(y, "r").filter(F.col("l") != F.col("r"))
+    mine, other = p.keys(), (p.keys_right or p.keys)()
+    x = left.select(F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in left.columns], F.array_distinct(mine).alias("_lk"))
+    y = right.select(F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in right.columns], F.array_distinct(other).alias("_rk"))
+    if p.candidates is None:
+        j = meet(x, y, "_lk", "_rk")
+    else:
+        pairs = cap_per(key_join(left, right, mine, other), "l", p.candidates, F.col("n_keys").desc(), F.col("r")).select("l", "r")
+        j = pairs.join(x, "l").join(y, "r").withColumn("_k", F.array_min(F.array_intersect("_lk", "_rk")))
+    j = j.filter(F.col("l") != F.col("r"))
     for g in p.gates:
         j = j.filter(g)
     parts = [c.alias(n) for n, (_, c) in p.scores.items()]
-    j = j.select("l", "r", *parts)
+    j = j.select("l", "r", *parts, "_k", "_lk", "_rk")
     total = sum((F.lit(w) * F.col(n) for n, (w, _) in p.scores.items()), F.lit(0.0))
-    return j.withColumn("score", F.round(total, 6)).filter(F.col("score") >= p.least)
+    j = j.withColumn("score", F.round(total, 6)).filter(F.col("score") >= p.least)
+    return j.filter(F.col("_k") == F.array_min(F.array_intersect("_lk", "_rk"))).drop("_k", "_lk", "_rk")
 
 
 def run(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:

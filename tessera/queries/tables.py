@@ -268,18 +268,20 @@ def _(t):
     return t.market_links.select("id", s.alias("s"), C.price_bucket(s, 0.05).alias("bucket"))
 
 
-def simple() -> Pipeline:
-    """Word overlap, closeness in time and category; blocked on the series of words that both venues' titles share."""
+def simple(candidates: int | None = None) -> Pipeline:
+    """Word overlap, closeness in time and category; blocked on the series of words that both venues' titles share. Every
+    candidate is scored unless ``candidates`` limits them."""
     a, b = F.col("l_tok"), F.col("r_tok")
     return Pipeline(
         "SIMPLE", lambda: F.filter("tok", lambda w: F.length(w) >= 5),
         {"words": (0.7, jaccard(a, b)), "time": (0.2, C.time_score(F.col("l_close_time"), F.col("r_close_time"))), "category": (0.1, C.category_score(F.col("l_category"), F.col("r_category")))},
-        gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, candidates=50, per_left=3, per_right=3,
+        gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, candidates=candidates, per_left=3, per_right=3,
     )
 
 
-def _sides(t):
-    m = t.markets.filter("derived_topic = 'ELECTIONS'").select("id", "venue", "close_time", "category", tokenize(F.col("title")).alias("tok"))
+def _sides(t, topic: str | None = None):
+    m = t.markets if topic is None else t.markets.filter(F.col("derived_topic") == topic)
+    m = m.select("id", "venue", "close_time", "category", tokenize(F.col("title")).alias("tok"))
     return m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
 
 
@@ -291,13 +293,20 @@ s as (select l, r, case when len(list_distinct(list_concat(a.tok, b.tok))) = 0 t
 select l, r, round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as double) * g, 6) as score from s where round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as double) * g, 6) >= 0.35
 """)
 def _(t):
-    return scored(simple(), *_sides(t)).select("l", "r", "score")
+    """As its SQL says: of each left row 50 candidates. ``e_scored_all`` has no such limit."""
+    return scored(simple(50), *_sides(t, "ELECTIONS")).select("l", "r", "score")
+
+
+@query("e_scored_all")
+def _(t):
+    """Every pair of election listings of the two venues that shares a word and reaches the least score."""
+    return scored(simple(), *_sides(t, "ELECTIONS")).select("l", "r", "score")
 
 
 @query("e_pipeline")
 def _(t):
     """The whole pipeline: block, gate, score, and choose greedily under the caps of both sides."""
-    return run(simple(), *_sides(t))
+    return run(simple(), *_sides(t, "ELECTIONS"))
 
 
 @query("st_ingest")
