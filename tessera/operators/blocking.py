@@ -23,8 +23,10 @@ def meet(left: DataFrame, right: DataFrame, keys_left: str, keys_right: str, mos
     a = left.withColumn("_k", F.explode(keys_left)).filter("_k is not null")
     b = right.withColumn("_k", F.explode(keys_right)).filter("_k is not null")
     n = a.groupBy("_k").agg(F.count("*").alias("a")).join(b.groupBy("_k").agg(F.count("*").alias("b")), "_k")
-    hot = small(n.filter(F.col("a") * F.col("b") > most).select("_k", F.ceil(F.col("a") * F.col("b") / most).cast("int").alias("_n")))
-    slices = F.coalesce("_n", F.lit(1))
+    hot = n.filter(F.col("a") * F.col("b") > most).select("_k", F.ceil(F.col("a") * F.col("b") / most).cast("int").alias("_n"))
+    if hot.isEmpty():
+        return a.hint("merge").join(b, "_k")
+    hot, slices = small(hot), F.coalesce("_n", F.lit(1))
     a = a.join(hot, "_k", "left").withColumn("_slice", F.pmod(F.xxhash64("l"), slices).cast("int")).drop("_n")
     b = b.join(hot, "_k", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_n")
     return a.hint("merge").join(b, ["_k", "_slice"]).drop("_slice")

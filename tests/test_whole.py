@@ -31,3 +31,31 @@ def test_meeting_in_slices_finds_every_pair_once_a_key(spark):
     a, b = spark.createDataFrame(x, "l long, lk array<string>"), spark.createDataFrame(y, "r long, rk array<string>")
     for most in (10_000_000, 50):
         assert sorted((p.l, p.r, p._k) for p in B.meet(a, b, "lk", "rk", most).collect()) == want
+
+
+SIGNALS = (
+    "id long, venue string, kind string, close_time timestamp_ntz, category string, tok array<string>, name string, name2 string, names array<string>, "
+    "threshold double, direction string, detail string, hour int, day date, month int, year int"
+)
+
+
+def listing(i, venue, kind, day, detail="", threshold=5.0):
+    return (i, venue, kind, day, "c", ["zulek"], "zulek", "morav", ["zulek", "morav"], threshold, "up", detail, 6, day.date(), day.year * 12 + day.month, day.year)
+
+
+def test_a_topic_compares_all_listings_of_a_name(spark):
+    from tessera.plans.topics import TOPICS
+
+    topics = {t.name: t for t in TOPICS}
+    pair = lambda kind, days, **k: (
+        spark.createDataFrame([listing(1, "kalshi", kind, D(2026, 1, 31), **k)], SIGNALS),
+        spark.createDataFrame([listing(100 + i, "polymarket", kind, d, **k) for i, d in enumerate(days)], SIGNALS),
+    )
+    found = lambda name, *sides: {x.r for x in scored(topics[name].pipeline(), *sides).collect()}
+    far, same, reach = D(2026, 6, 1), D(2026, 1, 31), [D(2026, 1, 23), D(2026, 1, 24), D(2026, 2, 7), D(2026, 2, 8)]
+    assert found("FINANCE", *pair("index", [far] * 250 + [same, *reach])) == {350, 352, 353}
+    assert found("UNIVERSAL", *pair("index", [same] * 250)) == set(range(100, 350))
+    assert found("CLIMATE", *pair("weather", [D(2026, 1, 29), D(2026, 1, 30), same, D(2026, 2, 1), D(2026, 2, 2)])) == {101, 102, 103}
+    assert found("SPORTS", *pair("game", [D(2026, 1, 29), D(2026, 1, 30), same, D(2026, 2, 1)])) == {101, 102, 103}
+    assert found("COMMODITIES", *pair("goods", [D(2025, 11, 30), D(2025, 12, 31), D(2026, 2, 1), D(2026, 3, 1)], detail="oil")) == {101, 102}
+    assert found("ELECTIONS", *pair("election", [far] * 250 + [same], detail="senate")) == set(range(100, 351))
