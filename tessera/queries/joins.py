@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import words
+from tessera.functions.text import tokenize, words
 from tessera.operators import blocking as B
 from tessera.operators.upsert import diff
 from tessera.queries.registry import NOW, now, query
@@ -59,10 +59,18 @@ select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from w a join w
 where a.k not in (select k from often) group by 1, 2 having count(*) >= 2
 """)
 def _(t):
+    """As its SQL says: two shared words, none that more than 40 listings of a venue have. ``j_token_index_all`` has no limit."""
     m = t.markets.filter("close_time is not null").select("id", "venue", words(F.col("title")).alias("w"))
     return B.token_join(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w", least=2, common=40)
 
 
+@query("j_token_index_all")
+def _(t):
+    """All listings of the two venues that share a token of three letters or more (survey J5)."""
+    m = t.markets.select("id", "venue", tokenize(F.col("title")).alias("w"))
+    return B.token_pairs(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w")
+
+
 @query("j_entity_year_fallback", """
 with m as (select id, venue, regexp_extract(kalshi_event_ticker, '^KX([A-Z]+)', 1) as e, year(close_time) as y, status from markets where kalshi_event_ticker is not null and close_time is not null),
 l as (select * from m where status = 'resolved'), r as (select * from m where status = 'archived'),

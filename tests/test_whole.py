@@ -59,3 +59,23 @@ def test_a_topic_compares_all_listings_of_a_name(spark):
     assert found("SPORTS", *pair("game", [D(2026, 1, 29), D(2026, 1, 30), same, D(2026, 2, 1)])) == {101, 102, 103}
     assert found("COMMODITIES", *pair("goods", [D(2025, 11, 30), D(2025, 12, 31), D(2026, 2, 1), D(2026, 3, 1)], detail="oil")) == {101, 102}
     assert found("ELECTIONS", *pair("election", [far] * 250 + [same], detail="senate")) == set(range(100, 351))
+
+
+def test_frequent_tokens_are_keys_too(spark):
+    rnd = random.Random(5)
+    rows = lambda: [(i, ["otters", *rnd.sample(["ab", "abc", "rooks", "trade"], rnd.randint(0, 3))] if i % 4 else ["ab"]) for i in range(80)]
+    x, y = rows(), rows()
+    shared = lambda a, b: sum(len(k) >= 3 for k in set(a) & set(b))
+    sides = [spark.createDataFrame(s, "id long, w array<string>") for s in (x, y)]
+    for least in (1, 2):
+        want = sorted((i, j, n) for i, a in x for j, b in y if (n := shared(a, b)) >= least)
+        assert sorted(map(tuple, B.token_pairs(*sides, "w", least).collect())) == want
+
+
+def test_token_index_over_all_listings(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    cols = "id long, venue string, title string, close_time timestamp_ntz"
+    rows = [(k, "kalshi", f"Otters beat x{k}", T0 if k % 2 else None) for k in range(50)] + [(100 + k, "polymarket", f"Otters lose y{k}", T0) for k in range(50)]
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/markets.parquet")
+    assert entry.queries()["j_token_index_all"](spark, str(tmp_path)).count() == 2500
