@@ -8,6 +8,7 @@ from tessera.functions.text import tokenize, words
 from tessera.operators import blocking as B
 from tessera.operators.upsert import diff
 from tessera.queries.registry import NOW, now, query
+from tessera.shared import Scratch
 
 
 @query("j_quotes_by_venue", "select m.venue, cast(count(*) as bigint) as n from quotes q join outcomes o on q.outcome_id = o.id join markets m on o.market_id = m.id group by 1")
@@ -86,6 +87,18 @@ def _(t):
     return B.with_fallback(first, l, B.key_join(l, r, key, key))
 
 
+@query("j_entity_year_fallback_all")
+def _(t):
+    """The same join over all listings of the two venues, by the names read from titles, as only one venue has tickers; for
+    those that find no namesake, the year and the first letter of a name. Titles that cannot be read pair with nothing."""
+    from tessera.plans.topics import signals
+
+    m = signals(t.markets).select("id", "venue", "names", "year")
+    m = Scratch(t.spark, "entities").write(m.withColumn("initials", F.when(F.col("year").isNotNull(), F.transform("names", lambda n: F.concat_ws("|", "year", F.substring(n, 1, 1))))))
+    l, r = m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
+    return B.with_fallback(B.key_join(l, r, F.col("names"), F.col("names")), l, B.key_join(l, r, F.col("initials"), F.col("initials")))
+
+
 @query("j_period_compatible", """
 with m as (select id, venue, cast(close_time as date) as d, regexp_extract(title, '([A-Z][a-z]+)', 1) as e, case id % 3 when 0 then 'month' when 1 then 'quarter' else 'year' end as kind from markets where close_time is not null and derived_topic = 'MACRO'),
 p as (select *, case kind when 'month' then strftime(d, '%Y-%m') when 'quarter' then year(d) || '-Q' || quarter(d) else year(d)::varchar end as k from m)
@@ -145,6 +158,14 @@ def _(t):
     return B.cap_per(p, "l", 5, F.col("n_keys").desc(), F.col("r")).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("j_candidate_cap_all")
+def _(t):
+    """The five best candidates of every listing, of all topics and of none."""
+    m = t.markets.select("id", "venue", words(F.col("title")).alias("w"))
+    p = B.token_pairs(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w")
+    return B.cap_per(p, "l", 5, F.col("n_keys").desc(), F.col("r")).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("j_event_enrichment", """
 with e as (select kalshi_event_ticker as ticker, count(*) as n, min(close_time) as first_close from markets where kalshi_event_ticker is not null group by 1)
 select m.id, e.ticker, cast(e.n as bigint) as n, e.first_close from markets m left join e on e.ticker = coalesce(m.kalshi_event_ticker, json_extract_string(m.metadata, '$.eventTicker')) where m.venue = 'kalshi'
@@ -199,16 +220,26 @@ def _(t):
     return x.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n", F.round("v", 2).alias("revenue"))
 
 
+def _typed_keys(markets):
+    m = markets.filter("close_time is not null").select("id", "venue", F.lower(F.trim("category")).alias("g"), F.date_format("close_time", "yyyy-MM-dd").alias("d"), F.col("derived_topic").alias("k"))
+    key = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat_ws("|", F.lit(kind), c, "d"))
+    keys = F.array(key("a", "k"), key("b", "g"))
+    return B.key_join(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), keys, keys)
+
+
 @query("j_typed_keys", """
 with m as (select id, venue, lower(trim(category)) as g, cast(cast(close_time as date) as varchar) as d, derived_topic as k from markets where close_time is not null and status = 'resolved'),
 e as (select id, venue, unnest([case when k is not null then 'a|' || k || '|' || d end, case when g is not null then 'b|' || g || '|' || d end]) as key from m)
 select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from e a join e b on a.key = b.key and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2
 """)
 def _(t):
-    m = t.markets.filter("close_time is not null and status = 'resolved'").select("id", "venue", F.lower(F.trim("category")).alias("g"), F.date_format("close_time", "yyyy-MM-dd").alias("d"), F.col("derived_topic").alias("k"))
-    key = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat_ws("|", F.lit(kind), c, "d"))
-    keys = F.array(key("a", "k"), key("b", "g"))
-    return B.key_join(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), keys, keys)
+    return _typed_keys(t.markets.filter("status = 'resolved'"))
+
+
+@query("j_typed_keys_all")
+def _(t):
+    """The same over listings of every status."""
+    return _typed_keys(t.markets)
 
 
 @query("j_team_pairs", r"""

@@ -293,20 +293,20 @@ s as (select l, r, case when len(list_distinct(list_concat(a.tok, b.tok))) = 0 t
 select l, r, round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as double) * g, 6) as score from s where round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as double) * g, 6) >= 0.35
 """)
 def _(t):
-    """As its SQL says: of each left row 50 candidates. ``e_scored_all`` has no such limit."""
+    """As its SQL says: election listings only, and of each left row 50 candidates. ``e_scored_all`` has neither limit."""
     return scored(simple(50), *_sides(t, "ELECTIONS")).select("l", "r", "score")
 
 
 @query("e_scored_all")
 def _(t):
-    """Every pair of election listings of the two venues that shares a word and reaches the least score."""
-    return scored(simple(), *_sides(t, "ELECTIONS")).select("l", "r", "score")
+    """Every pair of listings of the two venues that shares a word and reaches the least score."""
+    return scored(simple(), *_sides(t)).select("l", "r", "score")
 
 
 @query("e_pipeline")
 def _(t):
-    """The whole pipeline: block, gate, score, and choose greedily under the caps of both sides."""
-    return run(simple(), *_sides(t, "ELECTIONS"))
+    """The whole pipeline over all markets: block, gate, score, and choose greedily under the caps of both sides."""
+    return run(simple(), *_sides(t))
 
 
 @query("st_ingest")
