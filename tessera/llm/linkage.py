@@ -266,5 +266,13 @@ def link(markets: DataFrame, fit_rows: int = 40_000, most_patterns: int = 200_00
     ballots = np.array([[int(c) for c in r[0]] for r in got], dtype=np.int64).reshape(len(got), len(VOTERS))
     model = LabelModel(len(VOTERS)).fit(ballots, np.array([r[1] for r in got], dtype=float))
     known = spark.createDataFrame([(r[0], float(p)) for r, p in zip(got, model.posterior(ballots))], "pattern string, confidence double")
-    pairs = every.join(F.broadcast(known), "pattern")
+    pairs = every.join(F.broadcast(known), "pattern", "left")
+    if len(got) == most_patterns:  # there may be rarer ones, which the model scores just as well
+
+        @F.pandas_udf("double")
+        def rare(pattern: pd.Series) -> pd.Series:
+            return pd.Series(model.posterior(np.array([[int(c) for c in p] for p in pattern], dtype=np.int64).reshape(len(pattern), len(VOTERS))))
+
+        listed = pairs.filter("confidence is not null")
+        pairs = listed.unionByName(pairs.filter("confidence is null").withColumn("confidence", rare("pattern")))
     return Linkage(pairs.select(F.least("a", "b").alias("market_id_a"), F.greatest("a", "b").alias("market_id_b"), "confidence", "agrees", "pattern"), model)
