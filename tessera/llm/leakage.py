@@ -155,14 +155,20 @@ class Items:
         out: dict[int, list[int]] = {}
         grams = self.grams
         for form in (first, second) if second != first else (first,):
-            runs = [form[k:] for k in range(self.n)]
-            if grams.keys().isdisjoint(zip(*runs)):
-                continue
-            for p, gram in enumerate(zip(*runs)):
-                if gram in grams:
-                    out.setdefault(grams[gram], []).append(p)
+            for size in self.sizes:
+                runs = [form[k:] for k in range(size)]
+                if grams.keys().isdisjoint(zip(*runs)):
+                    continue
+                for p, gram in enumerate(zip(*runs)):
+                    if gram in grams:
+                        out.setdefault(grams[gram], []).append(p)
         return out
 
+    @cached_property
+    def sizes(self) -> list[int]:
+        """Lengths of the seeds: ``n``, and those of items that are shorter."""
+        return sorted({len(g) for g in self.grams})
+
     def rare(self, frequency: dict[int, int], most: int, items: int = 2) -> Items:
         """Without common seeds: those in more than ``most`` texts or more than ``items`` items, unless they are in the
         rarer half of some item's own."""
