@@ -7,8 +7,9 @@ votes alone how accurate and how correlated they are, and gives each pair a post
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,69 +30,93 @@ _PARSED = (
 
 
 class LabelModel:
-    """A latent class model of votes in {0: no, 1: nothing, 2: yes}; correlated voters are modelled jointly.
-
-    Fitted by expectation maximisation to counts of vote patterns. Voters whose votes depend on each other within
-    a class beyond ``link`` (a mutual information in nats) are put in one factor of at most three voters, which has a
-    table over their joint votes instead of one each.
+    """A generative model of votes in {0: no, 1: nothing, 2: yes}; correlated voters are modelled jointly.
+
+    A pair is a match, or it differs in one respect or another: there is a latent class of matches and one of others for each
+    factor of voters, so that what differs in one respect may well agree in the rest. Fitted by expectation maximisation to
+    counts of vote patterns, under constraints that let the classes be told apart without labels: of the matches at most
+    ``errors`` have a no from any one voter, and of a factor's class at most ``errors`` have none within that factor. Voters whose votes depend on each other among the
+    matches or among the others beyond ``link`` (a mutual information in nats, or what chance makes of few pairs) are put in one factor of at most three voters, which
+    has a table over their joint votes. A voter that says nothing is no evidence: votes are counted among those that are cast.
     """
 
-    def __init__(self, voters: int, link: float = 0.02, rounds: int = 100, smooth: float = 0.5):
-        self.voters, self.link, self.rounds, self.smooth = voters, link, rounds, smooth
+    def __init__(self, voters: int, link: float = 0.02, rounds: int = 100, smooth: float = 0.5, errors: float = 0.01):
+        self.voters, self.link, self.rounds, self.smooth, self.errors = voters, link, rounds, smooth, errors
         self.factors: list[tuple[int, ...]] = [(v,) for v in range(voters)]
         self.tables: list[np.ndarray] = []
-        self.prior = 0.5
+        self.prior = np.full(voters + 1, 1 / (voters + 1))
 
     def _codes(self, votes: np.ndarray) -> list[np.ndarray]:
         return [sum(votes[:, v] * 3**i for i, v in enumerate(f)) for f in self.factors]
 
-    def _em(self, votes: np.ndarray, n: np.ndarray, post: np.ndarray) -> np.ndarray:
+    def _table(self, counts: np.ndarray, voters: int, own: int) -> np.ndarray:
+        """Shares of each class's votes; ``own`` is the class of pairs that differ in this factor."""
+        digits = np.arange(3**voters)[:, None] // 3 ** np.arange(voters) % 3
+        silent = (digits == 1) @ 2 ** np.arange(voters)
+        t = counts + self.smooth * np.prod(np.array([0.1, 0.5, 0.9])[digits], 1)  # what little is known before: most votes are yes
+        for mask in np.unique(silent):
+            here = silent == mask
+            t[:, here] /= t[:, here].sum(1, keepdims=True)
+            for i in range(voters):
+                no, yes = here & (digits[:, i] == 0), here & (digits[:, i] == 2)
+                if (p := t[0][no].sum()) > self.errors:
+                    t[0][no] *= self.errors / p
+                    t[0][yes] *= (1 - self.errors) / (1 - p)
+            no = here & (digits == 0).any(1)
+            if (p := t[own][here & ~no].sum()) > self.errors:
+                t[own][here & ~no] *= self.errors / p
+                t[own][no] *= (1 - self.errors) / max(1 - p, 1e-300)
+        return t
+
+    def _em(self, votes: np.ndarray, n: np.ndarray, match: np.ndarray) -> np.ndarray:
         codes = self._codes(votes)
+        objects = np.stack([(votes[:, f] == 0).any(1) for f in self.factors]) + 1e-3
+        shares = np.vstack([match, (1 - match) * objects / objects.sum(0)])
         for _ in range(self.rounds):
-            w = np.stack([(1 - post) * n, post * n])
-            self.prior = float(np.clip(w[1].sum() / n.sum(), 1e-4, 1 - 1e-4))
-            self.tables = []
-            for f, c in zip(self.factors, codes):
-                t = np.stack([np.bincount(c, w[y], 3 ** len(f)) for y in (0, 1)]) + self.smooth
-                self.tables.append(t / t.sum(1, keepdims=True))
-            new = self.posterior(votes)
-            done, post = np.abs(new - post).max() < 1e-6, new
+            w = shares * n
+            self.prior = (w.sum(1) + 2) / (w.sum() + 2 * len(w))
+            self.tables = [self._table(np.stack([np.bincount(c, x, 3 ** len(f)) for x in w]), len(f), k) for k, (f, c) in enumerate(zip(self.factors, codes), 1)]
+            new = self._shares(votes)
+            done, shares = np.abs(new - shares).max() < 1e-6, new
             if done:
                 break
-        return post
+        return shares[0]
 
     def fit(self, votes: np.ndarray, n: np.ndarray) -> LabelModel:
-        """``votes``: a pattern a row; ``n``: how often each occurs. Starts from the sign of the sum of the votes."""
+        """``votes``: a pattern a row; ``n``: how often each occurs. Starts from how many voters say no."""
         if not len(n):
             return self
-        start = 1 / (1 + np.exp(-2.0 * (votes - 1).sum(1)))
-        post = self._em(votes, n, start)
+        post = self._em(votes, n, 0.9 * 0.1 ** (votes == 0).sum(1))
         parent = list(range(self.voters))
         strength = []
         for a, b in itertools.combinations(range(self.voters), 2):
-            mi = 0.0
-            for y, w in ((0, (1 - post) * n), (1, post * n)):
-                joint = np.bincount(votes[:, a] * 3 + votes[:, b], w, 9).reshape(3, 3) + 1e-9
+            mi, cast = 0.0, (votes[:, a] != 1) & (votes[:, b] != 1)
+            for w in ((1 - post) * n * cast, post * n * cast):
+                joint = np.bincount(votes[:, a] * 3 + votes[:, b], w, 9).reshape(3, 3)[::2, ::2] + 1e-9
                 joint /= joint.sum()
                 mi += w.sum() / n.sum() * float((joint * np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))).sum())
             strength.append((mi, a, b))
         for mi, a, b in sorted(strength, reverse=True):
             ga, gb = parent[a], parent[b]
-            if mi < self.link or ga == gb or parent.count(ga) + parent.count(gb) > 3:
+            if mi < max(self.link, 4 / n.sum()) or ga == gb or parent.count(ga) + parent.count(gb) > 3:
                 continue
             parent = [ga if g == gb else g for g in parent]
         self.factors = [tuple(v for v in range(self.voters) if parent[v] == g) for g in sorted(set(parent))]
         self._em(votes, n, post)
         return self
 
+    def _shares(self, votes: np.ndarray) -> np.ndarray:
+        score = np.repeat(np.log(self.prior)[:, None], len(votes), 1)
+        for t, c in zip(self.tables, self._codes(votes)):
+            score += np.log(t)[:, c]
+        score = np.exp(score - score.max(0, initial=-np.inf)) if len(votes) else score
+        return score / score.sum(0)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The probability of a match; without a fit, by the balance of the votes."""
         if not self.tables:
             return 1 / (1 + np.exp(-2.0 * (votes - 1).sum(1)))
-        logit = np.log(self.prior) - np.log1p(-self.prior)
-        score = np.full(len(votes), logit)
-        for t, c in zip(self.tables, self._codes(votes)):
-            score += np.log(t[1][c]) - np.log(t[0][c])
-        return 1 / (1 + np.exp(-np.clip(score, -50, 50)))
+        return self._shares(votes)[0]
 
 
 def read_titles(markets: DataFrame) -> DataFrame:
@@ -134,30 +159,39 @@ def _shorter(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), cut))
 
 
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
 def _detail() -> list[Column]:
-    """All that must agree exactly besides name and day."""
-    return [F.col("kind"), F.coalesce(F.col("threshold").cast("string"), F.lit("")), F.col("direction"), F.col("detail"), F.coalesce(F.col("hour").cast("string"), F.lit(""))]
+    return [F.col("kind"), _text("threshold"), F.col("direction"), F.col("detail"), _text("hour")]
 
 
 def candidates(parsed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different venues that agree in kind, threshold, direction, detail and day, and whose names'
-    consonants (one of the two names, where a title has two) are at most one edit apart. Listings whose day cannot be
-    told are paired over all days of their question."""
-    exact, day = F.concat_ws("|", *_detail()), F.coalesce("day", F.lit("?"))
+    """Pairs (a, b) of different venues whose names' consonants (one of the two names, where a title has two) are at most one
+    edit apart and which, besides, agree in one of these: day, number and hour; day, kind and detail. So numbers, directions,
+    kinds and details may differ, and it is for the votes to tell. A listing whose title has no day also meets those of
+    the days before and after that of its close_time; one without either meets every day of its name, number and hour."""
     two = F.col("kind").isin(*TWO_NAMES)
     skels = F.when(two, F.concat(_shorter(F.col("skel")), _shorter(F.col("skel2")))).otherwise(_shorter(F.col("skel")))
-    keyed = parsed.select("id", "venue", F.col("day").isNull().alias("open"), exact.alias("exact"), day.alias("day"), F.explode(F.array_distinct(skels)).alias("s"))
-    dated = keyed.filter("not open").select("id", "venue", F.xxhash64("exact", "day", "s").alias("k"))
-    undated = keyed.select("id", "venue", "open", F.xxhash64("exact", "s").alias("k"))
-    wanted = undated.filter("open")
-    others = undated.join(wanted.select("k").distinct(), "k", "left_semi")
-    on = [F.col("x.k") == F.col("y.k"), F.col("x.venue") < F.col("y.venue")]
-
-    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.alias("x").join(y.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    both = pairs(dated, dated).unionByName(pairs(wanted, others)).unionByName(pairs(others.filter("not open"), wanted))
-    return both.distinct()
+    number = F.concat_ws("|", _text("threshold"), _text("hour"))
+    asked = F.concat_ws("|", "kind", "detail")
+    keyed = parsed.select("id", "venue", "told", "day", number.alias("number"), asked.alias("asked"), F.explode(F.array_distinct(skels)).alias("s"))
+    keyed = keyed.withColumn("around", F.when(F.col("told").isNull(), F.expr("transform(array(-1, 1), i -> cast(date_add(try_cast(day as date), i) as string))")))
+    own = F.array(F.xxhash64(F.lit("n"), "day", "number", "s"), F.xxhash64(F.lit("a"), "day", "asked", "s"))
+    dated = keyed.filter("day is not null")
+    at_home = dated.select("id", "venue", F.explode(own).alias("k"))
+    beside = dated.filter("around is not null").select("id", "venue", F.explode(F.array_compact("around")).alias("day"), "number", "s").select("id", "venue", F.xxhash64(F.lit("n"), "day", "number", "s").alias("k"))
+    undated = keyed.filter("day is null").select("id", "venue", F.xxhash64(F.lit("u"), "number", "s").alias("k"))
+    anywhere = keyed.select("id", "venue", F.xxhash64(F.lit("u"), "number", "s").alias("k")).join(undated.select("k").distinct(), "k", "left_semi")
+    parts = [
+        at_home.alias("x").join(at_home.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.venue") < F.col("y.venue"))),
+        beside.alias("x").join(at_home.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.venue") != F.col("y.venue"))),
+        undated.alias("x").join(anywhere.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.venue") != F.col("y.venue"))),
+    ]
+    first = F.col("x.venue") < F.col("y.venue")
+    pairs = [p.select(F.when(first, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.when(first, F.col("y.id")).otherwise(F.col("x.id")).alias("b")) for p in parts]
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def near_misses(parsed: DataFrame, rows: int, per_block: int = 6) -> DataFrame:
@@ -196,12 +230,12 @@ def _alike(a: Column, b: Column, sa: Column, sb: Column) -> Column:
     return (_edits(a, b) <= 1) | ((sa == sb) & (_edits(a, b) <= 2)) | (short & (_edits(sa, sb) <= 1))
 
 
-VOTERS = ("same_name", "close_name", "same_skeleton", "second_name", "first_name", "told_day", "day", "closes", "threshold", "direction", "detail", "hour", "category")
+VOTERS = ("kind", "same_name", "close_name", "same_skeleton", "second_name", "first_name", "told_day", "day", "closes", "threshold", "direction", "detail", "hour", "category")
 
 
 def votes(pairs: DataFrame, parsed: DataFrame, supports: DataFrame) -> DataFrame:
-    """The vote of each matching function on each pair, as a string of digits in the order of ``VOTERS``, with what the
-    exact check needs. ``supports`` has the (category, kind) that go together in the data."""
+    """The vote of each matching function on each pair, as a string of digits in the order of ``VOTERS``.
+    ``supports`` has the (category, kind) that go together in the data."""
     p = parsed.join(supports.withColumnRenamed("kind", "k2"), (F.col("category") == F.col("cat")) & (F.col("kind") == F.col("k2")), "left").drop("k2", "cat")
     x = p.select([F.col(c).alias(f"x_{c}") for c in p.columns])
     y = p.select([F.col(c).alias(f"y_{c}") for c in p.columns])
@@ -219,6 +253,7 @@ def votes(pairs: DataFrame, parsed: DataFrame, supports: DataFrame) -> DataFrame
     apart = F.abs(X("closes") - Y("closes")) / 3.6e9
     fits = X("supported") & Y("supported")
     ballots = {
+        "kind": _vote(same("kind"), ~same("kind")),
         "same_name": _vote(same("name"), F.lit(False)),
         "close_name": _vote(close, ~close),
         "same_skeleton": _vote(same("skel"), _edits(X("skel"), Y("skel")) > 1),
@@ -233,11 +268,7 @@ def votes(pairs: DataFrame, parsed: DataFrame, supports: DataFrame) -> DataFrame
         "hour": _vote(same("hour"), ~X("hour").eqNullSafe(Y("hour"))),
         "category": _vote(fits, (X("category") != "") & X("supported").isNull() | (Y("category") != "") & Y("supported").isNull()),
     }
-    agrees = (
-        same("kind") & close & F.coalesce(close2, F.lit(True)) & F.coalesce(first, F.lit(True)) & X("threshold").eqNullSafe(Y("threshold")) & same("direction")
-        & same("detail") & X("hour").eqNullSafe(Y("hour")) & F.coalesce(same("day"), F.lit(True))
-    )
-    return j.select("a", "b", F.concat(*[ballots[v].cast("string") for v in VOTERS]).alias("pattern"), F.coalesce(agrees, F.lit(False)).alias("agrees"))
+    return j.select("a", "b", F.concat(*[ballots[v].cast("string") for v in VOTERS]).alias("pattern"))
 
 
 @dataclass
@@ -246,12 +277,17 @@ class Linkage:
     model: LabelModel
 
 
+def _ballots(patterns: Sequence[str]) -> np.ndarray:
+    return np.array([[int(c) for c in p] for p in patterns], dtype=np.int64).reshape(len(patterns), len(VOTERS))
+
+
 def link(markets: DataFrame, fit_rows: int = 40_000, most_patterns: int = 200_000) -> Linkage:
-    """(market_id_a, market_id_b, confidence, agrees) of the candidate pairs, smaller id first.
+    """(market_id_a, market_id_b, confidence, pattern) of every candidate pair, smaller id first.
 
-    The model is fitted to the vote patterns of all candidates and of a sample of near misses (at most
-    2 * ``fit_rows`` listings), counted on the cluster; there are as many patterns as voters disagree in different ways, not
-    as pairs. ``agrees`` is the exact check on what the titles say. Markets with null id, venue or unreadable title
+    The confidence is the label model's posterior of the pair's votes, and nothing else decides: whoever wants the
+    matches takes those above a confidence. The model is fitted to the most frequent ``most_patterns`` vote patterns of all candidates
+    and of a sample of near misses (at most 4 * ``fit_rows`` listings), counted on the cluster; every pair's posterior is then
+    computed from the model's tables, however rare its pattern. Markets with null id, venue or unreadable title
     pair with nothing; repeated ids count once; null close_time and category vote nothing.
     """
     spark = markets.sparkSession
@@ -259,20 +295,16 @@ def link(markets: DataFrame, fit_rows: int = 40_000, most_patterns: int = 200_00
     parsed = scratch.write(read_titles(markets), "parsed")
     share = parsed.filter("category <> ''").groupBy(F.col("category").alias("cat"), "kind").count()
     share = share.withColumn("of", F.sum("count").over(Window.partitionBy("cat"))).filter("count >= 0.05 * of")
-    supports = small(share.select("cat", "kind", F.lit(True).alias("supported")))
+    supports = small(scratch.write(share.select("cat", "kind", F.lit(True).alias("supported")), "supports"))
     every = scratch.write(votes(candidates(parsed), parsed, supports), "votes")
     sample = votes(near_misses(parsed, fit_rows), parsed, supports)
     got = every.select("pattern").unionByName(sample.select("pattern")).groupBy("pattern").count().orderBy(F.desc("count"), "pattern").limit(most_patterns).collect()
-    ballots = np.array([[int(c) for c in r[0]] for r in got], dtype=np.int64).reshape(len(got), len(VOTERS))
-    model = LabelModel(len(VOTERS)).fit(ballots, np.array([r[1] for r in got], dtype=float))
-    known = spark.createDataFrame([(r[0], float(p)) for r, p in zip(got, model.posterior(ballots))], "pattern string, confidence double")
-    pairs = every.join(F.broadcast(known), "pattern", "left")
-    if len(got) == most_patterns:  # there may be rarer ones, which the model scores just as well
-
-        @F.pandas_udf("double")
-        def rare(pattern: pd.Series) -> pd.Series:
-            return pd.Series(model.posterior(np.array([[int(c) for c in p] for p in pattern], dtype=np.int64).reshape(len(pattern), len(VOTERS))))
-
-        listed = pairs.filter("confidence is not null")
-        pairs = listed.unionByName(pairs.filter("confidence is null").withColumn("confidence", rare("pattern")))
-    return Linkage(pairs.select(F.least("a", "b").alias("market_id_a"), F.greatest("a", "b").alias("market_id_b"), "confidence", "agrees", "pattern"), model)
+    model = LabelModel(len(VOTERS)).fit(_ballots([r[0] for r in got]), np.array([r[1] for r in got], dtype=float))
+
+    @F.pandas_udf("double")
+    def posterior(pattern: pd.Series) -> pd.Series:
+        codes, names = pd.factorize(pattern)
+        return pd.Series(model.posterior(_ballots(names))[codes])
+
+    pairs = every.select(F.least("a", "b").alias("market_id_a"), F.greatest("a", "b").alias("market_id_b"), posterior("pattern").alias("confidence"), "pattern")
+    return Linkage(pairs, model)

@@ -50,7 +50,7 @@ def p2_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = link(table(spark, sf_dir, "markets")).pairs.filter("agrees and confidence >= 0.5")
+    found = link(table(spark, sf_dir, "markets")).pairs.filter("confidence >= 0.5")
     return found.select("market_id_a", "market_id_b", "confidence")
 
 

@@ -47,20 +47,25 @@ def test_odd_titles():
     assert fold("  Tavünund – “X” ") == "tavunund - x" and skeleton("velllonin") == "vln"
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_matches():
+    """Pairs that differ in one respect agree in the rest by more than chance, which voters taken as independent would call a match."""
     rnd = np.random.default_rng(1)
-    n, acc = 20_000, np.array([0.95, 0.9, 0.85, 0.8, 0.7])
-    y = rnd.random(n) < 0.3
-    right = rnd.random((n, 5)) < acc
-    votes = np.where(right == y[:, None], 2, 0)
-    votes[rnd.random((n, 5)) < 0.2] = 1
+    n = 20_000
+    kind = rnd.choice(4, n, p=[0.3, 0.3, 0.2, 0.2])  # matches, and pairs that differ in the first, second or third respect
+    says_no = np.array([[0.01, 0.01, 0.01, 0.005], [0.97, 0.1, 0.2, 0.6], [0.2, 0.98, 0.1, 0.5], [0.1, 0.3, 0.97, 0.4]])
+    votes = np.where(rnd.random((n, 4)) < says_no[kind], 0, 2)
     votes = np.column_stack([votes, votes[:, 0]])  # a copy of the first voter: no new evidence
+    votes[rnd.random((n, 5)) < 0.1] = 1
     pats, inv, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    m = LabelModel(6).fit(pats, counts.astype(float))
-    assert any({0, 5} <= set(f) for f in m.factors)
-    assert abs(m.prior - 0.3) < 0.03
-    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.95
+    m = LabelModel(5, errors=0.02).fit(pats, counts.astype(float))
+    assert any({0, 4} <= set(f) for f in m.factors)
+    post = m.posterior(votes)
+    clear = (votes != 1).sum(1) >= 4
+    assert (((post > 0.5) == (kind == 0))[clear]).mean() > 0.95
+    # one vote decides: all yes is a match, and the same with a no is none
+    assert m.posterior(np.array([[2, 2, 2, 2, 2], [2, 0, 2, 2, 2], [2, 2, 0, 2, 2]])).round().tolist() == [1, 0, 0]
     assert LabelModel(3).fit(np.zeros((0, 3), int), np.zeros(0)).posterior(np.array([[2, 2, 2], [0, 0, 1]])).round().tolist() == [1, 0]
+    assert m.posterior(np.zeros((0, 5), int)).tolist() == []
 
 
 def test_link(spark):
@@ -87,7 +92,7 @@ def test_link(spark):
     from pyspark.sql import functions as F
 
     df = df.withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("kind", F.lit("x")).withColumn("a", F.lit(1))
-    got = {(r.market_id_a, r.market_id_b) for r in link(df).pairs.filter("agrees").collect()}
+    got = {(r.market_id_a, r.market_id_b) for r in link(df).pairs.filter("confidence >= 0.5").collect()}
     assert got == want
     assert link(df.limit(0)).pairs.count() == 0
 
@@ -99,5 +104,5 @@ def test_link_hot_question_and_nulls(spark):
     rows += [(i, "kalshi", f"2026-10 rate decision Nudakex: {25 * (i % 9)}bp increase", None, None, None) for i in range(2000, 2300)]
     rows += [(5000, None, q, None, None, None), (5001, "kalshi", None, None, None, None), (None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "id long, venue string, title string, category string, close_time timestamp_ntz, created_at timestamp_ntz")
-    got = {(r.market_id_a, r.market_id_b) for r in link(df).pairs.filter("agrees").collect()}
+    got = {(r.market_id_a, r.market_id_b) for r in link(df).pairs.filter("confidence >= 0.5").collect()}
     assert got == {(i, k) for i in range(1, 151) for k in (1000, 1001)}
