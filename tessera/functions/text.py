@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a title loses before it is compared.
-STOP_WORDS = """will the a an to in on for of does is are be during under over than by at with from as this that it its or and but if
-then so because what which who whom how when where why have has had do did was were been being can could would should may might must
-shall before after above below""".split()
+STOP_WORDS = (
+    "will", "the", "a", "an", "to", "in", "on", "for", "of", "does", "is", "are", "be", "during", "under", "over", "than", "by", "at", "with", "from", "as", "this",
+    "that", "it", "its", "or", "and", "but", "if", "then", "so", "because", "what", "which", "who", "whom", "how", "when", "where", "why", "have", "has", "had", "do",
+    "did", "was", "were", "been", "being", "can", "could", "would", "should", "may", "might", "must", "shall", "before", "after", "above", "below",
+)
 
 
 def normalize_title(title: Column) -> Column:
@@ -19,7 +21,7 @@ def normalize_title(title: Column) -> Column:
 
 def tokenize(title: Column) -> Column:
     t = F.regexp_replace(F.lower(title), r"[^a-z0-9_\s-]", " ")
-    t = F.regexp_replace(t, r"(^|[^a-z0-9_])v\.?\s*", "$1vs ")
+    t = F.regexp_replace(t, r"\bv\.?\s*", "vs ")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(F.split(t, r"\s+"), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
 
@@ -91,6 +93,7 @@ def season_of_ticker(c: Column) -> Column:
 AT_LEAST_WORDS = ("above", "over", "exceed", "exceeds", "exceeding", "reach", "reaches", "reaching", "hit", "hits", "at least", "greater than", "more than", "higher than", "surpass", "surpasses", "top", "tops")
 AT_MOST_WORDS = ("below", "under", "less than", "at most", "lower than", "fall below", "falls below", "drop below", "drops below", "not exceed", "not reach", "fail to reach")
 WIN_WORDS = ("win", "wins", "winning", "winner", "beat", "beats", "defeat", "defeats", "elected", "election winner", "victory", "champion", "champions", "championship")
+# How a range of numbers is written.
 BETWEEN = r"between\s+\$?[0-9,]+\s+and\s+\$?[0-9,]+|from\s+\$?[0-9,]+\s+to\s+\$?[0-9,]+|\$?[0-9,]+\s*[-–]\s*\$?[0-9,]+|\$?[0-9,]+\s+to\s+\$?[0-9,]+"
 
 
@@ -106,10 +109,13 @@ def comparator(title: Column, whole_words: bool = False) -> Column:
     return F.when(t.rlike(BETWEEN), "BETWEEN").when(has(AT_LEAST_WORDS), "GE").when(has(AT_MOST_WORDS), "LE").when(has(WIN_WORDS), "WIN").otherwise("UNKNOWN")
 
 
+MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+
+
 def numbers(title: Column) -> Column:
     """Numbers of a title, distinct and rising. k, m, b, t and the words for them multiply. Left out: numbers below 1, years
-    (1900 to 2100), 1 to 31 without a dollar sign, multiplier or percent sign, and days after a month's name."""
-    t = F.regexp_replace(F.lower(title), r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{1,2}(?![0-9,.])", " ")
+    (1900 to 2100), 1 to 31 without a dollar sign, multiplier or percent sign, and days after a month's name or its first three letters."""
+    t = F.regexp_replace(F.lower(title), rf"\b({MONTH})\s+[0-9]{{1,2}}(?![0-9,.])", " ")
     part = lambda k: F.regexp_extract_all(t, F.lit(r"(\$?)([0-9][0-9,]*(?:\.[0-9]+)?)(k|m|b|t|\s*thousand|\s*million|\s*billion|\s*trillion)?(\b|\s*%)(\s*%)?"), F.lit(k))
 
     def one(x: Column) -> Column:

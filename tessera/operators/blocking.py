@@ -32,30 +32,30 @@ def meet(left: DataFrame, right: DataFrame, keys_left: str, keys_right: str, mos
     return a.hint("merge").join(b, ["_k", "_slice"]).drop("_slice")
 
 
-def token_join(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, common: int | None = None, shortest: int = 3, on: str = "id") -> DataFrame:
-    """Pairs that share at least ``least`` tokens of ``shortest`` letters or more. Tokens that more than ``common`` rows of a
-    side have (a third of all rows may) are no keys: they say little, and their pairs would grow with the square."""
+def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id") -> DataFrame:
+    """(l, r, n_keys) of the pairs that share at least ``least`` tokens of ``shortest`` letters or more; no token is left out, however frequent.
+
+    With ``least`` above 1 a row is found only by the rarest of its n tokens, all but ``least`` - 1 of them: rows that share so
+    many tokens share one of these on both sides, in one order of all tokens. Frequent tokens are then keys only of rows that
+    have little else. Hot keys are joined in slices, and a pair is made at the first key it shares, so that pairs are not
+    shuffled. The result grows with the square of the rows that share tokens.
+    """
     mine = F.filter(F.array_distinct(F.col(tokens)), lambda t: F.length(t) >= shortest)
-    l, r = left.select(on, mine.alias("t")), right.select(on, mine.alias("t"))
-    if common is not None:
-        often = l.select(F.explode("t").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(r.select(F.explode("t").alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-        often = often.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter((F.col("a") > common) | (F.col("b") > common)).select("k")
-        drop = small(often)
-        clean = lambda d: d.select(on, F.explode("t").alias("k")).join(drop, "k", "left_anti")
-        a, b = clean(l).withColumnRenamed(on, "l"), clean(r).withColumnRenamed(on, "r")
-        pairs = a.join(b, "k").groupBy("l", "r").agg(F.count("*").alias("n_keys"))
+    l, r = left.select(F.col(on).alias("l"), mine.alias("_lt")), right.select(F.col(on).alias("r"), mine.alias("_rt"))
+    if least == 1:
+        l, r = l.withColumn("_lk", F.col("_lt")), r.withColumn("_rk", F.col("_rt"))
     else:
-        pairs = key_join(l, r, F.col("t"), F.col("t"), on)
-    return pairs.filter(F.col("n_keys") >= least)
+        each = l.select(F.explode("_lt").alias("t")).unionByName(r.select(F.explode("_rt").alias("t")))
+        often = each.groupBy("t").agg(F.count("*").alias("n"))
 
+        def rarest(side: DataFrame, id: str, have: str, key: str) -> DataFrame:
+            ranked = side.select(id, F.explode(have).alias("t")).join(often, "t").groupBy(id).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).getField("t").alias("_o"))
+            own = ranked.filter(F.size("_o") >= least).select(id, F.slice("_o", 1, F.size("_o") - (least - 1)).alias(key))
+            return side.join(own, id)
 
-def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id") -> DataFrame:
-    """Like :func:`token_join` with no token left out, however frequent: hot tokens are joined in slices, and a pair is made at the
-    first token it shares, so that pairs are not shuffled. The result grows with the square of the rows of a token."""
-    mine = F.filter(F.array_distinct(F.col(tokens)), lambda t: F.length(t) >= shortest)
-    both = F.array_intersect("_lk", "_rk")
-    j = meet(left.select(F.col(on).alias("l"), mine.alias("_lk")), right.select(F.col(on).alias("r"), mine.alias("_rk")), "_lk", "_rk")
-    return j.filter(F.col("_k") == F.array_min(both)).select("l", "r", F.size(both).cast("bigint").alias("n_keys")).filter(F.col("n_keys") >= least)
+        l, r = rarest(l, "l", "_lt", "_lk"), rarest(r, "r", "_rt", "_rk")
+    j = meet(l, r, "_lk", "_rk").filter(F.col("_k") == F.array_min(F.array_intersect("_lk", "_rk")))
+    return j.select("l", "r", F.size(F.array_intersect("_lt", "_rt")).cast("bigint").alias("n_keys")).filter(F.col("n_keys") >= least)
 
 
 def near_days(day: Column, reach: int = 1) -> Column:

@@ -19,15 +19,17 @@ def label(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
-def current_links(links: DataFrame, keep: tuple[str, ...] = (), salts: int = 64) -> DataFrame:
+def current_links(links: DataFrame, keep: tuple[str, ...] = (), salts: int | None = None) -> DataFrame:
     """One row per link: the latest updated_at, then the greatest id; exact copies count once.
 
     Result: the four key columns, ``id``, ``salt`` and the columns in ``keep``. Rows are partitioned by
     (left_market_id, salt), where salt is a hash of the right id: all rows of a link meet in one place, while
-    a left market holding a third of all rows spreads over ``salts`` slices. Rows whose left or right id is
+    a left market holding a third of all rows spreads over ``salts`` slices (by default so many that a slice of one
+    that held all rows would have about a million; the count comes from the files' footers). Rows whose left or right id is
     null tie nothing together and are left out; a null venue is a value like any other, a null updated_at is
     older than all others. Further columns of the input are ignored.
     """
+    salts = salts or max(64, links.count() // 1_000_000)
     rows = (
         links.filter("left_market_id is not null and right_market_id is not null and id is not null")
         .select(*LINK_KEY, "id", "updated_at", *[c for c in keep if c not in LINK_KEY])

@@ -11,15 +11,16 @@ from pyspark.sql.window import Window
 from tessera.shared import Scratch
 
 
-def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float = 0.0, keep_close: bool = False, finish: int = 50_000, most_rounds: int = 400) -> DataFrame:
+def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float = 0.0, keep_close: bool = False, finish: int = 50_000) -> DataFrame:
     """Greedy matching of (l, r, score) with caps on both sides, as if pairs were taken one by one by falling score (ties by
     l, then r). A pair is taken unless its left or right row is full, or the gap rule of its right row's best
     pair forbids it: with ``gap`` a pair less than gap below the best is skipped; with ``keep_close`` one more than gap
     below it.
 
     The order is kept without sorting everything in one place: a pair that comes first among the undecided pairs of both
-    of its rows can be decided, as all that it depends on is. Each round decides all such pairs; once at most ``finish``
-    are left, one task takes them in order. Null and NaN scores and null ends are left out; of repeated
+    of its rows can be decided, as all that it depends on is. Each round decides all such pairs, and drops all those that a full
+    row or the best pair of their right row already rules out; the first of all undecided pairs is always decided, so
+    the rounds come to an end. Once at most ``finish`` are left, one task takes them in order. Null and NaN scores and null ends are left out; of repeated
     (l, r) the best score counts.
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "greedy")
@@ -36,9 +37,7 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         below = F.col("best") - F.col("score")
         return free & (F.col("best").isNull() | (below <= gap if keep_close else below >= gap))
 
-    for _ in range(most_rounds):
-        if left.count() <= finish:
-            break
+    while left.count() > finish:
         first = left.withColumn("_a", F.row_number().over(Window.partitionBy("l").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("r").orderBy(*order)))
         marked = scratch.write(first.withColumn("_now", (F.col("_a") == 1) & (F.col("_b") == 1)).withColumn("_yes", F.col("_now") & fits()), "round")
         won = marked.filter("_yes")
@@ -46,9 +45,8 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         rest = marked.filter("not _now").drop("_a", "_b", "_now", "_yes")
         rest = rest.join(won.select("l", F.lit(1).alias("_l")), "l", "left").join(won.select("r", F.lit(1).alias("_r"), F.col("score").alias("_s")), "r", "left")
         rest = rest.select("l", "r", "score", (F.col("n_l") + F.coalesce("_l", zero)).alias("n_l"), (F.col("n_r") + F.coalesce("_r", zero)).alias("n_r"), F.coalesce("best", "_s").alias("best"))
-        left = scratch.write(rest.filter((F.col("n_l") < cap_left) & (F.col("n_r") < cap_right)), "open")
-    else:
-        raise RuntimeError(f"more than {finish} pairs left after {most_rounds} rounds")
+        before, left = left, scratch.write(rest.filter(fits()), "open")
+        scratch.drop(before)
 
     def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "l", "r"], ascending=[False, True, True], kind="stable")
@@ -75,15 +73,16 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
 def winner_only(pairs: DataFrame, gap: float) -> DataFrame:
     """Of each left row all pairs, or only the best where it leads the second by ``gap`` or more."""
     w = Window.partitionBy("l").orderBy(F.col("score").desc(), F.col("r"))
-    x = pairs.withColumn("_n", F.row_number().over(w)).withColumn("_second", F.lead("score").over(w))
-    lead = F.max(F.when(F.col("_n") == 1, F.col("score") - F.col("_second"))).over(Window.partitionBy("l"))
-    return x.withColumn("_lead", lead).filter((F.col("_n") == 1) | F.col("_lead").isNull() | (F.col("_lead") < gap)).drop("_n", "_second", "_lead")
+    two = pairs.select("l", "r", "score").withColumn("_n", F.row_number().over(w)).filter("_n <= 2")  # two a row and partition are shuffled, not all
+    lead = two.groupBy("l").agg((F.max("score") - F.min("score")).alias("_lead"), F.count("*").alias("_of"), F.min_by("r", "_n").alias("_r"))
+    won = lead.filter((F.col("_of") == 2) & (F.col("_lead") >= gap)).select("l", "_r")
+    return pairs.join(won, "l", "left").filter(F.col("_r").isNull() | (F.col("r") == F.col("_r"))).select(*pairs.columns)
 
 
 def keep_close(pairs: DataFrame, gap: float) -> DataFrame:
     """Of each left row the pairs less than ``gap`` below its best."""
-    top = F.max("score").over(Window.partitionBy("l"))
-    return pairs.withColumn("_top", top).filter((F.col("_top") == F.col("score")) | (F.col("_top") - F.col("score") < gap)).drop("_top")
+    top = pairs.groupBy("l").agg(F.max("score").alias("_top"))
+    return pairs.join(top, "l").filter((F.col("_top") == F.col("score")) | (F.col("_top") - F.col("score") < gap)).select(*pairs.columns)
 
 
 def brackets(rows: DataFrame, left: str, key: str, score: str, tie: str, groups: int, lines: int) -> DataFrame:
@@ -91,10 +90,10 @@ def brackets(rows: DataFrame, left: str, key: str, score: str, tie: str, groups:
     scores by ``tie``."""
     in_group = Window.partitionBy(left, key).orderBy(F.col(score).desc(), F.col(tie))
     x = rows.withColumn("line", F.row_number().over(in_group)).filter(F.col("line") <= lines)
-    whole = Window.partitionBy(left, key)
-    x = x.withColumn("_s", F.max(score).over(whole)).withColumn("_t", F.min(F.when(F.col("line") == 1, F.col(tie))).over(whole))
-    rank = F.dense_rank().over(Window.partitionBy(left).orderBy(F.col("_s").desc(), F.col("_t"), F.col(key)))
-    return x.withColumn("bracket", rank).filter(F.col("bracket") <= groups).drop("_s", "_t")
+    best = rows.groupBy(left, key).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(tie)).alias("t"))).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(left).orderBy(F.col("_b.s").desc(), F.col("_b.t").desc(), F.col(key)))
+    best = best.withColumn("bracket", rank).filter(F.col("bracket") <= groups).drop("_b")
+    return x.join(best, [left, key]).select(*rows.columns, "line", "bracket")
 
 
 def central_line(rows: DataFrame, group: list[str], value: str, score: str, tie: str) -> DataFrame:
@@ -122,9 +121,9 @@ def shared_key_cap(rows: DataFrame, right: str, keys: str, cap: int, row: str, *
 
 def guarded_caps(rows: DataFrame, left: str, exact: Column, cap: int, loose_cap: int, *order: Column) -> DataFrame:
     """Per left row exact rows up to ``cap``, then at most ``loose_cap`` others in the places left."""
-    x = rows.withColumn("_e", exact)
-    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(left, "_e").orderBy(*order)))
-    x = x.withColumn("_x", F.sum(F.col("_e").cast("int")).over(Window.partitionBy(left)))
+    x = rows.withColumn("_e", F.coalesce(exact, F.lit(False)))
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(left, "_e").orderBy(*order))).filter(F.col("_n") <= max(cap, loose_cap))
+    x = x.withColumn("_x", F.sum(F.col("_e").cast("int")).over(Window.partitionBy(left)))  # over the few rows left of each
     free = F.least(F.lit(loose_cap), cap - F.least(F.col("_x"), F.lit(cap)))
     return x.filter(F.when(F.col("_e"), F.col("_n") <= cap).otherwise(F.col("_n") <= free)).drop("_e", "_n", "_x")
 

@@ -13,10 +13,10 @@ Rule = Callable[[Column, Column], Column]
 def merge(stored: DataFrame, batch: DataFrame, key: list[str], rules: dict[str, Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows of both tables with ``change``: created, updated, unchanged, or untouched (only stored).
 
-    A column takes the batch's value, or what its rule makes of (stored, batch); columns in ``keep`` are never
-    changed once stored. Keys should be unique in each table; keys with a null match nothing.
+    A column takes the batch's value, or what its rule makes of (stored, batch); columns in ``keep`` and those the batch does not
+    have are never changed once stored, and are null in new rows the batch has no value for. Columns only the batch has are ignored. Keys should be unique in each table; keys with a null match nothing.
     """
-    rules, keep = rules or {}, set(keep or [])
+    rules, keep = rules or {}, {*(keep or []), *(c for c in stored.columns if c not in batch.columns)}
     values = [c for c in stored.columns if c not in key]
     s = stored.select(*key, F.struct(*values).alias("s"), F.lit(True).alias("in_s"))
     b = batch.select(*key, F.struct(*[c if c in batch.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in values]).alias("b"), F.lit(True).alias("in_b"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.blocking import cap_per, key_join, meet
+from tessera.operators.blocking import meet
 from tessera.operators.selection import greedy_capped
 from tessera.operators.upsert import merge
 
@@ -16,15 +16,14 @@ from tessera.operators.upsert import merge
 @dataclass(frozen=True)
 class Pipeline:
     """``keys``: array of block keys of a row; ``gates``: conditions on a pair (columns l_* and r_*); ``scores``: weighted
-    component scores; ``least``: lowest score kept. ``keys_right``: those of right rows, where they are others. With
-    ``candidates`` a left row keeps only so many candidates before anything is compared; by default it keeps all."""
+    component scores; ``least``: lowest score kept. ``keys_right``: those of right rows, where they are others. Every pair that meets
+    at a key is gated and scored; caps come after, in the choice."""
 
     name: str
     keys: Callable[[], Column]
     scores: dict[str, tuple[float, Column]]
     gates: list[Column] = field(default_factory=list)
     least: float = 0.6
-    candidates: int | None = None
     keys_right: Callable[[], Column] | None = None
     per_left: int = 5
     per_right: int = 5
@@ -52,17 +51,11 @@ def scored(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r, components, score) of the candidate pairs that pass the gates and reach the least score.
 
     Pairs are compared where their keys meet and are never shuffled; a pair that shares several keys is kept at the first of them.
-    Only a pipeline with ``candidates`` ranks the candidates before, by the most shared keys and then the smallest right id.
     """
     mine, other = p.keys(), (p.keys_right or p.keys)()
     x = left.select(F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in left.columns], F.array_distinct(mine).alias("_lk"))
     y = right.select(F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in right.columns], F.array_distinct(other).alias("_rk"))
-    if p.candidates is None:
-        j = meet(x, y, "_lk", "_rk")
-    else:
-        pairs = cap_per(key_join(left, right, mine, other), "l", p.candidates, F.col("n_keys").desc(), F.col("r")).select("l", "r")
-        j = pairs.join(x, "l").join(y, "r").withColumn("_k", F.array_min(F.array_intersect("_lk", "_rk")))
-    j = j.filter(F.col("l") != F.col("r"))
+    j = meet(x, y, "_lk", "_rk").filter(F.col("l") != F.col("r"))
     for g in p.gates:
         j = j.filter(g)
     parts = [c.alias(n) for n, (_, c) in p.scores.items()]
@@ -78,11 +71,10 @@ def run(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def store(links: DataFrame, found: DataFrame) -> DataFrame:
-    """Found pairs (l, r, score) merged into stored links: a confirmed link keeps its score and status."""
-    new = found.select(F.col("l").alias("left_market_id"), F.col("r").alias("right_market_id"), F.lit("suggested").alias("status"), "score")
-    keep = lambda old, new: F.when(F.lit(True), new)
-    rows = merge(links, new, ["left_market_id", "right_market_id"], {"score": keep})
-    confirmed = links.filter("status = 'confirmed'").select("left_market_id", "right_market_id", F.col("score").alias("_s"))
-    j = rows.join(confirmed, ["left_market_id", "right_market_id"], "left")
-    held = F.col("_s").isNotNull()
-    return j.withColumn("status", F.when(held, "confirmed").otherwise(F.col("status"))).withColumn("score", F.when(held, F.col("_s")).otherwise(F.col("score"))).drop("_s")
+    """Found pairs (l, r, score) merged into stored links: a confirmed link keeps its score and status, every link the columns
+    that finding says nothing of. One join, whatever the links' columns."""
+    new = found.select(F.col("l").alias("left_market_id"), F.col("r").alias("right_market_id"), F.struct(F.lit("suggested").alias("status"), F.col("score").cast(links.schema["score"].dataType).alias("score")).alias("_v"))
+    stored = links.withColumn("_v", F.struct(F.col("status").alias("status"), F.col("score").alias("score"))).drop("status", "score")
+    confirmed = lambda v: F.lower(F.trim(v["status"])) == "confirmed"
+    rows = merge(stored, new, ["left_market_id", "right_market_id"], {"_v": lambda old, new: F.when(confirmed(old), old).otherwise(new)})
+    return rows.select(*[F.col("_v")[c].alias(c) if c in ("status", "score") else F.col(c) for c in links.columns], "change")

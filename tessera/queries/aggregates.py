@@ -112,12 +112,12 @@ def _(t):
 
 
 @query("a_key_sets", """
-with p as (select category as e, venue, list_sort(list(distinct strftime(close_time, '%Y-%m'))) as k from markets where close_time is not null and category is not null and derived_topic in ('CLIMATE', 'SPORTS') group by 1, 2),
+with p as (select category as e, venue, list_sort(list(distinct strftime(close_time, '%Y-%m'))) as k from markets where close_time is not null and category is not null group by 1, 2),
 e as (select lower(e) as e, list_distinct(flatten(list(k) filter (where venue = 'kalshi'))) as a, list_distinct(flatten(list(k) filter (where venue = 'polymarket'))) as b from p group by 1)
 select e, array_to_string(list_sort(list_intersect(coalesce(a, []), coalesce(b, []))), ',') as shared, cast(len(list_filter(coalesce(a, []), lambda x: not list_contains(coalesce(b, []), x))) as bigint) as only_a, cast(len(list_filter(coalesce(b, []), lambda x: not list_contains(coalesce(a, []), x))) as bigint) as only_b from e
 """)
 def _(t):
-    m = t.markets.filter("close_time is not null and category is not null and derived_topic in ('CLIMATE', 'SPORTS')").select(F.lower("category").alias("e"), "venue", F.date_format("close_time", "yyyy-MM").alias("k"))
+    m = t.markets.filter("close_time is not null and category is not null").select(F.lower("category").alias("e"), "venue", F.date_format("close_time", "yyyy-MM").alias("k"))
     s = m.groupBy("e").agg(F.collect_set(F.when(F.col("venue") == "kalshi", F.col("k"))).alias("a"), F.collect_set(F.when(F.col("venue") == "polymarket", F.col("k"))).alias("b"))
     return s.select("e", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("shared"), F.size(F.array_except("a", "b")).cast("bigint").alias("only_a"), F.size(F.array_except("b", "a")).cast("bigint").alias("only_b"))
 
@@ -186,9 +186,9 @@ def _(t):
     return t.market_links.filter("score is not null and not isnan(score)").select("score", F.explode(hit).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query("a_cube_breakdown", "select venue, status, is_mve, cast(count(*) as bigint) as n from markets where derived_topic = 'SPORTS' group by cube (venue, status, is_mve)")
+@query("a_cube_breakdown", "select venue, status, is_mve, cast(count(*) as bigint) as n from markets group by cube (venue, status, is_mve)")
 def _(t):
-    return t.markets.filter("derived_topic = 'SPORTS'").cube("venue", "status", "is_mve").agg(F.count("*").alias("n"))
+    return t.markets.cube("venue", "status", "is_mve").agg(F.count("*").alias("n"))
 
 
 @query("a_rollup_time", "select year(close_time) as y, month(close_time) as m, cast(count(*) as bigint) as n from markets where close_time is not null group by rollup (year(close_time), month(close_time))")

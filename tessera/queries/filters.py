@@ -177,7 +177,7 @@ def _tokens_sql(col: str) -> str:
     from tessera.functions.text import STOP_WORDS
 
     stop = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-    base = rf"regexp_replace(regexp_replace(lower({col}), '[^a-z0-9_\s-]', ' ', 'g'), '(^|[^a-z0-9_])v\.?\s*', '\1vs ', 'g')"
+    base = rf"regexp_replace(regexp_replace(lower({col}), '[^a-z0-9_\s-]', ' ', 'g'), '\bv\.?\s*', 'vs ', 'g')"
     return rf"list_filter(string_split_regex({base}, '\s+'), lambda w: length(w) >= 2 and not list_contains({stop}, w))"
 
 
@@ -223,12 +223,18 @@ def _(t):
     return t.markets.select("id", comparator(F.col("title")).alias("comparator"))
 
 
-@query("s_numbers")
+@query("s_numbers", r"""
+with t as (select id, regexp_replace(lower(title), '\b(january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sept|sep|october|oct|november|nov|december|dec)\s+[0-9]{1,2}($|[^0-9,.])', ' \2', 'g') as t from markets),
+m as (select id, unnest(regexp_extract_all(t, '\$?[0-9][0-9,]*(?:\.[0-9]+)?(?:k|m|b|t|\s*thousand|\s*million|\s*billion|\s*trillion)?(?:\b|\s*%)(?:\s*%)?')) as m from t),
+p as (select id, try_cast(replace(regexp_extract(m, '[0-9][0-9,]*(\.[0-9]+)?'), ',', '') as double) as d, regexp_extract(m, '[a-z]+') as u, contains(m, '%') as pct, starts_with(m, '$') as usd from m),
+n as (select *, round(d * case when u in ('k', 'thousand') then 1e3 when u in ('m', 'million') then 1e6 when u in ('b', 'billion') then 1e9 when u in ('t', 'trillion') then 1e12 else 1.0 end, 6) as n from p)
+select distinct id, n as number from n where pct or (n >= 1 and not (n between 1900 and 2100) and (usd or u <> '' or n > 31))
+""")
 def _(t):
     """Numbers of every title with their multipliers applied."""
     from tessera.functions.text import numbers
 
-    return t.markets.select("id", numbers(F.col("title")).alias("numbers"))
+    return t.markets.select("id", F.explode(numbers(F.col("title"))).alias("number"))
 
 
 _ALIASES = [("rate decision", "RATES"), ("central bank", "RATES"), ("opening weekend", "FILM"), ("box office", "FILM"), ("high temp", "WEATHER"), ("temperature", "WEATHER"), ("jobless rate", "JOBS"), ("unemployment", "JOBS"), ("trade treaty", "TRADE")]

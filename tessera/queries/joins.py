@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokenize, words
 from tessera.operators import blocking as B
 from tessera.operators.upsert import diff
+from tessera.queries.filters import _tokens_sql
 from tessera.queries.registry import NOW, now, query
 from tessera.shared import Scratch
 
@@ -53,43 +54,50 @@ def _(t):
 _WORDS = "list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: length(w) >= 3))"
 
 
+_TOKENS = f"list_distinct(list_filter({_tokens_sql('title')}, lambda w: length(w) >= 3))"
+
+
 @query("j_token_index", f"""
-with w as (select id, venue, unnest({_WORDS}) as k from markets where close_time is not null),
-often as (select k from w group by k having count(*) filter (where venue = 'kalshi') > 40 or count(*) filter (where venue = 'polymarket') > 40)
-select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from w a join w b on a.k = b.k and a.venue = 'kalshi' and b.venue = 'polymarket'
-where a.k not in (select k from often) group by 1, 2 having count(*) >= 2
+with w as (select id, venue, unnest({_TOKENS}) as k from markets)
+select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from w a join w b on a.k = b.k and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2
 """)
 def _(t):
-    """As its SQL says: two shared words, none that more than 40 listings of a venue have. ``j_token_index_all`` has no limit."""
-    m = t.markets.filter("close_time is not null").select("id", "venue", words(F.col("title")).alias("w"))
-    return B.token_join(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w", least=2, common=40)
+    """All listings of the two venues that share a token of three letters or more (survey J5)."""
+    m = t.markets.select("id", "venue", tokenize(F.col("title")).alias("w"))
+    return B.token_pairs(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w")
 
 
-@query("j_token_index_all")
+@query("j_token_overlap", f"""
+with w as (select id, venue, unnest({_TOKENS}) as k from markets)
+select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from w a join w b on a.k = b.k and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2 having count(*) >= 3
+""")
 def _(t):
-    """All listings of the two venues that share a token of three letters or more (survey J5)."""
+    """Those that share three tokens: each listing is found by its rarer tokens only, and none is lost."""
     m = t.markets.select("id", "venue", tokenize(F.col("title")).alias("w"))
-    return B.token_pairs(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w")
+    return B.token_pairs(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w", least=3)
+
 
+_LONG = "list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: length(w) >= 8))"
 
-@query("j_entity_year_fallback", """
-with m as (select id, venue, regexp_extract(kalshi_event_ticker, '^KX([A-Z]+)', 1) as e, year(close_time) as y, status from markets where kalshi_event_ticker is not null and close_time is not null),
-l as (select * from m where status = 'resolved'), r as (select * from m where status = 'archived'),
-f as (select l.id as l, r.id as r from l join r on l.e = r.e),
-s as (select l.id as l, r.id as r from l join r on l.y = r.y and left(l.e, 1) = left(r.e, 1))
+
+@query("j_entity_year_fallback", f"""
+with m as (select id, venue, {_LONG} as e, year(close_time) as y, left(trim(lower(title)), 1) as c from markets),
+k as (select id, venue, unnest(e) as e from m),
+f as (select distinct a.id as l, b.id as r from k a join k b on a.e = b.e and a.venue = 'kalshi' and b.venue = 'polymarket'),
+s as (select a.id as l, b.id as r from m a join m b on a.y = b.y and a.c = b.c and a.venue = 'kalshi' and b.venue = 'polymarket')
 select * from f union all select * from s where l not in (select l from f)
 """)
 def _(t):
-    m = t.markets.filter("kalshi_event_ticker is not null and close_time is not null").select("id", "status", F.regexp_extract("kalshi_event_ticker", "^KX([A-Z]+)", 1).alias("e"), F.year("close_time").alias("y"))
-    l, r = m.filter("status = 'resolved'"), m.filter("status = 'archived'")
-    first = B.key_join(l, r, F.array("e"), F.array("e"))
-    key = F.array(F.concat_ws("|", "y", F.substring("e", 1, 1)))
-    return B.with_fallback(first, l, B.key_join(l, r, key, key))
+    """Listings that share a long word; for those that share none with anybody, year and initial."""
+    long = F.filter(words(F.col("title")), lambda w: F.length(w) >= 8)
+    m = t.markets.select("id", "venue", long.alias("e"), F.array(F.when(F.col("close_time").isNotNull(), F.concat(F.year("close_time").cast("string"), F.substring(F.trim(F.lower("title")), 1, 1)))).alias("y"))
+    l, r = m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
+    return B.with_fallback(B.key_join(l, r, F.col("e"), F.col("e")), l, B.key_join(l, r, F.col("y"), F.col("y")))
 
 
-@query("j_entity_year_fallback_all")
+@query("j_entity_names")
 def _(t):
-    """The same join over all listings of the two venues, by the names read from titles, as only one venue has tickers; for
+    """The same join by the names read from titles; for
     those that find no namesake, the year and the first letter of a name. Titles that cannot be read pair with nothing."""
     from tessera.plans.topics import signals
 
@@ -100,14 +108,14 @@ def _(t):
 
 
 @query("j_period_compatible", """
-with m as (select id, venue, cast(close_time as date) as d, regexp_extract(title, '([A-Z][a-z]+)', 1) as e, case id % 3 when 0 then 'month' when 1 then 'quarter' else 'year' end as kind from markets where close_time is not null and derived_topic = 'MACRO'),
+with m as (select id, venue, cast(close_time as date) as d, regexp_extract(title, '([A-Z][a-z]{6,})', 1) as e, case id % 3 when 0 then 'month' when 1 then 'quarter' else 'year' end as kind from markets where close_time is not null and regexp_matches(title, '[A-Z][a-z]{6,}')),
 p as (select *, case kind when 'month' then strftime(d, '%Y-%m') when 'quarter' then year(d) || '-Q' || quarter(d) else year(d)::varchar end as k from m)
 select a.id as l, b.id as r, cast(case when a.kind = b.kind then 1 else 0 end as bigint) as exact from p a join p b on a.e = b.e and a.venue = 'kalshi' and b.venue = 'polymarket'
 where a.k = b.k or (a.kind <> b.kind and ((a.kind = 'year' or b.kind = 'year') and year(a.d) = year(b.d) or (a.kind <> 'year' and b.kind <> 'year' and year(a.d) = year(b.d) and quarter(a.d) = quarter(b.d))))
 """)
 def _(t):
     kind = F.when(F.col("id") % 3 == 0, "month").when(F.col("id") % 3 == 1, "quarter").otherwise("year")
-    m = t.markets.filter("close_time is not null and derived_topic = 'MACRO'").select("id", "venue", F.col("close_time").cast("date").alias("d"), F.regexp_extract("title", "([A-Z][a-z]+)", 1).alias("e"), kind.alias("kind"))
+    m = t.markets.filter("close_time is not null").select("id", "venue", F.col("close_time").cast("date").alias("d"), F.regexp_extract("title", "([A-Z][a-z]{6,})", 1).alias("e"), kind.alias("kind")).filter("e <> ''")
     d = F.col("d")
     own = F.when(F.col("kind") == "month", F.date_format("d", "yyyy-MM")).when(F.col("kind") == "quarter", F.format_string("%04d-Q%d", F.year(d), F.quarter(d))).otherwise(F.year(d).cast("string"))
     a = m.filter("venue = 'kalshi'").select(F.col("id").alias("l"), "e", F.col("kind").alias("a"), F.explode(B.period_keys(d, F.col("kind"))).alias("k"))
@@ -136,11 +144,11 @@ def _(t):
 
 
 @query("j_near_months", """
-with m as (select id, venue, regexp_extract(title, 'Bank of ([A-Z][a-z]+)', 1) as e, year(close_time) * 12 + month(close_time) as k from markets where close_time is not null and derived_topic = 'RATES')
+with m as (select id, venue, regexp_extract(title, 'Bank of ([A-Z][a-z]+)', 1) as e, year(close_time) * 12 + month(close_time) as k from markets where close_time is not null)
 select a.id as l, b.id as r, cast(abs(a.k - b.k) as bigint) as apart from m a join m b on a.e = b.e and a.e <> '' and a.venue = 'kalshi' and b.venue = 'polymarket' and abs(a.k - b.k) <= 1
 """)
 def _(t):
-    m = t.markets.filter("close_time is not null and derived_topic = 'RATES'").select("id", "venue", "close_time", F.regexp_extract("title", "Bank of ([A-Z][a-z]+)", 1).alias("e")).filter("e <> ''")
+    m = t.markets.filter("close_time is not null").select("id", "venue", "close_time", F.regexp_extract("title", "Bank of ([A-Z][a-z]+)", 1).alias("e")).filter("e <> ''")
     month = F.year("close_time") * 12 + F.month("close_time")
     a = m.filter("venue = 'kalshi'").select(F.col("id").alias("l"), "e", month.alias("ka"), F.explode(B.near_months(F.col("close_time"))).alias("k"))
     b = m.filter("venue = 'polymarket'").select(F.col("id").alias("r"), "e", month.alias("k"))
@@ -148,17 +156,10 @@ def _(t):
 
 
 @query("j_candidate_cap", f"""
-with w as (select id, venue, unnest({_WORDS}) as k from markets where derived_topic = 'ELECTIONS'),
+with w as (select id, venue, unnest({_WORDS}) as k from markets),
 p as (select a.id as l, b.id as r, count(*) as n from w a join w b on a.k = b.k and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2)
 select l, r, cast(n as bigint) as n_keys, k as rank from (select *, row_number() over (partition by l order by n desc, r) as k from p) where k <= 5
 """)
-def _(t):
-    m = t.markets.filter("derived_topic = 'ELECTIONS'").select("id", "venue", words(F.col("title")).alias("w"))
-    p = B.token_join(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w")
-    return B.cap_per(p, "l", 5, F.col("n_keys").desc(), F.col("r")).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query("j_candidate_cap_all")
 def _(t):
     """The five best candidates of every listing, of all topics and of none."""
     m = t.markets.select("id", "venue", words(F.col("title")).alias("w"))
@@ -200,11 +201,11 @@ def _(t):
 
 
 @query("j_link_titles", """
-select l.id, coalesce(a.title, l.left_title) as a, coalesce(b.title, l.right_title) as b from market_links l left join markets a on a.id = l.left_market_id left join markets b on b.id = l.right_market_id where lower(trim(l.status)) = 'confirmed'
+select l.id, coalesce(a.title, l.left_title) as a, coalesce(b.title, l.right_title) as b from market_links l left join markets a on a.id = l.left_market_id left join markets b on b.id = l.right_market_id
 """)
 def _(t):
     m = t.markets.select("id", "title")
-    l = t.market_links.filter(F.lower(F.trim("status")) == "confirmed").select("id", "left_market_id", "right_market_id", "left_title", "right_title")
+    l = t.market_links.select("id", "left_market_id", "right_market_id", "left_title", "right_title")
     a, b = m.select(F.col("id").alias("left_market_id"), F.col("title").alias("ta")), m.select(F.col("id").alias("right_market_id"), F.col("title").alias("tb"))
     return l.join(a, "left_market_id", "left").join(b, "right_market_id", "left").select("id", F.coalesce("ta", "left_title").alias("a"), F.coalesce("tb", "right_title").alias("b"))
 
@@ -228,17 +229,11 @@ def _typed_keys(markets):
 
 
 @query("j_typed_keys", """
-with m as (select id, venue, lower(trim(category)) as g, cast(cast(close_time as date) as varchar) as d, derived_topic as k from markets where close_time is not null and status = 'resolved'),
+with m as (select id, venue, lower(trim(category)) as g, cast(cast(close_time as date) as varchar) as d, derived_topic as k from markets where close_time is not null),
 e as (select id, venue, unnest([case when k is not null then 'a|' || k || '|' || d end, case when g is not null then 'b|' || g || '|' || d end]) as key from m)
 select a.id as l, b.id as r, cast(count(*) as bigint) as n_keys from e a join e b on a.key = b.key and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2
 """)
 def _(t):
-    return _typed_keys(t.markets.filter("status = 'resolved'"))
-
-
-@query("j_typed_keys_all")
-def _(t):
-    """The same over listings of every status."""
     return _typed_keys(t.markets)
 
 

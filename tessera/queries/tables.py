@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from tessera.operators.rules import first_match, match_table
 from tessera.plans.pipeline import Pipeline, run, scored
 from tessera.queries.filters import _tokens_sql
 from tessera.queries.registry import NOW, now, query
-from tessera.shared import Scratch, shared_dir
+from tessera.shared import Scratch
 
 _WHOLE = "outcome_id is not null and ts is not null and price is not null and not isnan(price)"
 _CYCLE = f"c as (select *, row_number() over (partition by outcome_id, floor(epoch_us(ts) / 3600000000.0), floor(price / 0.01 + 0.5) order by arrival) = 1 as in_cycle from quotes where {_WHOLE})"
@@ -101,21 +100,14 @@ def _(t):
     return t.quotes.filter("raw is not null").select("outcome_id", mid_price(b, a).alias("price")).filter("price is not null")
 
 
-@query("src_paged")
+@query("src_paged", "select p.paging, n_name as name from nation, (values ('offset'), ('cursor')) p(paging)")
 def _(t):
-    """The data source over JSON pages, offset and cursor, written from the regions and nations; a check of paging, not of size."""
+    """The data source over the names of the nations, by offset and by cursor: a check of paging, not of size."""
     from tessera.sources.paged import register
 
     register(t.spark)
-    root = f"{shared_dir(t.spark).removeprefix('file://')}/pages-{os.getpid()}"
-    rows = sorted(r.n_name for r in t.nation.collect())
-    os.makedirs(root, exist_ok=True)
-    for k in range(0, len(rows), 10):
-        page = {"items": [{"name": x} for x in rows[k : k + 10]], "cursor": f"c{k + 10}" if k + 10 < len(rows) else None}
-        for name in (str(k), "first" if k == 0 else f"c{k}"):
-            with open(f"{root}/{name}.json", "w") as f:
-                json.dump(page, f)
-    read = lambda paging: t.spark.read.format("paged").option("url", f"file:{root}").option("paging", paging).option("size", 10).option("pages", 5).load()
+    names = json.dumps([{"name": r.n_name} for r in t.nation.select("n_name").orderBy("n_name").collect()])
+    read = lambda paging: t.spark.read.format("paged").option("url", f"data:{names}").option("paging", paging).option("size", 10).load()
     name = F.get_json_object("item", "$.name").alias("name")
     return read("offset").select(F.lit("offset").alias("paging"), name).unionByName(read("cursor").select(F.lit("cursor").alias("paging"), name))
 
@@ -181,10 +173,10 @@ def _(t):
     return n.filter(~F.col("derived_topic").eqNullSafe(F.col("topic"))).select("id", "topic")
 
 
-@query("w_csv_round_trip", "select id, score from market_links where score >= 0.95 and not isnan(score)")
+@query("w_csv_round_trip", "select id, case when isnan(score) then null else score end as score from market_links")
 def _(t):
     scratch = Scratch(t.spark, "csv")
-    rows = t.market_links.filter("score >= 0.95 and not isnan(score)").select("id", "score")
+    rows = t.market_links.select("id", F.nanvl("score", F.lit(None).cast("double")).alias("score"))
     rows.write.mode("overwrite").option("header", True).csv(f"{scratch.root}/out")
     return t.spark.read.option("header", True).schema("id long, score double").csv(f"{scratch.root}/out")
 
@@ -211,26 +203,26 @@ _TIME = "case when a.c is null and b.c is null then 0.3 when a.c is null or b.c
 
 
 @query("c_time_category", f"""
-with m as (select id, close_time as c, category as g from markets), p as (select distinct left_market_id as l, right_market_id as r from market_links where lower(trim(status)) = 'confirmed')
+with m as (select id, close_time as c, category as g from markets), p as (select distinct left_market_id as l, right_market_id as r from market_links)
 select l, r, cast({_TIME} as double) as time_score, cast(case when a.g is null and b.g is null then 0.5 when a.g is null or b.g is null then 0.3 when lower(trim(a.g)) = lower(trim(b.g)) then 1.0 when starts_with(lower(trim(a.g)), lower(trim(b.g))) or starts_with(lower(trim(b.g)), lower(trim(a.g))) then 0.8
   when list_has_any(list_filter(string_split_regex(lower(trim(a.g)), '[\\s_-]+'), lambda w: length(w) > 3), list_filter(string_split_regex(lower(trim(b.g)), '[\\s_-]+'), lambda w: length(w) > 3)) then 0.6 else 0.3 end as double) as category_score
 from p join m a on a.id = l join m b on b.id = r
 """)
 def _(t):
     m = t.markets.select("id", "close_time", "category")
-    p = t.market_links.filter(F.lower(F.trim("status")) == "confirmed").select(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).distinct()
+    p = t.market_links.select(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).distinct()
     a, b = m.select(F.col("id").alias("l"), F.col("close_time").alias("ca"), F.col("category").alias("ga")), m.select(F.col("id").alias("r"), F.col("close_time").alias("cb"), F.col("category").alias("gb"))
     return p.join(a, "l").join(b, "r").select("l", "r", C.time_score(F.col("ca"), F.col("cb")).alias("time_score"), C.category_score(F.col("ga"), F.col("gb")).alias("category_score"))
 
 
 @query("c_number_entity", """
-with a as (select o_custkey as k, list_sort(list(distinct round(o_totalprice / 1000)))[1:4] as n, list(distinct o_orderpriority) as e from orders group by 1), p as (select x.k as l, y.k as r, x.n as na, y.n as nb, x.e as ea, y.e as eb from a x join a y on y.k = x.k + 1),
+with a as (select o_custkey as k, list(distinct round(o_totalprice / 1000)) as n, list(distinct o_orderpriority) as e from orders group by 1), p as (select x.k as l, y.k as r, x.n as na, y.n as nb, x.e as ea, y.e as eb from a x join a y on y.k = x.k + 1),
 s as (select l, r, list_transform(flatten(list_transform(na, lambda u: list_transform(nb, lambda v: {'u': u, 'v': v}))), lambda z: case when z.u = z.v then 1.0 when abs(z.u - z.v) / greatest(abs(z.u), abs(z.v)) < 0.01 then 0.95 when abs(z.u - z.v) / greatest(abs(z.u), abs(z.v)) < 0.05 then 0.8 when abs(z.u - z.v) / greatest(abs(z.u), abs(z.v)) < 0.1 then 0.5 else 0.0 end) as ns,
   len(list_intersect(ea, eb)) as i, len(list_distinct(list_concat(ea, eb))) as u from p)
 select l, r, cast(list_max(ns) as double) as number_score, round(case when i = 0 then 0.0 else least(1.0, i / u + case when i >= 2 then 0.3 else 0.1 end) end, 6) as entity_score from s
 """)
 def _(t):
-    a = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.slice(F.array_sort(F.collect_set(F.round(F.col("o_totalprice") / 1000))), 1, 4).alias("n"), F.collect_set("o_orderpriority").alias("e"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.round(F.col("o_totalprice") / 1000)).alias("n"), F.collect_set("o_orderpriority").alias("e"))
     x, y = a.select(F.col("k").alias("l"), F.col("n").alias("na"), F.col("e").alias("ea")), a.select((F.col("k") - 1).alias("l"), F.col("k").alias("r"), F.col("n").alias("nb"), F.col("e").alias("eb"))
     return x.join(y, "l").select("l", "r", C.number_score(F.col("na"), F.col("nb")).alias("number_score"), F.round(C.entity_score(F.col("ea"), F.col("eb")), 6).alias("entity_score"))
 
@@ -248,18 +240,18 @@ def _(t):
 
 @query("c_fuzzy", r"""
 select id, round(case when greatest(length(a), length(b)) = 0 then 1 else 1 - levenshtein(a, b) / greatest(length(a), length(b)) end, 6) as alike from
- (select id, trim(regexp_replace(regexp_replace(lower(left_title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as a, trim(regexp_replace(regexp_replace(lower(right_title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as b from market_links where lower(trim(status)) = 'confirmed')
+ (select id, trim(regexp_replace(regexp_replace(lower(left_title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as a, trim(regexp_replace(regexp_replace(lower(right_title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as b from market_links)
 """)
 def _(t):
-    return t.market_links.filter(F.lower(F.trim("status")) == "confirmed").select("id", F.round(fuzzy(F.col("left_title"), F.col("right_title")), 6).alias("alike"))
+    return t.market_links.select("id", F.round(fuzzy(F.col("left_title"), F.col("right_title")), 6).alias("alike"))
 
 
 @query("c_jaccard", f"""
-with k as (select id, list_distinct({_tokens_sql('left_title')}) as a, list_distinct({_tokens_sql('right_title')}) as b from market_links where lower(trim(status)) = 'confirmed')
+with k as (select id, list_distinct({_tokens_sql('left_title')}) as a, list_distinct({_tokens_sql('right_title')}) as b from market_links)
 select id, round(case when len(list_distinct(list_concat(a, b))) = 0 then 0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as jaccard from k
 """)
 def _(t):
-    return t.market_links.filter(F.lower(F.trim("status")) == "confirmed").select("id", F.round(jaccard(tokenize(F.col("left_title")), tokenize(F.col("right_title"))), 6).alias("jaccard"))
+    return t.market_links.select("id", F.round(jaccard(tokenize(F.col("left_title")), tokenize(F.col("right_title"))), 6).alias("jaccard"))
 
 
 @query("c_clamp", "select id, cast(case when score is null or isnan(score) then 0 else least(greatest(score, 0), 1) end as double) as s, floor(case when score is null or isnan(score) then 0 else least(greatest(score, 0), 1) end / 0.05 + 0.5)::bigint as bucket from market_links")
@@ -268,36 +260,29 @@ def _(t):
     return t.market_links.select("id", s.alias("s"), C.price_bucket(s, 0.05).alias("bucket"))
 
 
-def simple(candidates: int | None = None) -> Pipeline:
-    """Word overlap, closeness in time and category; blocked on the series of words that both venues' titles share. Every
-    candidate is scored unless ``candidates`` limits them."""
+def simple() -> Pipeline:
+    """Word overlap, closeness in time and category; blocked on the words of five letters or more that both titles share."""
     a, b = F.col("l_tok"), F.col("r_tok")
     return Pipeline(
         "SIMPLE", lambda: F.filter("tok", lambda w: F.length(w) >= 5),
         {"words": (0.7, jaccard(a, b)), "time": (0.2, C.time_score(F.col("l_close_time"), F.col("r_close_time"))), "category": (0.1, C.category_score(F.col("l_category"), F.col("r_category")))},
-        gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, candidates=candidates, per_left=3, per_right=3,
+        gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, per_left=3, per_right=3,
     )
 
 
-def _sides(t, topic: str | None = None):
-    m = t.markets if topic is None else t.markets.filter(F.col("derived_topic") == topic)
-    m = m.select("id", "venue", "close_time", "category", tokenize(F.col("title")).alias("tok"))
+def _sides(t):
+    m = t.markets.select("id", "venue", "close_time", "category", tokenize(F.col("title")).alias("tok"))
     return m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
 
 
 @query("e_scored", f"""
-with m as (select id, venue, close_time as c, category as g, list_distinct({_tokens_sql('title')}) as tok from markets where derived_topic = 'ELECTIONS'), k as (select id, venue, unnest(list_filter(tok, lambda w: length(w) >= 5)) as w from m),
-n as (select a.id as l, b.id as r, count(*) as n from k a join k b on a.w = b.w and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2), p as (select l, r from (select *, row_number() over (partition by l order by n desc, r) as o from n) where o <= 50),
+with m as (select id, venue, close_time as c, category as g, list_distinct({_tokens_sql('title')}) as tok from markets), k as (select id, venue, unnest(list_filter(tok, lambda w: length(w) >= 5)) as w from m),
+p as (select distinct a.id as l, b.id as r from k a join k b on a.w = b.w and a.venue = 'kalshi' and b.venue = 'polymarket'),
 s as (select l, r, case when len(list_distinct(list_concat(a.tok, b.tok))) = 0 then 0 else len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok))) end as words, {_TIME} as t,
-  case when a.g is null and b.g is null then 0.5 when a.g is null or b.g is null then 0.3 when lower(trim(a.g)) = lower(trim(b.g)) then 1.0 when starts_with(lower(trim(a.g)), lower(trim(b.g))) or starts_with(lower(trim(b.g)), lower(trim(a.g))) then 0.8 else 0.3 end as g from p join m a on a.id = l join m b on b.id = r)
+  case when a.g is null and b.g is null then 0.5 when a.g is null or b.g is null then 0.3 when lower(trim(a.g)) = lower(trim(b.g)) then 1.0 when starts_with(lower(trim(a.g)), lower(trim(b.g))) or starts_with(lower(trim(b.g)), lower(trim(a.g))) then 0.8
+    when list_has_any(list_filter(string_split_regex(lower(trim(a.g)), '[\\s_-]+'), lambda w: length(w) > 3), list_filter(string_split_regex(lower(trim(b.g)), '[\\s_-]+'), lambda w: length(w) > 3)) then 0.6 else 0.3 end as g from p join m a on a.id = l join m b on b.id = r)
 select l, r, round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as double) * g, 6) as score from s where round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as double) * g, 6) >= 0.35
 """)
-def _(t):
-    """As its SQL says: election listings only, and of each left row 50 candidates. ``e_scored_all`` has neither limit."""
-    return scored(simple(50), *_sides(t, "ELECTIONS")).select("l", "r", "score")
-
-
-@query("e_scored_all")
 def _(t):
     """Every pair of listings of the two venues that shares a word and reaches the least score."""
     return scored(simple(), *_sides(t)).select("l", "r", "score")

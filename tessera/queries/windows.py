@@ -10,7 +10,7 @@ from tessera.queries.registry import query
 
 
 def _pairs(t):
-    """Scored pairs of all topics but the hot market's: (l, r, score, topic)."""
+    """(l, r, score, topic) of every link with a score within bounds, the best of repeated ones; the hot market's too."""
     s = t.market_links.filter("score is not null and not isnan(score) and score between 0 and 1")
     return s.groupBy(F.col("left_market_id").alias("l"), F.col("right_market_id").alias("r")).agg(F.max("score").alias("score"), F.min(F.upper(F.trim("topic"))).alias("topic"))
 

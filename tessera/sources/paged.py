@@ -1,7 +1,7 @@
 """Paged catalogue sources as a Spark data source: offset or cursor paging, caps, retries with backoff.
 
-The transport is a function of a URL and a token, so a source can be tried on files: ``file:`` URLs name folders of JSON
-pages. Batch reads split offset-paged catalogues into page ranges that executors fetch side by side; a cursor-paged one
+The transport is a function of a URL and a token, so a source can be tried without a network: ``file:`` URLs name folders of JSON
+pages, ``data:`` URLs hold a catalogue. Batch reads split offset-paged catalogues into page ranges that executors fetch side by side; a cursor-paged one
 can only be walked in order.
 """
 
@@ -44,7 +44,12 @@ def with_retry(call: Callable[[], bytes], attempts: int = 5, base: float = 1.0,
 
 
 def fetch(url: str, page: str, size: int) -> dict:
-    """One page: {"items": [...], "cursor": next or null}."""
+    """One page: {"items": [...], "cursor": next or null}. ``data:`` URLs hold the catalogue itself, as a JSON array."""
+    if url.startswith("data:"):
+        items, at = json.loads(url[5:]), int(page or 0)
+        if at >= len(items) > 0:
+            raise Gone(page)
+        return {"items": items[at : at + size], "cursor": str(at + size) if at + size < len(items) else None}
     if url.startswith("file:"):
         path = os.path.join(url[5:], f"{page or 'first'}.json")
         if not os.path.exists(path):
@@ -57,13 +62,13 @@ def fetch(url: str, page: str, size: int) -> dict:
 
 
 class _Pages(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, first: int, step: int):
+        self.first, self.step = first, step
 
 
 class PagedSource(DataSource):
-    """Format ``paged``. Options: url; paging = offset | cursor; size (items a page); pages (cap); parallel (partitions of
-    an offset-paged read). Columns: page string, position int, item string (JSON)."""
+    """Format ``paged``. Options: url; paging = offset | cursor; size (items a page); pages (cap; without it the catalogue is read
+    to its end); parallel (partitions of an offset-paged read, which take the pages in turn). Columns: page string, position int, item string (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,18 +91,18 @@ def _rows(page: str, body: dict) -> list[tuple]:
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.url, self.size = options["url"], int(options.get("size", 100))
-        self.cursor, self.pages = options.get("paging", "offset") == "cursor", int(options.get("pages", 1000))
+        self.cursor, self.pages = options.get("paging", "offset") == "cursor", int(options.get("pages", 1 << 40))
         self.parallel = int(options.get("parallel", 8))
 
     def partitions(self) -> list[InputPartition]:
         if self.cursor:
-            return [_Pages(0, self.pages)]
-        n = max(1, -(-self.pages // self.parallel))
-        return [_Pages(a, min(self.pages, a + n)) for a in range(0, self.pages, n)]
+            return [_Pages(0, 1)]
+        n = max(1, min(self.parallel, self.pages))
+        return [_Pages(a, n) for a in range(n)]
 
     def read(self, part: _Pages) -> Iterator[tuple]:
         token = ""
-        for k in range(part.first, part.last):
+        for k in range(part.first, self.pages, part.step):
             page = token if self.cursor else str(k * self.size)
             try:
                 body = fetch(self.url, page, self.size)
@@ -110,28 +115,44 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """Reads on from the last offset; an empty or missing page leaves it where it is, to be asked for again."""
+    """Reads on from the last offset (a page, and how many of its items are read): one page a call. A last page, short or without
+    a cursor, is delivered like any other; it stays the place to read on from, and later gives what was added to it. A missing
+    page leaves the offset where it is, to be asked for again."""
 
     def __init__(self, options):
         self.url, self.size, self.cursor = options["url"], int(options.get("size", 100)), options.get("paging", "offset") == "cursor"
 
     def initialOffset(self) -> dict:
-        return {"page": "" if self.cursor else "0"}
+        return {"page": "" if self.cursor else "0", "read": 0}
 
-    def _next(self, page: str, body: dict) -> str:
-        n = len(body.get("items") or [])
-        return (body.get("cursor") or page) if self.cursor else str(int(page) + n) if n == self.size else page
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+    def _step(self, at: dict) -> tuple[list[tuple], dict]:
         try:
-            body = fetch(self.url, start["page"], self.size)
+            body = fetch(self.url, at["page"], self.size)
         except Gone:
-            return iter([]), start
-        end = {"page": self._next(start["page"], body)}
-        return iter(_rows(start["page"], body) if end != start else []), end
+            return [], at
+        rows = _rows(at["page"], body)
+        if self.cursor:
+            after = {"page": body["cursor"], "read": 0} if body.get("cursor") else {"page": at["page"], "read": max(at["read"], len(rows))}
+        else:
+            whole = len(rows) >= self.size
+            after = {"page": str(int(at["page"]) + len(rows)), "read": 0} if whole else {"page": at["page"], "read": max(at["read"], len(rows))}
+        return rows[at["read"] :], after
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._step(start)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(_rows(start["page"], fetch(self.url, start["page"], self.size)))
+        at = start
+        while at != end:
+            rows, after = self._step(at)
+            if at["page"] == end["page"]:  # what has come to this page since is for the next read
+                yield from rows[: end["read"] - at["read"]]
+                return
+            yield from rows
+            if after == at:
+                return
+            at = after
 
     def commit(self, end: dict) -> None:
         pass

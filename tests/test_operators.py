@@ -45,7 +45,7 @@ def test_greedy_in_rounds_equals_one_by_one(spark, gap, close):
     rows += [(None, 1, 0.5), (1, None, 0.5), (1, 1, None), (1, 1, float("nan"))]
     df = spark.createDataFrame(rows, "l long, r long, score double")
     want = plain_greedy(rows, 3, 2, gap, close)
-    for finish in (10_000, 40):
+    for finish in (10_000, 40, 0):
         got = S.greedy_capped(df, 3, 2, gap, close, finish=finish)
         assert sorted((r.l, r.r, r.score) for r in got.collect()) == want
     assert S.greedy_capped(df.limit(0), 3, 2).count() == 0
@@ -142,10 +142,9 @@ def test_merge_changes(spark):
 def test_blocking(spark):
     l = spark.createDataFrame([(1, ["bitcoin", "price"]), (2, ["price", "to"]), (3, []), (4, None)], "id long, t array<string>")
     r = spark.createDataFrame([(10, ["bitcoin", "price", "bitcoin"]), (11, ["to"]), (12, ["price"])], "id long, t array<string>")
-    pairs = {(x.l, x.r, x.n_keys) for x in B.token_join(l, r, "t").collect()}
+    pairs = {(x.l, x.r, x.n_keys) for x in B.token_pairs(l, r, "t").collect()}
     assert pairs == {(1, 10, 2), (2, 10, 1), (1, 12, 1), (2, 12, 1)}
-    assert {(x.l, x.r) for x in B.token_join(l, r, "t", common=1).collect()} == {(1, 10)}
-    both = B.with_fallback(B.token_join(l, r, "t", least=2), l, spark.createDataFrame([(1, 12), (3, 11)], "l long, r long"))
+    both = B.with_fallback(B.token_pairs(l, r, "t", least=2), l, spark.createDataFrame([(1, 12), (3, 11)], "l long, r long"))
     assert {(x.l, x.r) for x in both.collect()} == {(1, 10), (3, 11)}
     row = spark.createDataFrame([(D(2026, 2, 28).date(),)], "d date").select(B.near_days(F.col("d")).alias("a"), B.near_months(F.col("d")).alias("m"), B.period_keys(F.col("d"), F.lit("quarter")).alias("q")).first()
     assert [x.day for x in row.a] == [27, 28, 1] and row.m == [24313, 24314, 24315] and row.q == ["2026-Q1", "2026", "2026-01", "2026-02", "2026-03"]
@@ -251,3 +250,100 @@ def test_wide_scans_read_only_what_they_need(spark):
     assert "raw" not in plan and "liquidity" not in plan and "WindowGroupLimit" in plan
     plan = entry.queries()["f_keyset_page"](spark, d)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThan(id,100)" in plan and "metadata" not in plan
+
+
+def test_greedy_drops_refused_pairs_together(spark):
+    """A hot left row whose right rows all have a better pair that the gap rule protects loses its pairs in one round."""
+    rows = [(0, r, 0.895) for r in range(300)] + [(1 + r, r, 0.9) for r in range(300)]
+    df = spark.createDataFrame(rows, "l long, r long, score double")
+    got = sorted((x.l, x.r, x.score) for x in S.greedy_capped(df, 3, 2, 0.02, finish=0).collect())
+    assert got == plain_greedy(rows, 3, 2, 0.02, False) == [(1 + r, r, 0.9) for r in range(300)]
+
+
+def test_gaps_brackets_and_caps_equal_windows(spark):
+    from pyspark.sql.window import Window
+
+    rnd = random.Random(8)
+    rows = [(1 if rnd.random() < 0.5 else rnd.randint(2, 9), i, rnd.choice([0.5, 0.7, 0.72, 0.9]), rnd.choice("ab")) for i in range(120)]
+    df = spark.createDataFrame(rows, "l long, r long, score double, k string").withColumn("extra", F.lit("e"))
+    by = {}
+    for l, r, s, _ in sorted(rows, key=lambda x: (-x[2], x[1])):
+        by.setdefault(l, []).append((s, r))
+    won = lambda o: len(o) > 1 and o[0][0] - o[1][0] >= 0.1
+    assert sorted(x.r for x in S.winner_only(df, 0.1).collect()) == sorted(r for o in by.values() for s, r in (o[:1] if won(o) else o))
+    assert sorted(x.r for x in S.keep_close(df, 0.1).collect()) == sorted(r for o in by.values() for s, r in o if s == o[0][0] or o[0][0] - s < 0.1)
+    assert S.keep_close(df, 0.1).columns == S.winner_only(df, 0.1).columns == df.columns
+    n = F.row_number().over(Window.partitionBy("l").orderBy(F.col("_m").desc(), "_t", "k"))
+    g = df.groupBy("l", "k").agg(F.max("score").alias("_m"), F.min_by("r", F.struct(-F.col("score"), "r")).alias("_t")).withColumn("b", n)
+    want = {(x.l, x.k, x.b) for x in g.collect()}
+    got = S.brackets(df, "l", "k", "score", "r", 2, 3).collect()
+    assert {(x.l, x.k, x.bracket) for x in got} == want and max(x.line for x in got) == 3
+
+
+def test_store_keeps_what_finding_does_not_name(spark):
+    from tessera.plans.pipeline import store
+
+    links = spark.createDataFrame([(1, 2, "confirmed", 0.9, "T", "a"), (3, 4, "suggested", 0.5, "U", "b"), (5, 6, "rejected", 0.1, None, "c")], "left_market_id long, right_market_id long, status string, score double, topic string, left_title string")
+    found = spark.createDataFrame([(1, 2, 0.3), (3, 4, 0.7), (7, 8, 0.6)], "l long, r long, score double")
+    got = {(x.left_market_id, x.status, x.score, x.topic, x.left_title, x.change) for x in store(links, found).collect()}
+    assert got == {(1, "confirmed", 0.9, "T", "a", "unchanged"), (3, "suggested", 0.7, "U", "b", "updated"), (5, "rejected", 0.1, None, "c", "untouched"), (7, "suggested", 0.6, None, None, "created")}
+    part = U.merge(links, spark.createDataFrame([(1, 2, "x")], "left_market_id long, right_market_id long, topic string"), ["left_market_id", "right_market_id"])
+    assert {(x.left_market_id, x.status, x.topic) for x in part.collect()} == {(1, "confirmed", "x"), (3, "suggested", "U"), (5, "rejected", None)}
+
+
+@pytest.mark.parametrize("paging", ["offset", "cursor"])
+def test_paged_stream_delivers_the_last_page_and_what_is_added(spark, tmp_path, paging):
+    paged.register(spark)
+    items = [{"n": i} for i in range(10)]
+
+    def write(items):
+        for k in range(0, len(items), 4):
+            page = {"items": items[k : k + 4], "cursor": f"c{k + 4}" if k + 4 < len(items) else None}
+            name = str(k) if paging == "offset" else "first" if k == 0 else f"c{k}"
+            (tmp_path / f"{name}.json").write_text(json.dumps(page))
+
+    write(items)
+    options = {"url": f"file:{tmp_path}", "paging": paging, "size": "4"}
+    got = [r.item for r in spark.read.format("paged").options(**options, parallel="2").load().collect()]
+    assert sorted(json.loads(x)["n"] for x in got) == list(range(10))
+    stream = paged._Stream(options)
+    at, seen, steps = stream.initialOffset(), [], []
+    for _ in range(6):
+        rows, end = stream.read(at)
+        rows = list(rows)
+        assert list(stream.readBetweenOffsets(at, end)) == rows
+        seen, at = seen + rows, end
+        steps.append(len(rows))
+    assert [json.loads(r[2])["n"] for r in seen] == list(range(10)) and steps == [4, 4, 2, 0, 0, 0]
+    write([{"n": i} for i in range(13)])  # the last page fills up, and another follows
+    for _ in range(4):
+        rows, at = stream.read(at)
+        seen += list(rows)
+    assert [json.loads(r[2])["n"] for r in seen] == list(range(13))
+    assert [json.loads(r[2])["n"] for r in stream.readBetweenOffsets(stream.initialOffset(), at)] == list(range(13))
+    q = spark.readStream.format("paged").options(**options).load().writeStream.format("memory").queryName(f"paged_{paging}").option("checkpointLocation", f"{tmp_path}/check").start()
+    try:
+        q.processAllAvailable()
+        assert spark.table(f"paged_{paging}").count() == 13
+    finally:
+        q.stop()
+
+
+def test_catalogue_without_page_limit(spark):
+    paged.register(spark)
+    url = "data:" + json.dumps([{"n": i} for i in range(2503)])
+    for paging in ("offset", "cursor"):
+        assert spark.read.format("paged").option("url", url).option("paging", paging).option("size", 2).load().count() == 2503
+    assert spark.read.format("paged").option("url", "data:[]").load().count() == 0
+    assert spark.read.format("paged").option("url", url).option("size", 2).option("pages", 3).load().count() == 6
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from tessera.shared import shared_dir
+
+    conf = N(get=lambda *a: None)
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_dir(N(conf=conf, sparkContext=N(master=master, getConf=lambda: conf)))

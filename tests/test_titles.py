@@ -10,7 +10,7 @@ from tessera.plans.topics import TOPICS, suggest
 
 NUMBERS = [
     ("price is 3700", [3700.0]), ("1.2m downloads", [1200000.0]), ("1.2 million downloads", [1200000.0]), ("inflation at 2.5%", [2.5]), ("page 5", []), ("$5 a month", [5.0]),
-    ("above $79,000 on Jan 21, 2026", [79000.0]), ("between $3,700 and $3,800", [3700.0, 3800.0]), ("0.5% or 3%", [0.5, 3.0]), ("", []), ("no number", []), ("$100k and $100,000", [100000.0]),
+    ("above $79,000 on Jan 21, 2026", [79000.0]), ("between $3,700 and $3,800", [3700.0, 3800.0]), ("0.5% or 3%", [0.5, 3.0]), ("", []), ("no number", []), ("$100k and $100,000", [100000.0]), ("rate decision 50 bps", [50.0]), ("market 45", [45.0]), ("margin 40", [40.0]), ("on march 21", []), ("sept 30", []),
 ]
 COMPARATORS = [("BTC reaches 100k", "GE"), ("ETH between $3700 and $3800", "BETWEEN"), ("Trump wins election", "WIN"), ("BTC below 90k", "LE"), ("Who knows", "UNKNOWN"), ("government plans", "GE")]
 
@@ -24,6 +24,12 @@ def test_numbers_comparators_and_verdicts(spark):
     assert [r.v for r in v] == ["YES", "NO", "UNCERTAIN", "UNCERTAIN"]
 
 
+def test_versus(spark):
+    t = [("Lions v Vikings", "lions vs vs ikings"), ("Lions vs. Bears", "lions vs bears"), ("co-v. x", "co-vs"), ("over v", "vs")]
+    got = {r.t: r.n for r in spark.createDataFrame([(a,) for a, _ in t], "t string").select("t", T.normalize_title(F.col("t")).alias("n")).collect()}
+    assert got == dict(t)
+
+
 def test_n_grams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), ([],), (["x"],)], "t array<string>")
     assert [sorted(r.g) for r in df.select(T.n_grams(F.col("t"), 2).alias("g")).collect()] == [["a", "a b", "b", "b c", "c"], [], ["x"]]

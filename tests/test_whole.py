@@ -78,7 +78,7 @@ def test_token_index_over_all_listings(spark, tmp_path):
     cols = "id long, venue string, title string, close_time timestamp_ntz"
     rows = [(k, "kalshi", f"Otters beat x{k}", T0 if k % 2 else None) for k in range(50)] + [(100 + k, "polymarket", f"Otters lose y{k}", T0) for k in range(50)]
     spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/markets.parquet")
-    assert entry.queries()["j_token_index_all"](spark, str(tmp_path)).count() == 2500
+    assert entry.queries()["j_token_index"](spark, str(tmp_path)).count() == 2500
 
 
 def test_queries_cover_every_topic_and_status(spark, tmp_path):
@@ -89,7 +89,7 @@ def test_queries_cover_every_topic_and_status(spark, tmp_path):
     rows = [(10 * k + v, venue, f"Vodular at Miletar{k} winner? 31-Jan-26" if v else f"Miletar{k} Otters vs. Vodular Rooks, January 31st, 2026", f"c{k}", status, topic, T0, T0) for k, (topic, status) in enumerate(listings) for v, venue in enumerate(("polymarket", "kalshi"))]
     spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/markets.parquet")
     own = {(10 * k + 1, 10 * k) for k in range(4)}
-    for name in ("e_scored_all", "e_pipeline", "j_candidate_cap_all", "j_typed_keys_all", "j_entity_year_fallback_all"):
+    for name in ("e_scored", "e_pipeline", "j_candidate_cap", "j_typed_keys", "j_entity_names"):
         assert own <= {(p.l, p.r) for p in entry.queries()[name](spark, str(tmp_path)).collect()}, name
     spark.createDataFrame([(1, "kalshi", "Wheat Morav above $5", "c", "active", None, None, T0), (2, "polymarket", "Will Morav wheat settle above $5?", "c", "active", None, None, T0)], cols).write.parquet(f"{tmp_path}/undated/markets.parquet")
-    assert [(p.l, p.r) for p in entry.queries()["j_entity_year_fallback_all"](spark, f"{tmp_path}/undated").collect()] == [(1, 2)]
+    assert [(p.l, p.r) for p in entry.queries()["j_entity_names"](spark, f"{tmp_path}/undated").collect()] == [(1, 2)]
