@@ -87,3 +87,32 @@ def test_empty_and_null_rows(spark):
     rows = [(None, None, None, None, None, None, None, None), (1, 1, None, None, None, None, T0, None)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("at", F.lit(1)).withColumn("blk", F.lit("x"))
     assert got(history(df).versions()) == [(1, us(T0))]
+
+
+def test_rows_in_force_do_not_depend_on_the_batches(spark, tmp_path):
+    df = spark.createDataFrame(rows_of(5, 200, 4), SCHEMA)
+    cols = ["market_id", "at", "valid_to", "now_title", "now_status", "closes", "begins", "recorded_at"]
+    force = lambda book: sorted(map(tuple, book.in_force().select(*cols).collect()), key=str)
+    want = force(history(df, batches=1))
+    for batches, hot in ((2, 100_000), (5, 100_000), (3, 30)):
+        assert force(history(df, batches=batches, hot_rows=hot)) == want
+
+
+def test_a_ledger_lasts_and_is_only_appended_to(spark, tmp_path):
+    from tessera.operators.history import BitemporalLedger
+
+    rows = sorted(rows_of(6, 200, 4), key=lambda r: r[7])
+    path, files = f"{tmp_path}/ledger", []
+    for k in range(4):
+        part = observations(spark.createDataFrame(rows[k * 55 : (k + 1) * 55], SCHEMA))
+        BitemporalLedger(spark, path=path).apply(part)
+        now = {f: f.read_bytes() for f in (tmp_path / "ledger").rglob("*.parquet")}
+        assert all(now[f] == b for f, b in files)  # what was written stays as it was
+        files = list(now.items())
+    book = BitemporalLedger(spark, path=path)
+    assert book.batches() == 4 and got(book.versions()) == plain(rows)
+    (tmp_path / "ledger/rows/batch=4").mkdir()  # a batch without closings does not count
+    assert book.batches() == 4 and got(book.versions()) == plain(rows)
+    all_rows = book.ledger()
+    assert all_rows.filter("superseded_at is null").count() == book.in_force().count() < all_rows.count()
+    assert all_rows.filter("superseded_at < recorded_at").isEmpty()
