@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.shared import unused
+from tessera.shared import Scratch, unused
 
 
 def top_n(items: DataFrame, group: str, slice_by: str, score: str, ties: list[str], n: int, out: str = "rank") -> DataFrame:
@@ -26,6 +26,7 @@ def top_n(items: DataFrame, group: str, slice_by: str, score: str, ties: list[st
     rows = items.filter(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     order = [F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties]]
     local = rows.withColumn(n_, F.row_number().over(Window.partitionBy(group, slice_by).orderBy(*order))).filter(F.col(n_) <= n)
+    local = Scratch(items.sparkSession, "topn").write(local, "local")  # the slices are ranked once, for the bounds and for what they are joined to
     bounds = local.filter(F.col(n_) == n).groupBy(F.col(group).alias(g_)).agg(F.max(score).alias(bound_))
     kept = local.join(bounds, F.col(group) == F.col(g_), "left").filter(F.col(bound_).isNull() | (F.col(score) >= F.col(bound_)))
     ranked = kept.drop(n_, g_, bound_).withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
