@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.shared import small
+from tessera.shared import Scratch, small
 
 
 class DyadicCountTree:
@@ -29,12 +29,12 @@ class DyadicCountTree:
         top = 1 << self.depth
         return F.least(F.floor(score * top), F.lit(top - 1)).cast("long")
 
-    def add(self, batch: DataFrame, source: str, score: str, name: str, weight: int = 1) -> None:
-        """Add the records of a batch; rows with a null source or score are no records."""
+    def add(self, batch: DataFrame, source: str, score: str, name: str, weight: Column | int = 1) -> None:
+        """Add the records of a batch, each with its weight (-1: withdrawn); rows with a null source or score are no records."""
         leaves = (
             batch.filter(F.col(source).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
             .groupBy(F.col(source).alias("source"), self.code(F.col(score)).alias("code"))
-            .agg((F.count("*") * weight).alias("n"))
+            .agg(F.sum(weight if isinstance(weight, Column) else F.lit(weight)).cast("long").alias("n"))
         )
         levels = F.explode(F.sequence(F.lit(0), F.lit(self.depth))).alias("level")
         nodes = leaves.select("source", "code", "n", levels).groupBy(
@@ -73,17 +73,18 @@ class DyadicCountTree:
         t = t.groupBy(F.col(source).alias("source")).agg(F.max(fraction).alias("fraction"))
         return self.nodes().filter("n <> 0").join(t, "source").groupBy("source").applyInPandas(walk, "source string, total long, want long, leaf long, above long")
 
-    def cutoffs(self, records: DataFrame, source: str, score: str, targets: DataFrame, target_source: str, fraction: str) -> DataFrame:
+    def cutoffs(self, records: DataFrame, source: str, score: str, targets: DataFrame, target_source: str, fraction: str, scratch: Scratch | None = None) -> DataFrame:
         """(source, total, want, cutoff, kept): the highest score with at least ``want`` records at or above it.
 
         Only the records of the leaves found are read again; they are counted by distinct score and summed
-        from the top.
+        from the top. The result, a row per source, is a written table, as is what the descent gives: neither is computed twice.
         """
-        found = small(self.descend(targets, target_source, fraction))
+        scratch = scratch or Scratch(self.spark, "cutoffs")
+        found = small(scratch.write(self.descend(targets, target_source, fraction), "found"))
         rows = records.select(F.col(source).alias("source"), F.col(score).alias("cutoff")).filter("cutoff is not null and not isnan(cutoff)")
         rows = rows.withColumn("leaf", self.code(F.col("cutoff")))
         counts = rows.join(found, ["source", "leaf"]).groupBy("source", "total", "want", "above", "cutoff").agg(F.count("*").alias("n"))
         down = Window.partitionBy("source").orderBy(F.col("cutoff").desc())
         sums = counts.withColumn("kept", F.col("above") + F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
         first = sums.filter("kept >= want").withColumn("_rn", F.row_number().over(down)).filter("_rn = 1")
-        return first.select("source", "total", "want", "cutoff", "kept")
+        return scratch.write(first.select("source", "total", "want", "cutoff", "kept"), "cutoffs")

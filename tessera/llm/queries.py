@@ -12,7 +12,7 @@ from tessera.llm.leakage import find_leaks
 from tessera.llm.linkage import link
 from tessera.llm.packing import pack, token_counts
 from tessera.llm.topn import top_n
-from tessera.operators.links import current_links, label, score_value
+from tessera.operators.links import current_links, label, link_states, score_value
 from tessera.shared import Scratch, small, table
 
 
@@ -23,19 +23,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("left_market_id", F.col("id").alias("link_id"))
 
 
-def _topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = current_links(table(spark, sf_dir, "market_links"), keep=("score", "topic"))
-    rows = links.select(label(F.col("topic")).alias("topic"), F.col("id").alias("link_id"), score_value(F.col("score")).alias("value"))
-    return rows.filter("topic is not null and topic <> '' and value is not null")
-
-
 def _cutoffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links come in two batches, as they would have arrived: those of the first half of the time, and what changed after. The
+    tree is given each batch's node counts; a link that a later row replaces is withdrawn from it."""
     scratch = Scratch(spark, "cutoff")
-    rows = scratch.write(_topic_links(spark, sf_dir), "links")
+    links = table(spark, sf_dir, "market_links")
+    span = links.agg(F.min("updated_at").alias("a"), F.max("updated_at").alias("b"))
+    middle = span.select(F.col("a") + (F.col("b") - F.col("a")) / 2).first()[0]
+    known = link_states(links, F.lit(middle).cast("timestamp_ntz"), keep=("score", "topic"))
+    rows = known.select(label(F.col("topic")).alias("topic"), F.col("id").alias("link_id"), score_value(F.col("score")).alias("value"), "was", "now")
+    rows = scratch.write(rows.filter("topic is not null and topic <> '' and value is not null"), "links")
     targets = table(spark, sf_dir, "topic_targets").select(label(F.col("topic")).alias("topic"), "target_fraction")
     tree = DyadicCountTree(spark, f"{scratch.root}/tree")
-    tree.add(rows, "topic", "value", "all")
-    return rows, tree.cutoffs(rows, "topic", "value", targets, "topic", "target_fraction")
+    tree.add(rows.filter("was"), "topic", "value", "first")
+    tree.add(rows.filter("was <> now"), "topic", "value", "second", F.when(F.col("now"), 1).otherwise(-1))
+    current = rows.filter("now")
+    return current, tree.cutoffs(current, "topic", "value", targets, "topic", "target_fraction", scratch)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
