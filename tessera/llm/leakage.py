@@ -9,6 +9,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, cached_property, lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,8 @@ def _number(word: str) -> int:
 
 def align(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], match: float = 2.0, mismatch: float = -1.0, gap: float = -0.7) -> tuple[int, int, int]:
     """Smith-Waterman over word numbers in two forms: (words carried, first and last doc word of the best local alignment).
-    Words that are the same are carried, and words aligned with a changed one between them."""
+    Words that are the same are carried. A few changed ones are too: those of a stretch in which words are aligned with others, if
+    it is shorter than both runs of equal words beside it, and in all at most one for every five equal words."""
     (ia, ib), (da, db) = item, doc
     m, n = len(ia), len(da)
     if not m or not n:
@@ -111,16 +113,19 @@ def align(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray
         row[1:] = np.maximum(row[1:], h[i - 1, :-1] + step[i - 1])
         h[i] = np.maximum.accumulate(row - slope) + slope
     i, j = divmod(int(h.argmax()), n + 1)
-    last, hits, first = j - 1, 0, j - 1
+    last, first, steps = j - 1, j - 1, []
     while i > 0 and j > 0 and h[i, j] > 1e-9:
         if abs(h[i, j] - (h[i - 1, j - 1] + step[i - 1, j - 1])) < 1e-9:
-            hits, first = hits + 1, j - 1
-            i, j = i - 1, j - 1
+            i, j, first = i - 1, j - 1, j - 1
+            steps.append(bool(same[i, j]))
         elif abs(h[i, j] - (h[i - 1, j] + gap)) < 1e-9:
             i -= 1
         else:
             j -= 1
-    return hits, first, last
+    runs = [(equal, sum(1 for _ in run)) for equal, run in groupby(steps)]  # the first and last are equal: a best alignment ends in matches
+    equal = sum(n for e, n in runs if e)
+    changed = sum(n for k, (e, n) in enumerate(runs) if not e and 0 < k < len(runs) - 1 and n < min(runs[k - 1][1], runs[k + 1][1]))
+    return equal + min(changed, equal // 5), first, last
 
 
 @dataclass
@@ -255,12 +260,12 @@ class Items:
         return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, n: int = 3, rare_share: float = 0.001, rare_least: int = 50, seeded: float = 0.1, block: int = 2_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, n: int = 3, rare_share: float = 0.001, rare_least: int = 50, seeded: float = 0.1, block: int = 12_000_000) -> DataFrame:
     """(doc_id, item_id, matched, item_words, first_word, last_word) for each document that carries, in one place
-    and in order, at least ``share`` of an item's words. ``matched`` counts the words that are the same and those changed in
-    place, that is aligned with another word; a date or number written with separators is one word.
+    and in order, at least ``share`` of an item's words. ``matched`` counts the words that are the same and
+    a few changed ones (see :func:`align`); a date or number written with separators is one word.
 
-    Items are taken in blocks of at most ``block`` (one pass over the documents each), so what is sent to the executors is
+    Items are taken in blocks of about ``block`` characters (one pass over the documents each), so what is sent to the executors is
     bounded. A seed is rare if at most max(rare_least, rare_share * documents) different texts and two items have it; of
     each item the rarer half of the seeds always counts, so no item is left without. A share ``seeded`` of an item's
     rare seeds must stand in one place, which keeps out other questions made by the same pattern. Documents and items with null
@@ -271,7 +276,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, n: in
     total = documents.count()
     most = max(rare_least, int(rare_share * total))
     numbered = items.select(F.col("item_id").cast("long"), "passage").filter("item_id is not null and length(passage) > 0").distinct()
-    blocks = max(1, -(-numbered.count() // block))
+    blocks = max(1, -(-(numbered.agg(F.sum(F.length("passage"))).first()[0] or 0) // block))
     found = []
     for b in range(blocks):
         rows = numbered.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "passage").collect()
