@@ -62,10 +62,24 @@ def test_leaks(spark):
     it = spark.createDataFrame([*[(i, p, 1) for i, p in items], (50, None, 1), (51, "", 1), (52, "?!", 1)], "item_id long, passage string, doc_id int")
     got = {(r.doc_id, r.item_id) for r in L.find_leaks(df, it).collect()}
     assert got == want
-    assert {(r.doc_id, r.item_id) for r in L.find_leaks(df, it, block=5).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in L.find_leaks(df, it, block=1_500).collect()} == want
     assert L.find_leaks(df.limit(0), it).count() == 0 and L.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_words_changed_too_often_are_not_carried():
+    """Of 60 words 40 % or 50 % equal in turns with changed ones are no leak; a few changed ones here and there are none the less."""
+    item = [f"w{i}" for i in range(60)]
+    turns = lambda equal, changed: " ".join(w if i % (equal + changed) < equal else f"x{i}" for i, w in enumerate(item))
+    items = L.Items.of([(1, " ".join(item))])
+    carried = lambda text: [x[1] for x in items.leaks(text, 0.0, 0.0)][0]
+    assert carried(" ".join(item)) == 60
+    assert carried(turns(3, 5)) <= 30 and carried(turns(3, 3)) <= 30
+    assert not items.leaks(turns(3, 5), 0.6, 0.0) and not items.leaks(turns(3, 3), 0.6, 0.0)
+    assert carried(turns(9, 1)) == 59 and carried(turns(5, 1)) == 59 and carried(turns(5, 3)) == 39 + 7
+    assert items.leaks(turns(5, 1), 0.6, 0.0)
+    assert carried(" ".join(item[:20] + ["so", "far"] + item[20:40])) == 40
+
+
 def test_many_reposts_stay_found(spark):
     rnd = random.Random(4)
     item = " ".join(sentence(rnd, 12) for _ in range(5))

@@ -40,6 +40,21 @@ def test_current_links(spark):
     assert sorted((r.id, r.v) for r in got) == [(3, 0.1), (4, 1.0)]
 
 
+def test_link_states_are_current_links_then_and_now(spark):
+    from datetime import datetime as D
+
+    from tessera.operators.links import link_states
+
+    rnd = random.Random(9)
+    rows = [(i, "k", rnd.randint(1, 4), "p", rnd.randint(1, 6), 0.5, rnd.choice([None, *[D(2025, 1, d) for d in range(1, 9)]]), "x") for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:40], LINK)
+    then = D(2025, 1, 4)
+    got = link_states(df, F.lit(then).cast("timestamp_ntz")).select("id", "was", "now").collect()
+    assert sorted(r.id for r in got if r.now) == sorted(r.id for r in current_links(df).collect())
+    old = df.filter(F.col("updated_at").isNull() | (F.col("updated_at") <= F.lit(then)))
+    assert sorted(r.id for r in got if r.was) == sorted(r.id for r in current_links(old).collect())
+
+
 def test_cutoff_matches_sorting_and_batches(spark):
     rnd = random.Random(6)
     rows = [(rnd.choice(["A", "B", "C", None]), rnd.choice([rnd.random(), 1.0, 0.0, 0.25, None])) for _ in range(2000)] + [("ONE", 0.5)]
@@ -58,13 +73,19 @@ def test_cutoff_matches_sorting_and_batches(spark):
     assert got == want
     tree.add(df.filter("t = 'A'"), "t", "s", "withdrawn", weight=-1)
     assert "A" not in {r.source for r in tree.descend(targets, "topic", "f").collect()}
+    again = DyadicCountTree(spark, tree.path, depth=4)  # the tree lasts: opened anew it knows all batches
+    again.add(df.filter("t = 'A'").withColumn("w", F.lit(1)), "t", "s", "back", F.col("w"))
+    assert {r.source: (r.cutoff, r.kept, r.total) for r in again.cutoffs(df, "t", "s", targets, "topic", "f").collect()} == want
 
 
 def test_components_match_union_find(spark):
     rnd = random.Random(7)
     edges = [(rnd.randint(1, 400), rnd.randint(1, 400)) for _ in range(260)]
     edges += [(1000, i) for i in range(1001, 1300)] + [(i, i + 1) for i in range(2000, 2200)] + [(9000, 9000), (None, 1), (2, None)]
-    got = {r.vertex: r.group for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    edges += [(3000, 3000 + i) for i in range(300)] + [(3300 + i, 3000 + i) for i in range(300)]  # a hub and what hangs on its neighbours
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.vertex: r.group for r in connected_components(df, "a", "b").collect()}
+    assert got == {r.vertex: r.group for r in connected_components(df, "a", "b", hot_rows=40).collect()}
     parent = {}
 
     def find(x):
@@ -78,7 +99,7 @@ def test_components_match_union_find(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     assert got == {v: find(v) for v in list(parent)}
-    assert max(Counter(got.values()).values()) == 300
+    assert max(Counter(got.values()).values()) == 600
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
