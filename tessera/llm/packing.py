@@ -8,6 +8,7 @@ import os
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,9 +84,55 @@ def best_fit(sizes: list[int], items: list[int], capacity: int, bins: list[list[
     return Packing(bins, load)
 
 
+def refill(sizes: list[int], capacity: int, bins: list[list[int]], load: list[int], loose: list[int], rnd: random.Random, tries: int = 12) -> list[int]:
+    """Exchange one or two items of a bin for one or two loose ones that fill it better, bin by bin; returns what is loose then.
+    The loose items only get smaller, so they are put back the more easily."""
+    loose = sorted(loose, key=lambda i: sizes[i])
+    for b in rnd.sample(range(len(bins)), len(bins)):
+        room = capacity - load[b]
+        if not room or not loose:
+            continue
+        own = rnd.sample(bins[b], min(tries, len(bins[b])))
+        outs = [(i,) for i in own] + [(i, j) for k, i in enumerate(own) for j in own[:k]]
+        have, best = [sizes[i] for i in loose], (0, (), ())
+        for out in outs:
+            gone = sum(sizes[i] for i in out)
+            most = gone + room
+            k = bisect.bisect_right(have, most) - 1
+            if k >= 0 and have[k] - gone > best[0]:
+                best = (have[k] - gone, out, (k,))
+            x, y = 0, len(have) - 1
+            while x < y:  # the pair that comes nearest from below
+                got = have[x] + have[y]
+                if got > most:
+                    y -= 1
+                else:
+                    if got - gone > best[0]:
+                        best = (got - gone, out, (x, y))
+                    x += 1
+            if best[0] == room:
+                break
+        gain, out, into = best
+        if gain > 0:
+            new = [loose[k] for k in into]
+            bins[b] = [i for i in bins[b] if i not in out] + new
+            load[b] += gain
+            loose = sorted([i for i in loose if i not in new] + list(out), key=lambda i: sizes[i])
+    return loose
+
+
+def settle(sizes: list[int], capacity: int, bins: list[list[int]], load: list[int], loose: list[int], rnd: random.Random) -> Packing:
+    """Put loose items back: first in exchange for smaller ones, as long as that helps, then by best fit, largest first."""
+    for _ in range(3):
+        before, loose = sorted(loose), refill(sizes, capacity, bins, load, loose, rnd)
+        if sorted(loose) == before:
+            break
+    return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i]), capacity, bins, load)
+
+
 def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rnd: random.Random) -> Packing:
     """Inject whole, well-filled bins of ``b`` into ``a``: bins of ``a`` that share an item with them are dissolved, and
-    their other items are put back by best fit, largest first."""
+    their other items are put back."""
     n = max(1, int(len(b.bins) * rnd.uniform(0.1, 0.5)))
     picked = sorted(rnd.sample(range(len(b.bins)), min(len(b.bins), 2 * n)), key=lambda x: -b.load[x])[:n]
     bins, load, taken, loose = [], [], set(), []
@@ -99,29 +146,34 @@ def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rnd: random.R
             load.append(a.load[x])
         else:
             loose += [i for i in own if i not in taken]
-    return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i]), capacity, bins, load)
+    return settle(sizes, capacity, bins, load, loose, rnd)
 
 
 def mutate(p: Packing, sizes: list[int], capacity: int, rnd: random.Random) -> Packing:
-    """Dissolve the emptiest bin and a few others, and put their items back, mostly largest first."""
+    """Dissolve the emptiest bin and a few others, and put their items back."""
     if len(p.bins) < 2:
         return p
     worst = sorted(range(len(p.bins)), key=lambda x: p.load[x])[: rnd.randint(1, 3)]
     gone = {*worst, *rnd.sample(range(len(p.bins)), min(len(p.bins), rnd.randint(1, 4)))}
     loose = [i for x in gone for i in p.bins[x]]
-    if rnd.random() < 0.7:
-        loose.sort(key=lambda i: -sizes[i])
-    else:
-        rnd.shuffle(loose)
     rest = [x for x in range(len(p.bins)) if x not in gone]
-    return best_fit(sizes, loose, capacity, [list(p.bins[x]) for x in rest], [p.load[x] for x in rest])
+    return settle(sizes, capacity, [list(p.bins[x]) for x in rest], [p.load[x] for x in rest], loose, rnd)
+
+
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer: what the items fill together, or the items of which no two fit into one."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+
+
+def decreasing(sizes: list[int], capacity: int) -> Packing:
+    return best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), capacity, [], [])
 
 
 def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rnd: random.Random, population: int, generations: int) -> list[Packing]:
     """Best packings first, from a population of the seeds, best fit decreasing, and best fit in random orders."""
     items = list(range(len(sizes)))
-    pool = list(seeds) or [best_fit(sizes, sorted(items, key=lambda i: -sizes[i]), capacity, [], [])]
-    least = -(-sum(sizes) // capacity)
+    pool = list(seeds) or [decreasing(sizes, capacity)]
+    least = least_bins(sizes, capacity)
     while len(pool) < population:
         jittered = sorted(items, key=lambda i: -sizes[i] * rnd.uniform(0.7, 1.3))
         pool.append(best_fit(sizes, jittered, capacity, [], []))
@@ -148,11 +200,12 @@ def _packing(of_item: list[int], sizes: list[int]) -> Packing:
     return Packing(bins, load)
 
 
-_ELITE = "shard long, island int, place int, n_bins int, fitness double, bin array<int>"
+_ELITE = "shard long, island int, place int, n_bins int, least int, fitness double, bin array<int>"
 
 
 def _epoch(groups: DataFrame, capacity: int, seed: int, epoch: int, population: int, generations: int, elites: int) -> DataFrame:
-    """One row per (shard, island) with sizes and the packings that start it -> its ``elites`` best packings."""
+    """One row per (shard, island) with sizes and the packings that start it -> its ``elites`` best packings. Without
+    generations: best fit decreasing alone."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -161,27 +214,29 @@ def _epoch(groups: DataFrame, capacity: int, seed: int, epoch: int, population:
                 sizes = [int(s) for s in sizes]
                 rnd = random.Random(f"{seed}/{epoch}/{shard}/{island}")
                 seeds = [_packing([int(b) for b in s], sizes) for s in (starts if starts is not None else [])]
-                for place, p in enumerate(evolve(sizes, capacity, seeds, rnd, population, generations)[:elites]):
+                found = evolve(sizes, capacity, seeds, rnd, population, generations)[:elites] if generations else [decreasing(sizes, capacity)]
+                for place, p in enumerate(found):
                     of_item = [0] * len(sizes)
                     for b, own in enumerate(p.bins):
                         for i in own:
                             of_item[i] = b
-                    out.append((shard, island, place, len(p.bins), p.fitness(capacity), of_item))
-            yield pd.DataFrame(out, columns=["shard", "island", "place", "n_bins", "fitness", "bin"])
+                    out.append((shard, island, place, len(p.bins), least_bins(sizes, capacity), p.fitness(capacity), of_item))
+            yield pd.DataFrame(out, columns=["shard", "island", "place", "n_bins", "least", "fitness", "bin"])
 
     return groups.mapInPandas(run, _ELITE)
 
 
 def pack(
     items: DataFrame, capacity: int, seed: int = 11, shard_items: int = 2_000, islands: int = 3, epochs: int = 3,
-    population: int = 8, generations: int = 8, elites: int = 2, full: float = 0.995, levels: int = 3,
+    population: int = 8, generations: int = 16, elites: int = 2, full: float = 0.995, levels: int = 3,
 ) -> DataFrame:
     """Assign documents (doc_id, tokens) to containers: (doc_id, piece, start, tokens, container_id).
 
     A document larger than the capacity is divided: as many whole containers as it fills, and its rest as an
-    item. Items are dealt into shards of about ``shard_items`` by hash. Every shard is packed on ``islands`` islands at
-    once; after each epoch an island's best packings stay and travel to the next island of the ring. Of the best
-    packing of a shard the containers at least ``full`` full are final; the items of the others are dealt out
+    item. Items are dealt into shards of about ``shard_items`` by hash and packed by best fit decreasing. Where that needs
+    no more containers than :func:`least_bins`, nothing can be better and the shard is done. Every other shard evolves on ``islands``
+    islands at once; after each epoch an island's best packings stay and travel to the next island of the ring, until the bound
+    is reached or the epochs are over. Of the best packing of a shard the containers at least ``full`` full are final; the items of the others are dealt out
     anew over fewer shards, up to ``levels`` times. So a task holds one shard however many documents there are.
 
     Every row is assigned, documents without tokens too (they take no room); a null tokens reads as 0, negative ones as 0.
@@ -212,24 +267,34 @@ def pack(
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(seed + level)), F.lit(shards)).cast("long"))
         row = F.struct("rid", "doc_id", "piece", "start", "tokens")
         groups = scratch.write(dealt.groupBy("shard").agg(F.array_sort(F.collect_list(row)).alias("rows")), "groups")
-        base = groups.select("shard", F.col("rows.tokens").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-        base = base.repartition(min(shards * islands, max(4 * spark.sparkContext.defaultParallelism, shards * islands // 8)), "shard", "island")
-        best = None
+        sizes = groups.select("shard", F.col("rows.tokens").alias("sizes"))
+        few = lambda df, n: df.repartition(min(n, max(4 * spark.sparkContext.defaultParallelism, n // 8)), "shard", "island")
+        none = F.lit(None).cast("array<array<int>>").alias("starts")
+        best = scratch.write(_epoch(few(sizes.withColumn("island", F.lit(0)).select("*", none), shards), capacity, seed, 0, 1, 0, 1), "first")
+        ready = [best.filter("n_bins <= least") if epochs else best]
         for epoch in range(epochs):
-            if best is None:
-                starts = base.withColumn("starts", F.lit(None).cast("array<array<int>>"))
+            unready = best.groupBy("shard").agg(F.min("n_bins").alias("n"), F.max("least").alias("l")).filter("n > l").select("shard")
+            unready = scratch.write(sizes.join(unready, "shard"), "unready")
+            count = unready.count()
+            if not count:
+                scratch.drop(unready)
+                break
+            base = few(unready.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))), count * islands)
+            if not epoch:
+                starts = base.select("*", none)
             else:
                 moved = best.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "bin").filter(F.lit(islands > 1))
                 known = best.select("shard", "island", "bin").unionByName(moved).groupBy("shard", "island").agg(F.collect_list("bin").alias("starts"))
                 starts = base.join(known, ["shard", "island"])
             now = scratch.write(_epoch(starts, capacity, seed + level, epoch, population, generations, elites), "elites")
-            if best is not None:
-                scratch.drop(best)
+            scratch.drop(unready)
+            ready.append(now if epoch == epochs - 1 else now.filter("n_bins <= least"))
             best = now
+        best = reduce(DataFrame.unionByName, ready)
         top = best.groupBy("shard").agg(F.min(F.struct("n_bins", -F.col("fitness"), "island", "place", "bin")).getField("bin").alias("bin"))
         placed = groups.join(top, "shard").select("shard", F.explode(F.arrays_zip("rows", "bin")).alias("x")).select("shard", "x.rows.*", F.col("x.bin").alias("bin"))
         placed = scratch.write(placed, "placed")
-        scratch.drop(best, groups)
+        scratch.drop(groups)
         name = F.concat_ws("-", F.lit(str(level)), "shard", "bin").alias("container_id")
         out = ("doc_id", "piece", "start", "tokens")
         if last:

@@ -20,6 +20,28 @@ def test_operators_keep_every_item_once():
     assert P.evolve([], 10, [], random.Random(1), 4, 2)[0].bins == []
 
 
+def triplets(n, seed):
+    """Sizes of which threes fill a container of 1,000 exactly, which best fit seldom finds."""
+    rnd, sizes = random.Random(seed), []
+    for _ in range(n):
+        a = rnd.randint(380, 490)
+        b = rnd.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    rnd.shuffle(sizes)
+    return sizes
+
+
+def test_the_search_beats_best_fit_on_hard_sizes(spark):
+    sizes = triplets(40, 3)
+    first = P.decreasing(sizes, 1000)
+    best = P.evolve(sizes, 1000, [], random.Random(1), 8, 16)[0]
+    assert sorted(i for b in best.bins for i in b) == list(range(120)) and max(best.load) <= 1000
+    assert len(first.bins) >= 46 and len(best.bins) <= 42 and P.least_bins(sizes, 1000) == 40
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long")
+    boxes = lambda **k: P.pack(df, 1000, **k).select("container_id").distinct().count()
+    assert boxes() <= 42 < 46 <= boxes(epochs=0)
+
+
 def test_pack_table(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice([None, 0, 2048, 2049, 4096, 9000, rnd.randint(1, 2048), rnd.randint(1, 400)])) for i in range(700)] + [(5, 100), (None, 7)]
