@@ -44,6 +44,57 @@ def number_score(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(best), F.lit(0.0))
 
 
+def pair_numbers(a: Column, b: Column, tolerance: float = 0.01) -> Column:
+    """How many numbers of one array find one of the other, each used once: in order, every number of ``a`` takes the first of ``b`` still
+    free within ``tolerance`` of the greater of both. The order matters, so this is a fold, not an intersection. Null
+    numbers find none; null where an array is."""
+    used = F.transform(b, lambda y: F.lit(False))
+
+    def take(acc: Column, x: Column) -> Column:
+        near = lambda y: F.when(x.isNull() | y.isNull(), False).when(F.greatest(F.abs(x), F.abs(y)) == 0, True).otherwise(F.abs(x - y) / F.greatest(F.abs(x), F.abs(y)) <= tolerance)
+        free = F.zip_with(acc["used"], b, lambda u, y: ~u & near(y))
+        at = F.array_position(free, True)
+        return F.struct((acc["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"), F.transform(acc["used"], lambda u, i: u | (i == at - 1)).alias("used"))
+
+    return F.aggregate(a, F.struct(F.lit(0).alias("n"), used.alias("used")), take)["n"]
+
+
+def comparator_factor(a: Column, b: Column) -> Column:
+    """What a pair's score is multiplied by for the sides of a number its titles name: equal 1; opposite 0; one unknown .95; a win .9;
+    a range and one side .7; an exact value and one side .5; else .8. Null reads as UNKNOWN."""
+    a, b = F.coalesce(a, F.lit("UNKNOWN")), F.coalesce(b, F.lit("UNKNOWN"))
+    either = lambda w: (a == w) | (b == w)
+    side = lambda c: c.isin("GE", "LE")
+    with_side = lambda w: ((a == w) & side(b)) | ((b == w) & side(a))
+    return (
+        F.when(a == b, 1.0).when(either("UNKNOWN"), 0.95).when(either("WIN"), 0.9).when(with_side("BETWEEN"), 0.7)
+        .when(side(a) & side(b), 0.0).when(with_side("EXACT"), 0.5).otherwise(0.8)
+    )
+
+
+def type_factor(a: Column, b: Column, compatible: list[tuple[str, str]]) -> Column:
+    """The same for kinds of question: equal 1; one unknown .9; a compatible pair .8; else .3. Null reads as UNKNOWN."""
+    a, b = F.coalesce(a, F.lit("UNKNOWN")), F.coalesce(b, F.lit("UNKNOWN"))
+    fits = F.lit(False)
+    for x, y in compatible:
+        fits = fits | ((a == x) & (b == y)) | ((a == y) & (b == x))
+    return F.when(a == b, 1.0).when((a == "UNKNOWN") | (b == "UNKNOWN"), 0.9).when(fits, 0.8).otherwise(0.3)
+
+
+def date_gate(a: Column, b: Column, precision_a: Column, precision_b: Column, strict: Column, days: int = 2) -> Column:
+    """Whether two dates let a pair pass. ``strict`` is "day" (both known to the day and at most ``days`` apart), "month" (the same
+    month, both known to it) or anything else (always)."""
+    by_day = (precision_a == "day") & (precision_b == "day") & (F.abs(F.datediff(a, b)) <= days)
+    by_month = precision_a.isin("day", "month") & precision_b.isin("day", "month") & (F.trunc(a, "month") == F.trunc(b, "month"))
+    return F.when(strict == "day", F.coalesce(by_day, F.lit(False))).when(strict == "month", F.coalesce(by_month, F.lit(False))).otherwise(True)
+
+
+def period_weight(a: Column, b: Column) -> Column:
+    """Of compatible periods by their kinds: the same 1, month and quarter .6, quarter and year .55, month and year .45."""
+    pair = lambda x, y: ((a == x) & (b == y)) | ((a == y) & (b == x))
+    return F.when(a == b, 1.0).when(pair("month", "quarter"), 0.6).when(pair("quarter", "year"), 0.55).when(pair("month", "year"), 0.45)
+
+
 def entity_score(a: Column, b: Column) -> Column:
     """Jaccard plus .1 for one shared element, .3 for more, at most 1; nothing shared 0."""
     shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.rules import first_match
 from tessera.operators.selection import leading_run
@@ -43,3 +44,20 @@ def health(events: DataFrame, now: Column, stuck_minutes: float = 30, failures:
     j = state.join(row, "job", "left").withColumn("failed_runs", F.coalesce("failed_runs", F.lit(0)))
     verdict = first_match([("STUCK", F.col("stuck")), ("FAILING", F.col("failed_runs") >= failures), ("STALE", F.col("last").isNull() | (minutes(F.col("last")) > stale_minutes))], F.lit("OK"))
     return j.select("job", verdict.alias("verdict"), "failed_runs")
+
+
+def stuck_cursors(events: DataFrame, fetched: DataFrame, times: int = 3) -> DataFrame:
+    """(job, cursor) of the jobs whose last ``times`` runs all read on from the same cursor and fetched nothing: their cursor is to be
+    dropped. ``fetched``: (job, run, n). Runs without a count say nothing and are passed over."""
+    r = runs(events).join(fetched.select("job", "run", "n"), ["job", "run"])
+    last = r.withColumn("_k", F.row_number().over(Window.partitionBy("job").orderBy(F.col("started").desc(), F.col("run").desc()))).filter(F.col("_k") <= times)
+    g = last.groupBy("job").agg(F.count("*").alias("_n"), F.sum("n").alias("_sum"), F.min("cursor").alias("cursor"), F.max("cursor").alias("_to"))
+    return g.filter((F.col("_n") == times) & (F.col("_sum") == 0) & (F.col("cursor") == F.col("_to"))).select("job", "cursor")
+
+
+def next_turn(rows: DataFrame, key: str, after, limit: int) -> tuple[DataFrame, object]:
+    """The next ``limit`` rows by ``key`` after the last turn's cursor, and this turn's: null when the end is reached, so that the next
+    turn begins anew. A key must be unique and not null."""
+    page = (rows if after is None else rows.filter(F.col(key) > F.lit(after))).filter(F.col(key).isNotNull()).orderBy(key).limit(limit)
+    n, last = page.agg(F.count("*"), F.max(key)).first()
+    return page, last if n == limit else None

@@ -23,6 +23,12 @@ def _(t):
     return t.markets.filter("id > 100 and status = 'active'").select("id", "title").orderBy("id").limit(50)
 
 
+@query("f_nulls_first", "select id, close_time from markets where status = 'active' order by close_time desc nulls first, id desc limit 200")
+def _(t):
+    """A page in the order that puts listings without a close_time first."""
+    return t.markets.filter("status = 'active'").select("id", "close_time").orderBy(F.col("close_time").desc_nulls_first(), F.col("id").desc()).limit(200)
+
+
 @query("f_offset_page", "select id from market_links where score >= 0.5 and not isnan(score) order by score desc, id limit 100 offset 300")
 def _(t):
     d = t.market_links.filter("score >= 0.5 and not isnan(score)").select("id", "score").orderBy(F.col("score").desc(), "id")
@@ -206,10 +212,10 @@ def _words_sql(words) -> str:
     return "|".join(words)
 
 
-def _comparator_sql() -> str:
+def _comparator_sql(title: str = "title") -> str:
     from tessera.functions import text as X
 
-    t = "lower(title)"
+    t = f"lower({title})"
     return (
         f"case when regexp_matches({t}, '{X.BETWEEN.replace(chr(39), chr(39) * 2)}') then 'BETWEEN' when regexp_matches({t}, '{_words_sql(X.AT_LEAST_WORDS)}') then 'GE' "
         f"when regexp_matches({t}, '{_words_sql(X.AT_MOST_WORDS)}') then 'LE' when regexp_matches({t}, '{_words_sql(X.WIN_WORDS)}') then 'WIN' else 'UNKNOWN' end"

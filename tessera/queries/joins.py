@@ -123,6 +123,42 @@ def _(t):
     return a.join(b, ["e", "k"]).select("l", "r", F.when(F.col("a") == F.col("b"), 1).otherwise(0).cast("bigint").alias("exact")).distinct()
 
 
+@query("j_period_ranked", """
+with m as (select id, venue, cast(close_time as date) as d, regexp_extract(title, '([A-Z][a-z]{6,})', 1) as e, case id % 3 when 0 then 'month' when 1 then 'quarter' else 'year' end as kind from markets where close_time is not null and regexp_matches(title, '[A-Z][a-z]{6,}')),
+p as (select a.id as l, b.id as r, a.kind as x, b.kind as y from m a join m b on a.e = b.e and a.venue = 'kalshi' and b.venue = 'polymarket' and year(a.d) = year(b.d)
+  and case when 'year' in (a.kind, b.kind) then true when 'quarter' in (a.kind, b.kind) then quarter(a.d) = quarter(b.d) else month(a.d) = month(b.d) end),
+w as (select l, r, case when x = y then 1.0 when 'year' not in (x, y) then 0.6 when 'month' not in (x, y) then 0.55 else 0.45 end as w from p)
+select l, r, cast(w as double) as weight, k as rank from (select *, row_number() over (partition by l order by w desc, r) as k from w) where k <= 10
+""")
+def _(t):
+    """The ten best candidates of compatible periods, weighted by how their kinds fit."""
+    from tessera.functions.scores import period_weight
+
+    kind = F.when(F.col("id") % 3 == 0, "month").when(F.col("id") % 3 == 1, "quarter").otherwise("year")
+    m = t.markets.filter("close_time is not null").select("id", "venue", F.col("close_time").cast("date").alias("d"), F.regexp_extract("title", "([A-Z][a-z]{6,})", 1).alias("e"), kind.alias("kind")).filter("e <> ''")
+    d = F.col("d")
+    own = F.when(F.col("kind") == "month", F.date_format("d", "yyyy-MM")).when(F.col("kind") == "quarter", F.format_string("%04d-Q%d", F.year(d), F.quarter(d))).otherwise(F.year(d).cast("string"))
+    a = m.filter("venue = 'kalshi'").select(F.col("id").alias("l"), "e", F.col("kind").alias("a"), F.explode(B.period_keys(d, F.col("kind"))).alias("k"))
+    b = m.filter("venue = 'polymarket'").select(F.col("id").alias("r"), "e", F.col("kind").alias("b"), own.alias("k"))
+    w = a.join(b, ["e", "k"]).select("l", "r", period_weight(F.col("a"), F.col("b")).alias("weight"))
+    return B.cap_per(w, "l", 10, F.col("weight").desc(), F.col("r")).select("l", "r", "weight", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("j_entity_ranked", f"""
+with k as (select id, venue, close_time as c, unnest({_LONG}) as e from markets),
+p as (select a.id as l, b.id as r, count(*) as n, min(abs(epoch_us(a.c) - epoch_us(b.c))) as apart from k a join k b on a.e = b.e and a.venue = 'kalshi' and b.venue = 'polymarket' group by 1, 2)
+select l, r, cast(n as bigint) as n_keys, rank from (select *, row_number() over (partition by l order by n desc, apart nulls last, r) as rank from p) where rank <= 20
+""")
+def _(t):
+    """The twenty best candidates of every listing that share a long word: most words, then nearest in time."""
+    from tessera.shared import epoch_us
+
+    m = t.markets.select("id", "venue", epoch_us("close_time").alias("c"), F.explode(F.array_distinct(F.filter(words(F.col("title")), lambda w: F.length(w) >= 8))).alias("e"))
+    a, b = m.filter("venue = 'kalshi'").select(F.col("id").alias("l"), F.col("c").alias("ca"), "e"), m.filter("venue = 'polymarket'").select(F.col("id").alias("r"), F.col("c").alias("cb"), "e")
+    p = a.join(b, "e").groupBy("l", "r").agg(F.count("*").alias("n_keys"), F.min(F.abs(F.col("ca") - F.col("cb"))).alias("apart"))
+    return B.cap_per(p, "l", 20, F.col("n_keys").desc(), F.col("apart").asc_nulls_last(), F.col("r")).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("j_band_days", """
 with m as (select id, venue, derived_topic as k, upper(left(trim(title), 3)) as e, cast(close_time as date) as d from markets where close_time is not null and derived_topic is not null)
 select a.id as l, b.id as r, abs(date_diff('day', a.d, b.d)) as apart from m a join m b on a.k = b.k and a.e = b.e and a.venue = 'kalshi' and b.venue = 'polymarket' where abs(date_diff('day', a.d, b.d)) <= 1

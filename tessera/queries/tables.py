@@ -12,7 +12,7 @@ from tessera.operators import quotes as Q
 from tessera.operators import upsert as U
 from tessera.operators.rules import first_match, match_table
 from tessera.plans.pipeline import Pipeline, run, scored
-from tessera.queries.filters import _tokens_sql
+from tessera.queries.filters import _comparator_sql, _tokens_sql
 from tessera.queries.registry import NOW, now, query
 from tessera.shared import Scratch
 
@@ -112,6 +112,112 @@ def _(t):
     return read("offset").select(F.lit("offset").alias("paging"), name).unionByName(read("cursor").select(F.lit("cursor").alias("paging"), name))
 
 
+@query("src_map_flags", """
+select external_id, title, coalesce(nullif(category, ''), 'none') as category, case when status = 'active' then 'active' when status = 'closed' or status is null then 'closed' else 'resolved' end as status, close_time
+from markets where venue = 'polymarket' and external_id is not null and external_id <> ''
+""")
+def _(t):
+    """Listings written as catalogue items with flags, and mapped back."""
+    from tessera.sources.mapping import map_flagged
+
+    s = F.col("status")
+    item = F.struct(F.col("external_id").alias("id"), F.col("title").alias("question"), "category", F.lit("none").alias("groupItemTitle"), s.isin("active", "closed").alias("active"), (~(s == "active")).alias("closed"), F.date_format("close_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("endDate"))
+    return map_flagged(t.markets.filter("venue = 'polymarket'").select(F.to_json(item).alias("item"))).select("external_id", "title", "category", "status", "close_time")
+
+
+@query("src_map_outcomes", """
+select m.external_id, o.name, case when lower(o.name) in ('yes', 'no') then lower(o.name) else 'other' end as side, cast(row_number() over (partition by m.id order by o.id) - 1 as bigint) as position
+from markets m join outcomes o on o.market_id = m.id where m.venue = 'polymarket' and m.external_id <> '' and o.name is not null
+""")
+def _(t):
+    """Outcomes written as lists, of every other listing as a text with a list in it, and mapped back."""
+    from tessera.sources.mapping import map_flagged
+
+    n = t.outcomes.filter("name is not null").groupBy("market_id").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).getField("name").alias("names"))
+    m = t.markets.filter("venue = 'polymarket'").select("id", "external_id").join(n, F.col("id") == F.col("market_id"))
+    as_list, as_text = (F.to_json(F.struct(F.col("external_id").alias("id"), o.alias("outcomes"))) for o in (F.col("names"), F.to_json("names")))
+    items = m.select(F.when(F.xxhash64("id") % 2 == 0, as_list).otherwise(as_text).alias("item"))
+    o = map_flagged(items).select("external_id", F.posexplode("outcomes").alias("position", "o"))
+    return o.select("external_id", "o.name", "o.side", F.col("position").cast("bigint").alias("position"))
+
+
+@query("src_map_words", """
+select external_id, title || coalesce(' - ' || nullif(derived_topic, ''), '') as title, coalesce(nullif(category, ''), kalshi_event_ticker) as category, case status when 'closed' then 'closed' when 'resolved' then 'resolved' else 'active' end as status, kalshi_event_ticker as event_ticker,
+  json_extract_string(metadata, '$.yesBid')::double as yes_bid
+from markets where venue = 'kalshi' and external_id <> ''
+""")
+def _(t):
+    """Listings written as catalogue items with a status word, and mapped back."""
+    from tessera.sources.mapping import map_listed
+
+    word = F.when(F.col("status") == "closed", "paused").when(F.col("status") == "resolved", "settled").when(F.col("status") == "active", "open").otherwise("other")
+    item = F.struct(F.col("external_id").alias("ticker"), "title", F.col("derived_topic").alias("subtitle"), "category", F.col("kalshi_event_ticker").alias("event_ticker"), word.alias("status"), F.get_json_object("metadata", "$.yesBid").alias("yes_bid"))
+    m = map_listed(t.markets.filter("venue = 'kalshi'").select(F.to_json(item).alias("item")))
+    return m.select("external_id", "title", "category", "status", "event_ticker", F.get("outcomes", F.lit(0))["bid"].alias("yes_bid"))
+
+
+@query("w_decide", """
+with d as (select id, max(status) as s from (select id, 'confirmed' as status from market_links where score >= 0.9 and not isnan(score) union all select id, 'rejected' from market_links where score < 0.2) group by id)
+select l.id, coalesce(d.s, l.status) as status, case when d.s is null then l.reason else 'review' end as reason, d.s is not null and (l.status is distinct from d.s or l.reason is distinct from 'review') as changed from market_links l left join d using (id)
+""")
+def _(t):
+    from tessera.operators.states import decide
+
+    l = t.market_links
+    d = lambda c, s: l.filter(c).select("id", F.lit(s).alias("status"), F.lit("review").alias("reason"), F.lit(1).alias("decided_at"))
+    return decide(l, d("score >= 0.9 and not isnan(score)", "confirmed").unionByName(d("score < 0.2", "rejected"))).select("id", "status", "reason", "changed")
+
+
+@query("w_rollback", """
+select id, case when u then 'suggested' else status end as status, case when u then null else reason end as reason, u as changed from (select *, coalesce(lower(trim(status)) in ('confirmed', 'rejected') and starts_with(algo_version, 'v3@'), false) as u from market_links)
+""")
+def _(t):
+    from tessera.operators.states import roll_back
+
+    return roll_back(t.market_links, F.col("algo_version").startswith("v3@")).select("id", "status", "reason", "changed")
+
+
+@query("w_archive", f"""
+select id, case when o then 'archived' else status end as status, o as changed from (select *, coalesce((status = 'resolved' and updated_at < timestamp '{NOW}' - interval 30 day) or (status = 'closed' and close_time < timestamp '{NOW}' - interval 14 day), false) as o from markets)
+""")
+def _(t):
+    from tessera.operators.states import archive
+
+    return archive(t.markets, now()).select("id", "status", "changed")
+
+
+@query("c_number_pairing")
+def _(t):
+    """Numbers that the two titles of a link share one by one, within a hundredth."""
+    from tessera.functions.text import numbers
+
+    return t.market_links.select("id", C.pair_numbers(numbers(F.col("left_title")), numbers(F.col("right_title"))).alias("n"))
+
+
+@query("c_comparator_factor", f"""
+with k as (select id, {_comparator_sql('left_title')} as a, {_comparator_sql('right_title')} as b from market_links)
+select id, cast(case when a = b then 1 when 'UNKNOWN' in (a, b) then 0.95 when 'WIN' in (a, b) then 0.9 when 'BETWEEN' in (a, b) then 0.7 else 0 end as double) as factor from k
+""")
+def _(t):
+    """What the sides of a number that a link's titles name make of its score; the titles name no exact values."""
+    from tessera.functions.text import comparator
+
+    a, b = comparator(F.col("left_title")), comparator(F.col("right_title"))
+    return t.market_links.select("id", C.comparator_factor(a, b).alias("factor"))
+
+
+@query("c_date_gate", """
+with p as (select l.id, cast(a.close_time as date) as a, cast(b.close_time as date) as b, case when l.id % 3 = 0 then 'day' when l.id % 3 = 1 then 'month' else 'none' end as strict from market_links l join markets a on a.id = l.left_market_id join markets b on b.id = l.right_market_id)
+select id, case strict when 'day' then coalesce(abs(date_diff('day', a, b)) <= 2, false) when 'month' then coalesce(year(a) = year(b) and month(a) = month(b), false) else true end as passes from p
+""")
+def _(t):
+    m = t.markets.select("id", F.col("close_time").cast("date").alias("d"))
+    a, b = m.select(F.col("id").alias("left_market_id"), F.col("d").alias("a")), m.select(F.col("id").alias("right_market_id"), F.col("d").alias("b"))
+    strict = F.when(F.col("id") % 3 == 0, "day").when(F.col("id") % 3 == 1, "month").otherwise("none")
+    j = t.market_links.select("id", "left_market_id", "right_market_id").join(a, "left_market_id").join(b, "right_market_id")
+    return j.select("id", C.date_gate(F.col("a"), F.col("b"), F.lit("day"), F.lit("day"), strict).alias("passes"))
+
+
 _STORED = "s as (select id, title, status from markets where created_at < timestamp '2025-12-01'), b as (select id, case when metadata is null then upper(title) else title end as title, case when derived_topic is null then null else status end as status from markets where updated_at >= timestamp '2025-10-01')"
 
 
