@@ -35,13 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors.
 
-    Tables are removed by :meth:`drop` as soon as nothing reads them; what the returned DataFrame still
-    reads stays until the folder itself is cleaned.
+    Tables are removed by :meth:`drop` as soon as nothing reads them; what a returned DataFrame still
+    reads stays until :meth:`clean`, which removes all tables of this process, for when the results are written.
     """
 
+    _roots: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self._n = 0
+        Scratch._roots.append((spark, self.root))
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        for own, root in cls._roots:
+            if own is spark:
+                remove(spark, root)
+        cls._roots = [x for x in cls._roots if x[0] is not spark]
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -52,14 +62,21 @@ class Scratch:
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._tessera_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, df._tessera_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system it is in; one that is not there is no error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after counting that it has at most ``limit`` rows."""
+    """Mark a side for broadcast only after counting that it has at most ``limit`` rows. A side that is not a written table is written
+    first, so that it is computed once, for the count and for the join."""
+    if not hasattr(df, "_tessera_path"):
+        df = Scratch(df.sparkSession, "side").write(df, "side")
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

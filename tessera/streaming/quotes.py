@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.quotes import EPSILON, INTERVAL, accepted, latest_quotes, merge_latest
+from tessera.shared import remove
 
 
 def read_quotes(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -24,7 +25,7 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, epsilon: float = EPSI
 
     Every micro-batch is one cycle and is compared with the latest values as they stood before it. Files are named by the
     batch's number, so a batch that is run again replaces its own output; the latest values of batch k lie in
-    latest/k, and older ones than the last two are not needed.
+    latest/k; those before the last two are removed, as a batch that is run again reads the one before it at most.
     """
     spark = stream.sparkSession
 
@@ -36,6 +37,8 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, epsilon: float = EPSI
         new = latest_quotes(spark.read.parquet(f"{store}/quotes/batch={k}")).select(*kept)
         now = new if stored is None else merge_latest(stored.select(*kept), new, monotonic)
         now.write.mode("overwrite").parquet(f"{store}/latest/{k}")
+        if k > 1:
+            remove(spark, f"{store}/latest/{k - 2}")
 
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

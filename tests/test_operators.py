@@ -347,3 +347,18 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
         with pytest.raises(RuntimeError):
             shared_dir(N(conf=conf, sparkContext=N(master=master, getConf=lambda: conf)))
+
+
+def test_scratch_tables_can_be_cleaned(spark):
+    from pathlib import Path
+
+    from tessera.shared import Scratch, small
+
+    before = len(Scratch._roots)
+    a = Scratch(spark, "x").write(spark.range(3))
+    b = small(spark.range(5))
+    assert b.count() == 5 and a.count() == 3 and len(Scratch._roots) == before + 2
+    paths = [Path(root.removeprefix("file://")) for _, root in Scratch._roots[before:]]
+    assert all(p.exists() for p in paths)
+    Scratch.clean(spark)
+    assert not any(p.exists() for p in paths) and not Scratch._roots
