@@ -51,6 +51,7 @@ def scored(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r, components, score) of the candidate pairs that pass the gates and reach the least score.
 
     Pairs are compared where their keys meet and are never shuffled; a pair that shares several keys is kept at the first of them.
+    Components are compared in the order given, so the cheap and heavy ones should come first.
     """
     mine, other = p.keys(), (p.keys_right or p.keys)()
     x = left.select(F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in left.columns], F.array_distinct(mine).alias("_lk"))
@@ -58,8 +59,11 @@ def scored(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:
     j = meet(x, y, "_lk", "_rk").filter(F.col("l") != F.col("r"))
     for g in p.gates:
         j = j.filter(g)
-    parts = [c.alias(n) for n, (_, c) in p.scores.items()]
-    j = j.select("l", "r", *parts, "_k", "_lk", "_rk")
+    sofar, rest = F.lit(0.0), sum(w for w, _ in p.scores.values())
+    for n, (w, c) in p.scores.items():  # components are at most 1: a pair that cannot reach the least score any more is compared no further
+        j, sofar, rest = j.withColumn(n, c), sofar + F.lit(w) * F.col(n), rest - w
+        j = j.filter(sofar + rest >= p.least - 1e-6)
+    j = j.select("l", "r", *p.scores, "_k", "_lk", "_rk")
     total = sum((F.lit(w) * F.col(n) for n, (w, _) in p.scores.items()), F.lit(0.0))
     j = j.withColumn("score", F.round(total, 6)).filter(F.col("score") >= p.least)
     return j.filter(F.col("_k") == F.array_min(F.array_intersect("_lk", "_rk"))).drop("_k", "_lk", "_rk")

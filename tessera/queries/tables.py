@@ -368,16 +368,16 @@ def _(t):
 
 def simple() -> Pipeline:
     """Word overlap, closeness in time and category; blocked on the words of five letters or more that both titles share."""
-    a, b = F.col("l_tok"), F.col("r_tok")
+    shared = F.size(F.array_intersect("l_tok", "r_tok"))
     return Pipeline(
         "SIMPLE", lambda: F.filter("tok", lambda w: F.length(w) >= 5),
-        {"words": (0.7, jaccard(a, b)), "time": (0.2, C.time_score(F.col("l_close_time"), F.col("r_close_time"))), "category": (0.1, C.category_score(F.col("l_category"), F.col("r_category")))},
+        {"words": (0.7, F.when(F.col("l_n") + F.col("r_n") == 0, 0.0).otherwise(shared / (F.col("l_n") + F.col("r_n") - shared))), "time": (0.2, C.time_score(F.col("l_close_time"), F.col("r_close_time"))), "category": (0.1, C.category_score(F.col("l_category"), F.col("r_category")))},
         gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, per_left=3, per_right=3,
     )
 
 
 def _sides(t):
-    m = t.markets.select("id", "venue", "close_time", "category", tokenize(F.col("title")).alias("tok"))
+    m = t.markets.select("id", "venue", "close_time", "category", F.array_distinct(tokenize(F.col("title"))).alias("tok")).withColumn("n", F.size("tok"))
     return m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
 
 

@@ -14,12 +14,13 @@ T0 = D(2026, 1, 1)
 
 def test_no_candidate_is_dropped_before_it_is_scored(spark):
     cols = "id long, venue string, close_time timestamp_ntz, category string, tok array<string>"
-    l = spark.createDataFrame([(1, "kalshi", T0, "x", ["senate", "election", "zulek"])], cols)
+    counted = lambda rows: spark.createDataFrame(rows, cols).withColumn("n", F.size("tok"))
+    l = counted([(1, "kalshi", T0, "x", ["senate", "election", "zulek"])])
     r = [(k, "polymarket", T0, "x", ["senate", "election", f"w{k}"]) for k in range(100, 350)] + [(900, "polymarket", T0, "x", ["zulek", "race"])]
-    r = spark.createDataFrame(r, cols)
+    r = counted(r)
     got = {x.r: x.score for x in scored(simple(), l, r).collect()}
     assert set(got) == {*range(100, 350), 900} and got[900] == 0.475
-    r = r.filter("id < 200").unionByName(spark.createDataFrame([(901, "polymarket", T0, "x", ["senate", "election", "zulek"])], cols))
+    r = r.filter("id < 200").unionByName(counted([(901, "polymarket", T0, "x", ["senate", "election", "zulek"])]))
     assert 901 in {x.r for x in run(simple(), l, r).collect()}
 
 
