@@ -87,7 +87,7 @@ def keep_close(pairs: DataFrame, gap: float) -> DataFrame:
 
 def brackets(rows: DataFrame, left: str, key: str, score: str, tie: str, groups: int, lines: int) -> DataFrame:
     """Of each left row the ``groups`` groups of ``key`` with the best scores, and of each the ``lines`` best rows; equal
-    scores by ``tie``."""
+    scores by ``tie``, a number. A left row of any size is reduced before it is shuffled: its rows to ``lines`` a group, its groups to ``groups``."""
     in_group = Window.partitionBy(left, key).orderBy(F.col(score).desc(), F.col(tie))
     x = rows.withColumn("line", F.row_number().over(in_group)).filter(F.col("line") <= lines)
     best = rows.groupBy(left, key).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(tie)).alias("t"))).alias("_b"))
