@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.shared import small
+from tessera.shared import Scratch, small
 
 
 def key_join(left: DataFrame, right: DataFrame, keys_left: Column, keys_right: Column, on: str = "id") -> DataFrame:
@@ -94,3 +96,79 @@ def cap_per(pairs: DataFrame, side: str, cap: int, *order: Column) -> DataFrame:
     shuffle, so a row with many candidates sends only its best."""
     w = Window.partitionBy(side).orderBy(*order)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+
+
+def _subsets(words: str) -> Column:
+    """(key, n) of every set of one or more of the words, which are in one order in all rows."""
+    none = F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("n")))
+    grown = lambda acc, w: F.transform(acc, lambda x: F.struct(F.concat(x["key"], F.lit("\x01"), w).alias("key"), (x["n"] + 1).alias("n")))
+    return F.slice(F.aggregate(words, none, lambda acc, w: F.concat(acc, grown(acc, w))), 2, 1 << 30)
+
+
+def _nearest(lefts: pd.DataFrame, rights: pd.DataFrame, n: int, rows: int = 20_000) -> pd.DataFrame:
+    """For every left row the ``n`` right rows of its key that are nearest in time, then those without a time (all of them, where the left
+    row has none), the smaller id first among equals. ``apart`` is -1 where a time is missing."""
+    code, keys = pd.factorize(rights["key"])
+    rc, rr, rt, rnone = np.asarray(code, dtype="int64"), rights["r"].to_numpy("int64"), rights["t"].to_numpy("int64"), rights["none"].to_numpy(bool)
+    at = keys.get_indexer(lefts["key"])
+    lefts, lc = lefts[at >= 0], at[at >= 0].astype("int64")
+    ll, lt, lnone, ln = lefts["l"].to_numpy("int64"), lefts["t"].to_numpy("int64"), lefts["none"].to_numpy(bool), lefts["n"].to_numpy("int64")
+    times = np.unique(np.concatenate([rt, lt]))
+    size = len(times) + 1
+    ri, li = np.searchsorted(times, rt), np.searchsorted(times, lt)
+
+    def ordered(own: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = rc[own] * size + rank[own]
+        o = np.lexsort((rr[own], place))
+        return own[o], place[o]
+
+    told, untold, zero = np.flatnonzero(~rnone), np.flatnonzero(rnone), np.zeros(len(rc), dtype="int64")
+    on, back, without, every = ordered(told, ri), ordered(told, size - 1 - ri), ordered(untold, zero), ordered(np.arange(len(rc)), zero)
+    out = []
+    for a in range(0, len(ll), rows):
+        part = slice(a, a + rows)
+        c, i, no, end = lc[part], li[part], lnone[part], (lc[part] + 1) * size
+        found, live, sort = [], [], []
+        starts = ((on, c * size + i, "left", 0, ~no), (back, c * size + size - 1 - i, "right", 0, ~no), (without, c * size, "left", 1, ~no), (every, c * size, "left", 1, no))
+        for (own, place), key, how, rank, wanted in starts:
+            first, last = np.searchsorted(place, key, how), np.searchsorted(place, end, "left")
+            spot = first[:, None] + np.arange(n)
+            live.append((spot < last[:, None]) & wanted[:, None])
+            found.append(own[np.minimum(spot, len(own) - 1)] if len(own) else np.zeros(spot.shape, dtype="int64"))
+            sort.append(np.full(spot.shape, rank))
+        found, live, sort = np.hstack(found), np.hstack(live), np.where(np.hstack(live), np.hstack(sort), 2)
+        apart = np.where(sort == 0, np.abs(rt[found] - lt[part][:, None]), -1)
+        best = np.lexsort((rr[found], apart, sort), axis=-1)[:, :n]
+        take = lambda x: np.take_along_axis(x, best, 1)
+        ok = take(live)
+        many = ok.sum(1)
+        out.append(pd.DataFrame({"l": np.repeat(ll[part], many), "r": rr[take(found)[ok]], "n_keys": np.repeat(ln[part], many), "apart": take(apart)[ok]}))
+    return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, dtype="int64") for c in ("l", "r", "n_keys", "apart")})
+
+
+def nearest_sharing(left: DataFrame, right: DataFrame, words: str, time: str, n: int, on: str = "id", most: int = 5, rows: int = 400_000) -> DataFrame:
+    """(l, r, n_keys, apart, rank): of each left row the ``n`` right rows that share most words with it, then those nearest in ``time`` (a
+    number; unknown distances last), then by id. Exact, and pairs are not enumerated.
+
+    Each set of words of a row is a key, and of a left row and key only the ``n`` nearest right rows are made: a pair that shares exactly
+    the set S and is not among the n nearest that have S comes after n others, which share S or more. Rows of more than ``most`` words have too
+    many sets and are joined word by word.
+    """
+    scratch = Scratch(left.sparkSession, "nearest")
+
+    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        x = rows.select(F.col(on).alias(name), F.col(time).cast("bigint").alias("t"), F.array_sort(F.array_distinct(F.array_compact(words))).alias("w")).filter(F.size("w") > 0)
+        x = scratch.write(x, name)
+        return x, x.filter(F.size("w") > most)
+
+    (l, l_long), (r, r_long) = side(left, "l"), side(right, "r")
+    buckets = max(12, l.sparkSession.sparkContext.defaultParallelism * 2, (l.count() + r.count()) // rows)
+    few = lambda x, *own: x.filter(F.size("w") <= most).select(*own, F.coalesce("t", F.lit(0)).alias("t"), F.col("t").isNull().alias("none"), F.inline(_subsets("w"))).withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    found = few(l, "l").groupBy("_b").cogroup(few(r, "r").groupBy("_b")).applyInPandas(lambda a, b: _nearest(a, b, n), "l long, r long, n_keys long, apart long")
+    for a, b in ((l_long, r), (l.filter(F.size("w") <= most), r_long)):
+        if not (a.isEmpty() or b.isEmpty()):
+            x, y = a.select("l", F.col("t").alias("ta"), F.explode("w").alias("k")), b.select("r", F.col("t").alias("tb"), F.explode("w").alias("k"))
+            far = x.join(y, "k").groupBy("l", "r").agg(F.count("*").alias("n_keys"), F.min(F.abs(F.col("ta") - F.col("tb"))).alias("apart"))
+            found = found.unionByName(far.withColumn("apart", F.coalesce("apart", F.lit(-1).cast("bigint"))))
+    pairs = found.repartition("l").groupBy("l", "r").agg(F.max("n_keys").alias("n_keys"), F.max("apart").alias("apart")).withColumn("apart", F.nullif("apart", F.lit(-1).cast("bigint")))
+    return cap_per(pairs, "l", n, F.col("n_keys").desc(), F.col("apart").asc_nulls_last(), F.col("r"))

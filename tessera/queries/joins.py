@@ -153,10 +153,8 @@ def _(t):
     """The twenty best candidates of every listing that share a long word: most words, then nearest in time."""
     from tessera.shared import epoch_us
 
-    m = t.markets.select("id", "venue", epoch_us("close_time").alias("c"), F.explode(F.array_distinct(F.filter(words(F.col("title")), lambda w: F.length(w) >= 8))).alias("e"))
-    a, b = m.filter("venue = 'kalshi'").select(F.col("id").alias("l"), F.col("c").alias("ca"), "e"), m.filter("venue = 'polymarket'").select(F.col("id").alias("r"), F.col("c").alias("cb"), "e")
-    p = a.join(b, "e").groupBy("l", "r").agg(F.count("*").alias("n_keys"), F.min(F.abs(F.col("ca") - F.col("cb"))).alias("apart"))
-    return B.cap_per(p, "l", 20, F.col("n_keys").desc(), F.col("apart").asc_nulls_last(), F.col("r")).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
+    m = t.markets.select("id", "venue", epoch_us("close_time").alias("c"), F.filter(words(F.col("title")), lambda w: F.length(w) >= 8).alias("w"))
+    return B.nearest_sharing(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w", "c", 20).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("j_band_days", """
