@@ -13,25 +13,28 @@ from tessera.shared import Scratch, small
 
 def key_join(left: DataFrame, right: DataFrame, keys_left: Column, keys_right: Column, on: str = "id") -> DataFrame:
     """Distinct (l, r) that share a key; ``n_keys`` counts the keys shared. Arrays of keys are made distinct first, null keys
-    match nothing. Only ids and keys are shuffled."""
-    a = left.select(F.col(on).alias("l"), F.explode(F.array_distinct(keys_left)).alias("k")).filter("k is not null")
-    b = right.select(F.col(on).alias("r"), F.explode(F.array_distinct(keys_right)).alias("k")).filter("k is not null")
-    return a.join(b, "k").groupBy("l", "r").agg(F.count("*").alias("n_keys"))
+    match nothing. Only ids and keys are shuffled: a pair is made at the first key it shares."""
+    own = lambda side, keys, id, name: side.select(F.col(on).alias(id), F.array_compact(F.array_distinct(keys)).alias(name))
+    one = lambda name: F.when(F.size(name) == 1, F.element_at(name, 1))
+    j = meet(own(left, keys_left, "l", "_lk"), own(right, keys_right, "r", "_rk"), "_lk", "_rk").withColumn("_n", F.when(F.coalesce(one("_lk"), one("_rk")).isNull(), F.array_intersect("_lk", "_rk")))
+    return j.filter(F.col("_n").isNull() | (F.col("_k") == F.array_min("_n"))).select("l", "r", F.coalesce(F.nullif(F.size("_n"), F.lit(-1)), F.lit(1)).cast("bigint").alias("n_keys"))
 
 
 def meet(left: DataFrame, right: DataFrame, keys_left: str, keys_right: str, most: int = 10_000_000) -> DataFrame:
     """Whole rows of both sides at every key ``_k`` they share, without a shuffle of pairs. A key with more than ``most`` pairs
-    is cut into slices: its left rows are dealt out, its right rows go to each. No pair is left out."""
+    is cut into the cells of a square: its left rows are dealt out to rows of cells, its right rows to columns. No pair is left out."""
     a = left.withColumn("_k", F.explode(keys_left)).filter("_k is not null")
     b = right.withColumn("_k", F.explode(keys_right)).filter("_k is not null")
     n = a.groupBy("_k").agg(F.count("*").alias("a")).join(b.groupBy("_k").agg(F.count("*").alias("b")), "_k")
-    hot = n.filter(F.col("a") * F.col("b") > most).select("_k", F.ceil(F.col("a") * F.col("b") / most).cast("int").alias("_n"))
+    hot = n.filter(F.col("a") * F.col("b") > most).select("_k", F.ceil(F.sqrt(F.col("a") * F.col("b") / most)).cast("int").alias("_n"))
     if hot.isEmpty():
         return a.hint("merge").join(b, "_k")
-    hot, slices = small(hot), F.coalesce("_n", F.lit(1))
-    a = a.join(hot, "_k", "left").withColumn("_slice", F.pmod(F.xxhash64("l"), slices).cast("int")).drop("_n")
-    b = b.join(hot, "_k", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_n")
-    return a.hint("merge").join(b, ["_k", "_slice"]).drop("_slice")
+    hot, n = small(hot), F.coalesce("_n", F.lit(1))
+    dealt = lambda id: F.pmod(F.xxhash64(id), n).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), n - 1))
+    a = a.join(hot, "_k", "left").withColumn("_row", dealt("l")).withColumn("_column", copies).drop("_n")
+    b = b.join(hot, "_k", "left").withColumn("_column", dealt("r")).withColumn("_row", copies).drop("_n")
+    return a.hint("merge").join(b, ["_k", "_row", "_column"]).drop("_row", "_column")
 
 
 def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id") -> DataFrame:
@@ -91,6 +94,18 @@ def with_fallback(first: DataFrame, left: DataFrame, second: DataFrame, on: str
     return first.select("l", "r").unionByName(second.join(alone, "l", "left_semi").select("l", "r"))
 
 
+def key_join_or(left: DataFrame, right: DataFrame, keys: str, others: str, on: str = "id") -> DataFrame:
+    """(l, r) that share one of ``keys``; for left rows that share none with any right row, those that share one of ``others``. Which rows
+    those are is seen from the keys alone, before any pair is made."""
+    scratch = Scratch(left.sparkSession, "keys")
+    l, r = (scratch.write(x.select(on, *[F.array_compact(F.array_distinct(c)).alias(c) for c in (keys, others)]), "side") for x in (left, right))
+    there = r.select(F.explode(keys).alias("_k")).distinct()
+    met = l.select(on, F.explode(keys).alias("_k")).join(there, "_k", "left_semi").select(on).distinct()
+    alone = scratch.write(l.join(met, on, "left_anti"), "alone")
+    first, second = key_join(l, r, F.col(keys), F.col(keys), on), key_join(alone, r, F.col(others), F.col(others), on)
+    return first.select("l", "r").unionByName(second.select("l", "r"))
+
+
 def cap_per(pairs: DataFrame, side: str, cap: int, *order: Column) -> DataFrame:
     """The first ``cap`` pairs of every left (or right) row in the order given. Ranks are limited before the
     shuffle, so a row with many candidates sends only its best."""

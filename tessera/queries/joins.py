@@ -104,7 +104,7 @@ def _(t):
     m = signals(t.markets).select("id", "venue", "names", "year")
     m = Scratch(t.spark, "entities").write(m.withColumn("initials", F.when(F.col("year").isNotNull(), F.transform("names", lambda n: F.concat_ws("|", "year", F.substring(n, 1, 1))))))
     l, r = m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
-    return B.with_fallback(B.key_join(l, r, F.col("names"), F.col("names")), l, B.key_join(l, r, F.col("initials"), F.col("initials")))
+    return B.key_join_or(l, r, "names", "initials")
 
 
 @query("j_period_compatible", """

@@ -35,3 +35,29 @@ def test_j_entity_ranked_does_not_shuffle_pairs(spark, tmp_path):
     m.write.parquet(f"{tmp_path}/markets.parquet")
     n, mb = shuffled(spark, lambda: entry.queries()["j_entity_ranked"](spark, str(tmp_path)))
     assert n == 2_500 * 20 and mb < 4
+
+
+def test_pairs_by_key_or_else_by_another_are_not_shuffled(spark):
+    rnd = random.Random(8)
+    rows = lambda n: [(i, rnd.sample(["a", "b", "c", "d", None], rnd.randint(0, 3)), rnd.sample(["x", "y", None], rnd.randint(0, 2))) for i in range(n)]
+    x, y = rows(60) + [(99, None, ["x"]), (98, ["a"], None)], [(i, [k for k in a if k != "d"], b) for i, a, b in rows(60)]
+    pairs = lambda a, b: len((set(a or ()) & set(b or ())) - {None})
+    first = sorted((i, j) for i, a, _ in x for j, b, _ in y if pairs(a, b))
+    want = first + [(i, j) for i, _, a in x for j, _, b in y if i not in {i for i, _ in first} and pairs(a, b)]
+    l, r = (spark.createDataFrame(s, "id long, k array<string>, o array<string>") for s in (x, y))
+    assert sorted(map(tuple, B.key_join_or(l, r, "k", "o").collect())) == sorted(want)
+    assert sorted(map(tuple, B.key_join(l, r, F.col("k"), F.col("k")).collect())) == sorted((i, j, n) for i, a, _ in x for j, b, _ in y if (n := pairs(a, b)))
+
+
+def _two_venues(spark, path, title):
+    m = spark.range(4_000).select("id", F.when(F.col("id") % 2 == 0, "kalshi").otherwise("polymarket").alias("venue"), title.alias("title"), F.lit("c").alias("category"), F.lit("2026-01-05 10:00").cast("timestamp_ntz").alias("close_time"), F.lit("2026-01-01").cast("timestamp_ntz").alias("created_at"))
+    m.write.parquet(f"{path}/markets.parquet")
+    return str(path)
+
+
+def test_j_entity_names_does_not_shuffle_pairs(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    d = _two_venues(spark, tmp_path, F.format_string("Wheat Morav above $%d", F.col("id") + 5))
+    n, mb = shuffled(spark, lambda: entry.queries()["j_entity_names"](spark, d))
+    assert n == 2_000 * 2_000 and mb < 4
