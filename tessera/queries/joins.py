@@ -92,7 +92,7 @@ def _(t):
     long = F.filter(words(F.col("title")), lambda w: F.length(w) >= 8)
     m = t.markets.select("id", "venue", long.alias("e"), F.array(F.when(F.col("close_time").isNotNull(), F.concat(F.year("close_time").cast("string"), F.substring(F.trim(F.lower("title")), 1, 1)))).alias("y"))
     l, r = m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'")
-    return B.with_fallback(B.key_join(l, r, F.col("e"), F.col("e")), l, B.key_join(l, r, F.col("y"), F.col("y")))
+    return B.key_join_or(l, r, "e", "y")
 
 
 @query("j_entity_names")

@@ -61,3 +61,11 @@ def test_j_entity_names_does_not_shuffle_pairs(spark, tmp_path):
     d = _two_venues(spark, tmp_path, F.format_string("Wheat Morav above $%d", F.col("id") + 5))
     n, mb = shuffled(spark, lambda: entry.queries()["j_entity_names"](spark, d))
     assert n == 2_000 * 2_000 and mb < 4
+
+
+def test_j_entity_year_fallback_does_not_shuffle_pairs(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    d = _two_venues(spark, tmp_path, F.when(F.col("id") < 2_000, "the election").otherwise("the race"))
+    n, mb = shuffled(spark, lambda: entry.queries()["j_entity_year_fallback"](spark, d))
+    assert n == 1_000 * 1_000 + 1_000 * 2_000 and mb < 4
