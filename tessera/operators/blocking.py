@@ -187,3 +187,97 @@ def nearest_sharing(left: DataFrame, right: DataFrame, words: str, time: str, n:
             found = found.unionByName(far.withColumn("apart", F.coalesce("apart", F.lit(-1).cast("bigint"))))
     pairs = found.repartition("l").groupBy("l", "r").agg(F.max("n_keys").alias("n_keys"), F.max("apart").alias("apart")).withColumn("apart", F.nullif("apart", F.lit(-1).cast("bigint")))
     return cap_per(pairs, "l", n, F.col("n_keys").desc(), F.col("apart").asc_nulls_last(), F.col("r"))
+
+
+def _postings(rows: pd.Series) -> tuple[pd.Index, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, token of each entry, row of each entry, entries a row) of arrays of distinct tokens."""
+    many = rows.map(len).to_numpy("int64")
+    code, tokens = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in rows]) if many.sum() else np.zeros(0, dtype=object))
+    return tokens, np.asarray(code, dtype="int64"), np.repeat(np.arange(len(rows)), many), many
+
+
+def _most_shared(lefts: pd.DataFrame, rights: pd.DataFrame, n: int, bits: int = 62) -> pd.DataFrame:
+    """For every left row the ``n`` right rows that share most tokens with it, the smaller id first among equals.
+
+    A left row first meets right rows by its rarer tokens only; those it shares of the ``bits`` most frequent ones are read from a bit
+    mask. A row met by frequent tokens alone shares at most as many as there are: if the n-th best has more, none of those matters;
+    else the row is looked up by all of its tokens.
+    """
+    rights = rights.sort_values("r", kind="stable")  # places in order of ids
+    tokens, code, place, _ = _postings(rights["w"])
+    ids, size = rights["r"].to_numpy("int64"), len(rights)
+    often = np.bincount(code, minlength=len(tokens))
+    posted = np.split(place[np.argsort(code, kind="stable")].astype("int32"), np.cumsum(often)[:-1]) if len(tokens) else []
+    hot = np.argsort(-often, kind="stable")[:bits]
+    bit = np.zeros(len(tokens), dtype="uint64")
+    bit[hot] = np.uint64(1) << np.arange(len(hot), dtype="uint64")
+    masks = np.zeros(size, dtype="uint64")
+    np.bitwise_or.at(masks, place, bit[code])
+    number = {t: k for k, t in enumerate(tokens)}
+
+    def best(found: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(found) > n:  # places rise with ids, so among equals the first are wanted
+            least = np.partition(shared, len(shared) - n)[len(shared) - n]
+            more, same = np.flatnonzero(shared > least), np.flatnonzero(shared == least)
+            keep = np.concatenate([more, same[: n - len(more)]])
+            found, shared = found[keep], shared[keep]
+        o = np.lexsort((found, -shared))
+        return found[o], shared[o]
+
+    known: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+    out_l, out_r, out_n = [], [], []
+    for l, own in zip(lefts["l"].to_numpy("int64"), lefts["w"]):
+        mine = sorted((number[t] for t in own if t in number), key=lambda k: (often[k], k))
+        got = known.get(key := tuple(mine))
+        if got is None:
+            cold, warm = [k for k in mine if not bit[k]], [k for k in mine if bit[k]]
+            got = (np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"))
+            for used in range(len(warm) + 1):  # the rarest of the frequent ones join in as long as what is left could matter
+                near = cold + warm[:used]
+                left_out = len(warm) - used
+                if near and (left_out == 0 or sum(often[k] for k in near) > 0):
+                    met = np.concatenate([posted[k] for k in near])
+                    if len(met) * 8 > size:
+                        shared = np.bincount(met, minlength=size)
+                        found = np.flatnonzero(shared)
+                        shared = shared[found]
+                    else:
+                        found, shared = np.unique(met, return_counts=True)
+                    if left_out:
+                        rest = np.bitwise_or.reduce(bit[warm[used:]])
+                        shared = shared + np.bitwise_count(masks[found] & rest)
+                    found, shared = best(found, shared)
+                    if left_out == 0 or len(found) == n and shared[-1] > left_out:
+                        got = (ids[found], shared)
+                        break
+            if len(known) > 50_000:
+                known.clear()
+            known[key] = got
+        out_l.append(np.full(len(got[0]), l))
+        out_r.append(got[0])
+        out_n.append(got[1])
+    some = lambda x: np.concatenate(x).astype("int64") if x else np.zeros(0, dtype="int64")
+    return pd.DataFrame({"l": some(out_l), "r": some(out_r), "n_keys": some(out_n)})
+
+
+def dealt(left: DataFrame, right: DataFrame, rows: int = 200_000, on: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_b``: every left row meets every right row in exactly one of the cells that it numbers. Right rows are
+    in slices of about ``rows``; left rows are dealt out so that there are at least four cells a core."""
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    across = max(1, -(-right.count() // rows))
+    down = max(-(-4 * cores // across), -(-left.count() // rows), 1)
+    a = left.withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda i: F.pmod(F.xxhash64(on), F.lit(down)) * across + i)))
+    b = right.withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda i: i * across + F.pmod(F.xxhash64(on), F.lit(across)))))
+    return a.repartition(down * across, "_b"), b.repartition(down * across, "_b")
+
+
+def most_sharing(left: DataFrame, right: DataFrame, tokens: str, n: int, shortest: int = 3, on: str = "id", rows: int = 200_000) -> DataFrame:
+    """(l, r, n_keys, rank): of each left row the ``n`` right rows that share most tokens of ``shortest`` letters or more, the smaller id
+    first among equals. Exact; pairs are counted in memory, a slice of the right side at a time, and only the best of each slice leave it."""
+    scratch = Scratch(left.sparkSession, "tokens")
+    mine = F.filter(F.array_distinct(F.array_compact(tokens)), lambda t: F.length(t) >= shortest)
+    l, r = (scratch.write(x.select(F.col(on).alias(k), mine.alias("w")).filter(F.size("w") > 0), k) for x, k in ((left, "l"), (right, "r")))
+    a, b = dealt(l.withColumnRenamed("l", "id"), r.withColumnRenamed("r", "id"), rows)
+    a, b = a.withColumnRenamed("id", "l"), b.withColumnRenamed("id", "r")
+    found = a.groupBy("_b").cogroup(b.groupBy("_b")).applyInPandas(lambda x, y: _most_shared(x, y, n), "l long, r long, n_keys long")
+    return cap_per(found, "l", n, F.col("n_keys").desc(), F.col("r"))

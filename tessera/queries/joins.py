@@ -197,8 +197,7 @@ select l, r, cast(n as bigint) as n_keys, k as rank from (select *, row_number()
 def _(t):
     """The five best candidates of every listing, of all topics and of none."""
     m = t.markets.select("id", "venue", words(F.col("title")).alias("w"))
-    p = B.token_pairs(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w")
-    return B.cap_per(p, "l", 5, F.col("n_keys").desc(), F.col("r")).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
+    return B.most_sharing(m.filter("venue = 'kalshi'"), m.filter("venue = 'polymarket'"), "w", 5).select("l", "r", "n_keys", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("j_event_enrichment", """

@@ -69,3 +69,26 @@ def test_j_entity_year_fallback_does_not_shuffle_pairs(spark, tmp_path):
     d = _two_venues(spark, tmp_path, F.when(F.col("id") < 2_000, "the election").otherwise("the race"))
     n, mb = shuffled(spark, lambda: entry.queries()["j_entity_year_fallback"](spark, d))
     assert n == 1_000 * 1_000 + 1_000 * 2_000 and mb < 4
+
+
+def test_most_sharing_is_the_plain_ranking():
+    import pandas as pd
+
+    rnd = random.Random(9)
+    some = [f"w{i:02}" for i in range(30)]
+    rows = lambda: [(i, rnd.sample(some[: rnd.choice([4, 10, 30])], rnd.randint(0, 4))) for i in range(150)]
+    x, y = rows(), rows()
+    shared = lambda a, b: len(set(a) & set(b))
+    want = {(i, j, -n) for i, a in x for n, j in sorted((-shared(a, b), j) for j, b in y if shared(a, b))[:5]}
+    sides = [pd.DataFrame({k: [i for i, _ in s], "w": [w for _, w in s]}) for s, k in ((x, "l"), (y, "r"))]
+    for bits in (0, 3, 62):
+        assert {*B._most_shared(*sides, 5, bits).itertuples(index=False, name=None)} == want, bits
+
+
+def test_most_sharing_over_cells_does_not_shuffle_pairs(spark):
+    rows = lambda n: spark.range(n).select("id", F.array(F.lit("hot"), F.lit("warm"), F.concat(F.lit("word"), F.col("id") % 40)).alias("w"))
+    l, r = rows(3_000), rows(2_500)
+    n, mb = shuffled(spark, lambda: B.most_sharing(l, r, "w", 5, rows=1_000))
+    assert n == 15_000 and mb < 4
+    got = [(p.r, p.n_keys) for p in B.most_sharing(l.filter("id = 41"), r, "w", 5, rows=1_000).orderBy("rank").collect()]
+    assert got == [(1, 3), (41, 3), (81, 3), (121, 3), (161, 3)]
