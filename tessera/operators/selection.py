@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.shared import Scratch
+from tessera.shared import Scratch, small
 
 
 def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float = 0.0, keep_close: bool = False, finish: int = 50_000) -> DataFrame:
@@ -20,8 +21,9 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
     The order is kept without sorting everything in one place: a pair that comes first among the undecided pairs of both
     of its rows can be decided, as all that it depends on is. Each round decides all such pairs, and drops all those that a full
     row or the best pair of their right row already rules out; the first of all undecided pairs is always decided, so
-    the rounds come to an end. Once at most ``finish`` are left, one task takes them in order. Null and NaN scores and null ends are left out; of repeated
-    (l, r) the best score counts.
+    the rounds come to an end. Once at most ``finish`` are left, one task takes them in order. Where the pairs of the best scores are at most
+    20 times ``finish``, one task takes those in order too, instead of a round: all others come after them. Null and NaN scores and
+    null ends are left out; of repeated (l, r) the best score counts.
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "greedy")
     rows = pairs.filter("l is not null and r is not null and score is not null and not isnan(score)").groupBy("l", "r").agg(F.max("score").alias("score"))
@@ -37,17 +39,6 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         below = F.col("best") - F.col("score")
         return free & (F.col("best").isNull() | (below <= gap if keep_close else below >= gap))
 
-    while left.count() > finish:
-        first = left.withColumn("_a", F.row_number().over(Window.partitionBy("l").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("r").orderBy(*order)))
-        marked = scratch.write(first.withColumn("_now", (F.col("_a") == 1) & (F.col("_b") == 1)).withColumn("_yes", F.col("_now") & fits()), "round")
-        won = marked.filter("_yes")
-        taken.append(won.select("l", "r", "score"))
-        rest = marked.filter("not _now").drop("_a", "_b", "_now", "_yes")
-        rest = rest.join(won.select("l", F.lit(1).alias("_l")), "l", "left").join(won.select("r", F.lit(1).alias("_r"), F.col("score").alias("_s")), "r", "left")
-        rest = rest.select("l", "r", "score", (F.col("n_l") + F.coalesce("_l", zero)).alias("n_l"), (F.col("n_r") + F.coalesce("_r", zero)).alias("n_r"), F.coalesce("best", "_s").alias("best"))
-        before, left = left, scratch.write(rest.filter(fits()), "open")
-        scratch.drop(before)
-
     def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "l", "r"], ascending=[False, True, True], kind="stable")
         n_l, n_r, best, out = {}, {}, {}, []
@@ -64,7 +55,44 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         return pd.DataFrame(out, columns=["l", "r", "score"])
 
     kinds = ", ".join(f"{c} {dict(left.dtypes)[c]}" for c in ("l", "r", "score"))
-    out = left.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one_by_one, kinds)
+
+    def in_order(some: DataFrame) -> DataFrame:
+        return some.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one_by_one, kinds)
+
+    def first_of(left: DataFrame) -> float | None:
+        """A score that 1 to 20 * ``finish`` pairs reach, if it is easily found."""
+        low, high = left.agg(F.min("score"), F.max("score")).first()
+        if not finish or not math.isfinite(high - low):
+            return None
+        step = (high - low) / 2_000 or 1.0
+        counts = left.groupBy(F.floor((F.col("score") - low) / step).alias("k")).agg(F.count("*").alias("n"), F.min("score").alias("s")).orderBy(F.desc("k")).collect()
+        edge, n = None, 0
+        for r in counts:
+            n += r.n
+            if n > 20 * finish:
+                break
+            edge = r.s
+        return edge
+
+    while left.count() > finish:
+        edge = first_of(left)
+        if edge is not None:
+            won = scratch.write(in_order(left.filter(F.col("score") >= edge)), "won")
+            rest = left.filter(F.col("score") < edge)
+        else:
+            first = left.withColumn("_a", F.row_number().over(Window.partitionBy("l").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("r").orderBy(*order)))
+            marked = scratch.write(first.withColumn("_now", (F.col("_a") == 1) & (F.col("_b") == 1)).withColumn("_yes", F.col("_now") & fits()), "round")
+            won = marked.filter("_yes")
+            rest = marked.filter("not _now").drop("_a", "_b", "_now", "_yes")
+        taken.append(won.select("l", "r", "score"))
+        by_l = small(scratch.write(won.groupBy("l").agg(F.count("*").cast("int").alias("_l")), "side"))
+        by_r = small(scratch.write(won.groupBy("r").agg(F.count("*").cast("int").alias("_r"), F.max("score").alias("_s")), "side"))
+        rest = rest.join(by_l, "l", "left").join(by_r, "r", "left")
+        rest = rest.select("l", "r", "score", (F.col("n_l") + F.coalesce("_l", zero)).alias("n_l"), (F.col("n_r") + F.coalesce("_r", zero)).alias("n_r"), F.coalesce("best", "_s").alias("best"))
+        before, left = left, scratch.write(rest.filter(fits()), "open")
+        scratch.drop(before)
+
+    out = in_order(left)
     for t in taken:
         out = out.unionByName(t)
     return out

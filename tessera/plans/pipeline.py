@@ -16,7 +16,7 @@ from tessera.operators.upsert import merge
 @dataclass(frozen=True)
 class Pipeline:
     """``keys``: array of block keys of a row; ``gates``: conditions on a pair (columns l_* and r_*); ``scores``: weighted
-    component scores; ``least``: lowest score kept. ``keys_right``: those of right rows, where they are others. Every pair that meets
+    component scores; ``given``: what these share, by name; ``least``: lowest score kept. ``keys_right``: those of right rows, where they are others. Every pair that meets
     at a key is gated and scored; caps come after, in the choice."""
 
     name: str
@@ -29,6 +29,7 @@ class Pipeline:
     per_right: int = 5
     gap: float = 0.0
     keep_close: bool = False
+    given: dict[str, Column] = field(default_factory=dict)
 
 
 REGISTRY: dict[str, Pipeline] = {}
@@ -51,17 +52,21 @@ def scored(p: Pipeline, left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r, components, score) of the candidate pairs that pass the gates and reach the least score.
 
     Pairs are compared where their keys meet and are never shuffled; a pair that shares several keys is kept at the first of them.
-    Components are compared in the order given, so the cheap and heavy ones should come first.
+    Components are compared in the order given, so the cheap and heavy ones should come first. Each is a generated row of one, as the
+    optimizer would else repeat its expression in every filter and sum that uses it.
     """
+    once = lambda j, name, c: j.select("*", F.inline(F.array(F.struct(c.alias(name)))))
     mine, other = p.keys(), (p.keys_right or p.keys)()
     x = left.select(F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in left.columns], F.array_distinct(mine).alias("_lk"))
     y = right.select(F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in right.columns], F.array_distinct(other).alias("_rk"))
     j = meet(x, y, "_lk", "_rk").filter(F.col("l") != F.col("r"))
     for g in p.gates:
         j = j.filter(g)
+    for n, c in p.given.items():
+        j = once(j, n, c)
     sofar, rest = F.lit(0.0), sum(w for w, _ in p.scores.values())
     for n, (w, c) in p.scores.items():  # components are at most 1: a pair that cannot reach the least score any more is compared no further
-        j, sofar, rest = j.withColumn(n, c), sofar + F.lit(w) * F.col(n), rest - w
+        j, sofar, rest = once(j, n, c), sofar + F.lit(w) * F.col(n), rest - w
         j = j.filter(sofar + rest >= p.least - 1e-6)
     j = j.select("l", "r", *p.scores, "_k", "_lk", "_rk")
     total = sum((F.lit(w) * F.col(n) for n, (w, _) in p.scores.items()), F.lit(0.0))

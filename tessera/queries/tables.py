@@ -371,8 +371,8 @@ def simple() -> Pipeline:
     shared = F.size(F.array_intersect("l_tok", "r_tok"))
     return Pipeline(
         "SIMPLE", lambda: F.filter("tok", lambda w: F.length(w) >= 5),
-        {"words": (0.7, F.when(F.col("l_n") + F.col("r_n") == 0, 0.0).otherwise(shared / (F.col("l_n") + F.col("r_n") - shared))), "time": (0.2, C.time_score(F.col("l_close_time"), F.col("r_close_time"))), "category": (0.1, C.category_score(F.col("l_category"), F.col("r_category")))},
-        gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, per_left=3, per_right=3,
+        {"words": (0.7, F.when(F.col("l_n") + F.col("r_n") == 0, 0.0).otherwise(F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared")))), "time": (0.2, C.time_score(F.col("l_close_time"), F.col("r_close_time"))), "category": (0.1, C.category_score(F.col("l_category"), F.col("r_category")))},
+        gates=[F.col("l_venue") != F.col("r_venue")], least=0.35, per_left=3, per_right=3, given={"shared": shared},
     )
 
 

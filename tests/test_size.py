@@ -92,3 +92,21 @@ def test_most_sharing_over_cells_does_not_shuffle_pairs(spark):
     assert n == 15_000 and mb < 4
     got = [(p.r, p.n_keys) for p in B.most_sharing(l.filter("id = 41"), r, "w", 5, rows=1_000).orderBy("rank").collect()]
     assert got == [(1, 3), (41, 3), (81, 3), (121, 3), (161, 3)]
+
+
+def test_greedy_takes_the_best_scores_in_few_jobs(spark):
+    """One score for all pairs of a block makes as many rounds as the block is wide; taken in order they are one step."""
+    from tessera.operators import selection as S
+
+    pairs = spark.range(40 * 40 * 5).select(F.expr("id div 40").alias("l"), F.expr("id % 40 + 40 * (id div 1600)").alias("r"), F.expr("0.5 + (id div 1600) * 0.1").alias("score"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("greedy", "greedy")
+    got = {(x.l, x.r, x.score) for x in S.greedy_capped(pairs, 30, 30, finish=400).collect()}
+    jobs = len(tracker.getJobIdsForGroup("greedy"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    n_l, n_r, want = {}, {}, set()
+    for s, l, r in sorted((-x.score, x.l, x.r) for x in pairs.collect()):
+        if n_l.get(l, 0) < 30 and n_r.get(r, 0) < 30:
+            n_l[l], n_r[r] = n_l.get(l, 0) + 1, n_r.get(r, 0) + 1
+            want.add((l, r, -s))
+    assert got == want and jobs < 80, jobs
