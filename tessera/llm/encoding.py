@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.shared import spread
+from tessera.shared import Scratch, spread
 
 #: Encodings in which UTF-8 bytes may have been read.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp866", "koi8-r", "mac_roman", "iso8859-2", "iso8859-15")
@@ -74,6 +74,7 @@ def swap_table(read: str, written: str) -> dict[int, str]:
 
 
 _RUNS = re.compile(r"[^\x00-\x7f]+")
+_AFTER = re.compile(r"[^\x00-\x7f]+[\x20-\x7f]?")
 
 
 def swapped(text: str, read: str, written: str) -> str:
@@ -311,19 +312,138 @@ def fit(texts: list[tuple[str, str]], size: int = 112_640) -> Model:
     return Model(dictionaries, frozenset(p for p, n in pairs.items() if n >= 3))
 
 
-def fit_on(documents: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1_000, languages: int = 40, longest: int = 4_000) -> Model:
-    """Fit on a bounded sample: of each of the ``languages`` most frequent languages about ``per_language`` documents of up to
-    ``longest`` characters, taken by a hash of their text, each text once. The sample is found by a filter; only what it
-    lets through is shuffled.
-    Statistics only; every document is then restored as a whole."""
-    rows = documents.select(F.lower(F.trim(lang)).alias("l"), F.col(text).alias("t"))
-    sizes = rows.filter("l is not null").groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
-    if not sizes:
+def _trained(passages: list[bytes], size: int) -> bytes:
+    """A dictionary of all passages in one quick pass of fixed parameters; empty where there are too few to train on."""
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, passages)) // 4)), passages, k=1024, d=8, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _slice_dictionary(sound: list[bytes], size: int) -> bytes:
+    """Trained on all passages; of few, made of the most frequent ones if that way makes a dictionary of nine tenths that compresses the other tenth better."""
+
+    def plain(passages: list[bytes]) -> bytes:
+        often = [s for s, _ in Counter(passages).most_common(max(1, size // 40))]
+        return b"".join(reversed(often))[-size:]
+
+    if sum(map(len, sound)) < 20 * size:
+        held, rest = sound[::10], [s for i, s in enumerate(sound) if i % 10] or sound
+        tried, total = _trained(rest, size), lambda d: sum(map(len, map(_compressor(d, 3).compress, held)))
+        if not tried or total(plain(rest)) < total(tried):
+            return plain(sound)
+    return _trained(sound, size) or plain(sound)
+
+
+def _merged(dictionaries: list[bytes], size: int) -> bytes:
+    """One dictionary of several: trained on their contents, in which each slice has put what stands in it most often."""
+    pieces = [d[i : i + 1024] for d in dictionaries for i in range(0, len(d), 1024)]
+    return dictionaries[0] if len(dictionaries) == 1 else _trained(pieces, size) or b"".join(d[-(size // len(dictionaries)) :] for d in dictionaries)
+
+
+def _text_runs(text: str) -> list[tuple[int, str]]:
+    """(place of its first character above ASCII, run with digits read alike) of every run of a text, as ``RUN`` finds them."""
+    out, last = [], 0
+    for m in _AFTER.finditer(text):
+        at, end = m.span()
+        first = at - (at > last and " " <= text[at - 1] <= "\x7f")
+        out.append((at, _DIGIT.sub("0", text[first:end])))
+        last = end
+    return out
+
+
+def _sound(text: str, damaged: frozenset[str]) -> list[str]:
+    """The passages of a text without a damaged run."""
+    bad = [] if text.isascii() else [at for at, w in _text_runs(text) if w in damaged or LOST.search(w)]
+    out, end, k = [], 0, 0
+    for s in segments(text):
+        end += len(s)
+        first = k
+        while k < len(bad) and bad[k] < end:
+            k += 1
+        if k == first:
+            out.append(s)
+    return out
+
+
+def _learn(texts: list[str], damaged: frozenset[str], size: int) -> tuple[bytes, int, Counter[str]]:
+    """(dictionary, passages, how often each character pair stands in them) of the sound passages of the texts."""
+    packs, words = [], Counter()
+    for t in texts:
+        sound = _sound(t, damaged)
+        packs += [s.encode() if s.isascii() else packed(s) for s in sound]
+        words.update("".join(sound).encode("utf-8", "surrogatepass").split())
+    pairs: Counter[str] = Counter()
+    for w, n in words.items():
+        if not w.isascii():
+            for p in _pairs(_DIGIT.sub("0", f" {w.decode('utf-8', 'surrogatepass')} ")):
+                pairs[p] += n
+    return _slice_dictionary(packs, size) if packs else b"", len(packs), pairs
+
+
+def _damaged_runs(rows: DataFrame, scratch: Scratch) -> frozenset[str]:
+    """The runs of all rows of which a decoding is at least three times as frequent. Those with lost characters are known by sight and left out."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+        frame = lambda: pd.DataFrame({"w": list(seen), "n": list(seen.values())})
+        for part in parts:
+            for t in part["t"]:
+                if not t.isascii():
+                    seen.update(w for _, w in _text_runs(t))
+            if len(seen) > 200_000:
+                yield frame()
+                seen.clear()
+        yield frame()
+
+    def decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            got = [(w, n, d) for w, n in zip(part["w"], part["n"]) for d, _ in decodings(w) if not d.isascii() or len(d) > 1]
+            yield pd.DataFrame(got, columns=["w", "n", "d"])
+
+    runs = scratch.write(rows.select("t").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "runs")
+    often = runs.filter("n >= 3").select(F.col("w").alias("d"), F.col("n").alias("m"))
+    bad = runs.filter(~F.col("w").rlike(LOST.pattern)).mapInPandas(decoded, "w string, n long, d string").join(often, "d").filter("m >= 3 * n")
+    return frozenset(r.w for r in bad.select("w").distinct().collect())
+
+
+def fit_on(documents: DataFrame, text: str = "text", lang: str = "lang", languages: int = 40, chars: int = 4_000_000, size: int = 112_640, merge: int = 16, rare: int = 30_000) -> Model:
+    """A model of all documents, each text once a language: the runs of the whole table say which are damaged, all passages without such
+    runs are trained on and their character pairs counted.
+
+    A language has a dictionary; texts without a language, and those of all but the ``languages`` most frequent, share one. The texts of a
+    language are trained on in slices of about ``chars`` characters, and the slices' dictionaries are merged, ``merge`` at a time, until
+    one is left. A pair is known that stands in a language's passages three times, and once in ``rare`` passages, so that
+    what damage is left over does not become known as tables grow.
+    """
+    scratch = Scratch(documents.sparkSession, "fit")
+    rows = documents.select(F.coalesce(F.lower(F.trim(lang)), F.lit("")).alias("l"), F.col(text).alias("t")).filter(F.length("t") > 0)
+    sizes = rows.groupBy("l").agg(F.sum(F.length("t")).alias("n"))
+    own = sizes.filter("l != ''").orderBy(F.desc("n"), "l").limit(languages).collect()
+    rest = sizes.filter(~F.col("l").isin([r.l for r in own])).agg(F.sum("n")).first()[0] or 0
+    if not own and not rest:
         return fit([])
-    every = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], max(1, r[1] // per_language))])
-    taken = rows.filter((F.length("t") > 0) & (F.length("t") <= longest)).filter(F.pmod(F.xxhash64("t"), F.try_element_at(every, F.col("l"))) == 0)
-    got = taken.dropDuplicates(["l", "t"]).limit(2 * per_language * languages).collect()
-    return fit(sorted((r.l, r.t) for r in got))
+    damaged = documents.sparkSession.sparkContext.broadcast(_damaged_runs(rows, scratch))
+    slices = F.create_map(*[F.lit(x) for l, n in [*((r.l, r.n) for r in own), ("", rest)] for x in (l, -(-n // chars) or 1)])
+    rows = rows.withColumn("l", F.when(F.col("l").isin([r.l for r in own]), F.col("l")).otherwise("")).withColumn("s", F.pmod(F.xxhash64("t"), F.try_element_at(slices, F.col("l"))))
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        d, n, pairs = _learn(sorted(part["t"].unique()), damaged.value, size)
+        return pd.DataFrame({"l": [part["l"].iloc[0]], "s": [int(part["s"].iloc[0])], "n": [n], "d": [d], "p": [list(pairs)], "c": [list(pairs.values())]})
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("s")
+        return pd.DataFrame({"l": [part["l"].iloc[0]], "s": [int(part["s"].iloc[0]) // merge], "d": [_merged(list(part["d"]), size)]})
+
+    got = scratch.write(rows.groupBy("l", "s").applyInPandas(learn, "l string, s long, n long, d binary, p array<string>, c array<long>"), "slices")
+    n = got.groupBy("l").agg(F.sum("n").alias("n"))
+    pairs = got.select("l", F.explode(F.arrays_zip("p", "c")).alias("x")).groupBy("l", F.col("x.p").alias("p")).agg(F.sum("x.c").alias("c"))
+    known = pairs.join(F.broadcast(n), "l").filter(F.col("c") >= F.greatest(F.lit(3), F.col("n") / rare)).select("p").distinct().collect()
+    dictionaries, most = got.filter("length(d) > 0").select("l", "s", "d"), max(-(-n // chars) for n in (*(r.n for r in own), rest))
+    while most > 1:
+        dictionaries = scratch.write(dictionaries.groupBy("l", F.floor(F.col("s") / merge).alias("_g")).applyInPandas(joined, "l string, s long, d binary"), "merged")
+        most = -(-most // merge)
+    return Model({r.l: bytes(r.d) for r in dictionaries.orderBy("l").collect()}, frozenset(r.p for r in known))
 
 
 def restore(documents: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
