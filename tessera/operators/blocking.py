@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,30 +41,151 @@ def meet(left: DataFrame, right: DataFrame, keys_left: str, keys_right: str, mos
     return a.hint("merge").join(b, ["_k", "_row", "_column"]).drop("_row", "_column")
 
 
-def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id") -> DataFrame:
+class Postings:
+    """The right rows of each token, their places by ids' order, and a bit mask of the 64 most frequent tokens a row."""
+
+    def __init__(self, ids: np.ndarray, tokens: pa.ListArray):
+        code = tokens.values.dictionary_encode()
+        self.tokens, code = code.dictionary, code.indices.to_numpy().astype("int64")
+        place = np.repeat(np.arange(len(ids), dtype="int32"), np.diff(tokens.offsets.to_numpy()))
+        self.ids, self.size = ids, len(ids)
+        self.often = np.bincount(code, minlength=len(self.tokens))
+        self.ends = np.concatenate([[0], np.cumsum(self.often)])
+        self.place = place[np.argsort(code, kind="stable")]
+        hot = np.argsort(-self.often, kind="stable")[:64]
+        self.bit = np.zeros(len(self.tokens), dtype="uint64")
+        self.bit[hot] = np.uint64(1) << np.arange(len(hot), dtype="uint64")
+        self.masks = np.zeros(self.size, dtype="uint64")
+        np.bitwise_or.at(self.masks, place, self.bit[code])
+        self.count = np.zeros(self.size, dtype="uint16")
+        self._dense: dict[int, np.ndarray] = {}
+
+    def of(self, token: int) -> np.ndarray:
+        return self.place[self.ends[token] : self.ends[token + 1]]
+
+    def dense(self, token: int) -> np.ndarray:
+        got = self._dense.get(token)
+        if got is None:
+            got = self._dense[token] = np.zeros(self.size, dtype="uint16")
+            got[self.of(token)] = 1
+        return got
+
+    def codes(self, tokens: pa.ListArray) -> list[np.ndarray]:
+        """The tokens of each row that some right row has, the rarest first."""
+        code = pc.fill_null(pc.index_in(tokens.values, value_set=self.tokens), -1).to_numpy().astype("int64")
+        row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        row, code = row[code >= 0], code[code >= 0]
+        o = np.lexsort((code, self.often[code], row))
+        return np.split(code[o], np.searchsorted(row, np.arange(1, len(tokens))))
+
+    def sharing(self, mine: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, tokens shared) of the right rows that share at least ``least`` of the tokens. Rows that do share one of all but ``least`` - 1 of
+        them; the most frequent ones are then left to the masks."""
+        if len(mine) < least:
+            return self.place[:0], self.count[:0]
+        near, rest = mine, np.uint64(0)
+        if least > 1 and self.bit[mine[1 - least :]].all():
+            near, rest = mine[: 1 - least], np.bitwise_or.reduce(self.bit[mine[1 - least :]])
+        met, count = int(self.often[near].sum()), self.count
+        if met * 16 < self.size:
+            found = np.concatenate([self.of(k) for k in near])
+            for k in near:
+                count[self.of(k)] += 1
+            shared = count[found]
+            count[found] = 0
+            if least > 1:
+                shared = shared + np.bitwise_count(self.masks[found] & rest)
+                found = found[shared >= least]
+                shared = shared[shared >= least]
+            if len(near) > 1 and len(found) > 1:
+                found, first = np.unique(found, return_index=True)
+                shared = shared[first]
+            return found, shared
+        for k in near:
+            if self.often[k] * 32 > self.size:
+                count += self.dense(k)
+            else:
+                count[self.of(k)] += 1
+        found = np.flatnonzero(count)
+        shared = count[found]
+        count.fill(0)
+        if least > 1:
+            shared = shared + np.bitwise_count(self.masks[found] & rest)
+            found, shared = found[shared >= least], shared[shared >= least]
+        return found, shared
+
+
+def _cells(parts: Iterator[pa.RecordBatch], each: Callable, names: tuple[str, str, str], pairs: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Of one cell, right rows first (``side`` 0): what ``each(rights)`` returns is called with every batch of left rows, and yields
+    (left id, value, right ids). What it yields is passed on in batches of about ``pairs`` pairs."""
+    rights, call, out, waiting = [], None, [], 0
+
+    def batch() -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]).astype("int32")
+        r = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[2] for x in out])))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([x[0] for x in out], dtype="int64")), pa.array(np.array([x[1] for x in out])), r], names=list(names))
+
+    for part in parts:
+        side = part.column("side")
+        right, left = part.filter(pc.equal(side, 0)), part.filter(pc.equal(side, 1))
+        if right.num_rows:
+            rights.append(right)
+        if left.num_rows and rights:
+            call = call or each(pa.Table.from_batches(rights).combine_chunks().to_batches()[0])
+            for x in call(left):
+                if len(x[2]):
+                    out.append(x)
+                    waiting += len(x[2])
+                    if waiting >= pairs:
+                        yield batch()
+                        out, waiting = [], 0
+    if out:
+        yield batch()
+
+
+def in_cells(left: DataFrame, right: DataFrame, each: Callable, value: str, kind: str, rows: int = 200_000) -> DataFrame:
+    """(l, r, ``value``) of sides with an ``id`` and the same columns, each cell of the two in memory by itself. Of a left row only arrays
+    of ids leave Python, one a value; pairs are made from them at last and never shuffled."""
+    scratch = Scratch(left.sparkSession, "cells")
+    a, b, n = _numbered(scratch.write(left, "l"), scratch.write(right, "r"), rows, "id")
+    both = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(0))).repartitionById(n, F.col("_b").cast("int")).sortWithinPartitions("side", "id")
+    found = both.mapInArrow(lambda parts: _cells(parts, each, ("l", value, "r")), f"l long, {value} {kind}, r array<long>")
+    return found.select("l", F.explode("r").alias("r"), value)
+
+
+def _sharing(least: int) -> Callable:
+    def each(rights: pa.RecordBatch) -> Callable:
+        p = Postings(rights.column("id").to_numpy(), pa.ListArray.from_arrays(*_flat(rights.column("w"))))
+
+        def call(lefts: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+            for l, mine in zip(lefts.column("id").to_numpy(), p.codes(pa.ListArray.from_arrays(*_flat(lefts.column("w"))))):
+                found, shared = p.sharing(mine, least)
+                if len(found):
+                    most = int(shared.max())
+                    for n in range(int(shared.min()), most + 1):
+                        own = found if n == most and int(shared.min()) == most else found[shared == n]
+                        yield l, n, p.ids[own]
+
+        return call
+
+    return each
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """Offsets from 0 and the values they are in, whatever the array is a slice of."""
+    ends = lists.offsets.to_numpy()
+    return pa.array(ends - ends[0]), lists.flatten()
+
+
+def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id", rows: int = 200_000) -> DataFrame:
     """(l, r, n_keys) of the pairs that share at least ``least`` tokens of ``shortest`` letters or more; no token is left out, however frequent.
 
-    With ``least`` above 1 a row is found only by the rarest of its n tokens, all but ``least`` - 1 of them: rows that share so
-    many tokens share one of these on both sides, in one order of all tokens. Frequent tokens are then keys only of rows that
-    have little else. Hot keys are joined in slices, and a pair is made at the first key it shares, so that pairs are not
-    shuffled. The result grows with the square of the rows that share tokens.
+    Shared tokens are counted in memory, a slice of the right side at a time. With ``least`` above 1 the most frequent tokens of a row, ``least`` - 1
+    of them, find no rows and are only counted. The result grows with the square of the rows that share tokens.
     """
-    mine = F.filter(F.array_distinct(F.col(tokens)), lambda t: F.length(t) >= shortest)
-    l, r = left.select(F.col(on).alias("l"), mine.alias("_lt")), right.select(F.col(on).alias("r"), mine.alias("_rt"))
-    if least == 1:
-        l, r = l.withColumn("_lk", F.col("_lt")), r.withColumn("_rk", F.col("_rt"))
-    else:
-        each = l.select(F.explode("_lt").alias("t")).unionByName(r.select(F.explode("_rt").alias("t")))
-        often = each.groupBy("t").agg(F.count("*").alias("n"))
-
-        def rarest(side: DataFrame, id: str, have: str, key: str) -> DataFrame:
-            ranked = side.select(id, F.explode(have).alias("t")).join(often, "t").groupBy(id).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).getField("t").alias("_o"))
-            own = ranked.filter(F.size("_o") >= least).select(id, F.slice("_o", 1, F.size("_o") - (least - 1)).alias(key))
-            return side.join(own, id)
-
-        l, r = rarest(l, "l", "_lt", "_lk"), rarest(r, "r", "_rt", "_rk")
-    j = meet(l, r, "_lk", "_rk").filter(F.col("_k") == F.array_min(F.array_intersect("_lk", "_rk")))
-    return j.select("l", "r", F.size(F.array_intersect("_lt", "_rt")).cast("bigint").alias("n_keys")).filter(F.col("n_keys") >= least)
+    mine = F.filter(F.array_distinct(F.array_compact(tokens)), lambda t: F.length(t) >= shortest)
+    l, r = (x.select(F.col(on).alias("id"), mine.alias("w")).filter(F.size("w") >= least) for x in (left, right))
+    return in_cells(l, r, _sharing(least), "n_keys", "long", rows)
 
 
 def near_days(day: Column, reach: int = 1) -> Column:
@@ -260,15 +385,21 @@ def _most_shared(lefts: pd.DataFrame, rights: pd.DataFrame, n: int, bits: int =
     return pd.DataFrame({"l": some(out_l), "r": some(out_r), "n_keys": some(out_n)})
 
 
-def dealt(left: DataFrame, right: DataFrame, rows: int = 200_000, on: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``_b``: every left row meets every right row in exactly one of the cells that it numbers. Right rows are
-    in slices of about ``rows``; left rows are dealt out so that there are at least four cells a core."""
+def _numbered(left: DataFrame, right: DataFrame, rows: int, on: str) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with a column ``_b``, and the number of cells: every left row meets every right row in exactly one of the cells that it
+    numbers. Right rows are in slices of about ``rows``; left rows are dealt out so that there are at least four cells a core."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     across = max(1, -(-right.count() // rows))
     down = max(-(-4 * cores // across), -(-left.count() // rows), 1)
     a = left.withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda i: F.pmod(F.xxhash64(on), F.lit(down)) * across + i)))
     b = right.withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda i: i * across + F.pmod(F.xxhash64(on), F.lit(across)))))
-    return a.repartition(down * across, "_b"), b.repartition(down * across, "_b")
+    return a, b, down * across
+
+
+def dealt(left: DataFrame, right: DataFrame, rows: int = 200_000, on: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Both sides in partitions by cells of which each left row shares exactly one with each right row."""
+    a, b, n = _numbered(left, right, rows, on)
+    return a.repartition(n, "_b"), b.repartition(n, "_b")
 
 
 def most_sharing(left: DataFrame, right: DataFrame, tokens: str, n: int, shortest: int = 3, on: str = "id", rows: int = 200_000) -> DataFrame:

@@ -110,3 +110,31 @@ def test_greedy_takes_the_best_scores_in_few_jobs(spark):
             n_l[l], n_r[r] = n_l.get(l, 0) + 1, n_r.get(r, 0) + 1
             want.add((l, r, -s))
     assert got == want and jobs < 80, jobs
+
+
+def test_sharing_in_memory_is_the_plain_count(spark):
+    """Hot and rare tokens, many slices, rows of few tokens: every pair with its number of shared tokens."""
+    rnd = random.Random(10)
+    some = [f"tok{i:03}" for i in range(150)]
+    rows = lambda: [(i, rnd.sample(some[: rnd.choice([3, 70, 150])], rnd.randint(0, 3)) + rnd.sample(["hot", "warm", "mild", "ab", None], rnd.randint(0, 5))) for i in range(300)] + [(900, None), (901, [])]
+    x, y = rows(), rows()
+    l, r = (spark.createDataFrame(s, "id long, w array<string>") for s in (x, y))
+    keys = lambda a: {k for k in a or () if k and len(k) >= 3}
+    for least in (1, 2, 3):
+        want = sorted((i, j, n) for i, a in x for j, b in y if (n := len(keys(a) & keys(b))) >= least)
+        for rows_ in (200_000, 70):
+            assert sorted(map(tuple, B.token_pairs(l, r, "w", least, rows=rows_).collect())) == want, (least, rows_)
+
+
+def test_token_pairs_are_made_in_memory(spark):
+    """36 million pairs of rows with six hot tokens each: seconds, where comparing the arrays of every pair took minutes."""
+    import time
+
+    rows = lambda n: spark.range(n).select("id", F.array(*[F.lit(f"hot{k}") for k in range(6)], F.concat(F.lit("word"), F.col("id") % 40)).alias("w"))
+    took = {}
+    for n in (100, 6_000):
+        began = time.time()
+        got, mb = shuffled(spark, lambda: B.token_pairs(rows(n), rows(n), "w", 3))
+        took[n] = time.time() - began
+        assert got == n * n and mb < 8
+    assert took[6_000] < took[100] + 10, took
