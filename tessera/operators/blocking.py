@@ -42,9 +42,12 @@ def meet(left: DataFrame, right: DataFrame, keys_left: str, keys_right: str, mos
 
 
 class Postings:
-    """The right rows of each token, their places by ids' order, and a bit mask of the 64 most frequent tokens a row."""
+    """The right rows of each token, by place, and a bit mask of the 64 most frequent tokens a row. With ``long``, a token of so many
+    letters or more counts ``LONG`` besides 1."""
 
-    def __init__(self, ids: np.ndarray, tokens: pa.ListArray):
+    LONG = 1 << 16
+
+    def __init__(self, ids: np.ndarray, tokens: pa.ListArray, long: int | None = None):
         code = tokens.values.dictionary_encode()
         self.tokens, code = code.dictionary, code.indices.to_numpy().astype("int64")
         place = np.repeat(np.arange(len(ids), dtype="int32"), np.diff(tokens.offsets.to_numpy()))
@@ -57,7 +60,10 @@ class Postings:
         self.bit[hot] = np.uint64(1) << np.arange(len(hot), dtype="uint64")
         self.masks = np.zeros(self.size, dtype="uint64")
         np.bitwise_or.at(self.masks, place, self.bit[code])
-        self.count = np.zeros(self.size, dtype="uint16")
+        self.count = np.zeros(self.size, dtype="uint16" if long is None else "uint32")
+        self.weight = np.ones(len(self.tokens), dtype=self.count.dtype)
+        if long is not None:
+            self.weight += (pc.utf8_length(self.tokens).to_numpy() >= long).astype("uint32") * np.uint32(self.LONG)
         self._dense: dict[int, np.ndarray] = {}
 
     def of(self, token: int) -> np.ndarray:
@@ -66,8 +72,8 @@ class Postings:
     def dense(self, token: int) -> np.ndarray:
         got = self._dense.get(token)
         if got is None:
-            got = self._dense[token] = np.zeros(self.size, dtype="uint16")
-            got[self.of(token)] = 1
+            got = self._dense[token] = np.zeros(self.size, dtype=self.count.dtype)
+            got[self.of(token)] = self.weight[token]
         return got
 
     def codes(self, tokens: pa.ListArray) -> list[np.ndarray]:
@@ -78,40 +84,49 @@ class Postings:
         o = np.lexsort((code, self.often[code], row))
         return np.split(code[o], np.searchsorted(row, np.arange(1, len(tokens))))
 
+    def within(self, mine: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, counts) of the right rows from place ``first`` to before ``last`` that have any of the tokens."""
+        count = self.count[first:last]
+        for k in mine:
+            if self.often[k] * 32 > self.size:
+                count += self.dense(k)[first:last]
+            else:
+                own = self.of(k)
+                a, b = np.searchsorted(own, (first, last))
+                count[own[a:b] - first] += self.weight[k]
+        found = np.flatnonzero(count)
+        shared = count[found]
+        count.fill(0)
+        return found + first, shared
+
     def sharing(self, mine: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, tokens shared) of the right rows that share at least ``least`` of the tokens. Rows that do share one of all but ``least`` - 1 of
+        """(places, counts) of the right rows that share at least ``least`` of the tokens. Rows that do share one of all but ``least`` - 1 of
         them; the most frequent ones are then left to the masks."""
         if len(mine) < least:
             return self.place[:0], self.count[:0]
-        near, rest = mine, np.uint64(0)
+        near, last = mine, mine[:0]
         if least > 1 and self.bit[mine[1 - least :]].all():
-            near, rest = mine[: 1 - least], np.bitwise_or.reduce(self.bit[mine[1 - least :]])
+            near, last = mine[: 1 - least], mine[1 - least :]
         met, count = int(self.often[near].sum()), self.count
         if met * 16 < self.size:
             found = np.concatenate([self.of(k) for k in near])
             for k in near:
-                count[self.of(k)] += 1
+                count[self.of(k)] += self.weight[k]
             shared = count[found]
             count[found] = 0
-            if least > 1:
-                shared = shared + np.bitwise_count(self.masks[found] & rest)
-                found = found[shared >= least]
-                shared = shared[shared >= least]
-            if len(near) > 1 and len(found) > 1:
-                found, first = np.unique(found, return_index=True)
-                shared = shared[first]
-            return found, shared
-        for k in near:
-            if self.often[k] * 32 > self.size:
-                count += self.dense(k)
-            else:
-                count[self.of(k)] += 1
-        found = np.flatnonzero(count)
-        shared = count[found]
-        count.fill(0)
+        else:
+            found, shared = self.within(near, 0, self.size)
         if least > 1:
-            shared = shared + np.bitwise_count(self.masks[found] & rest)
-            found, shared = found[shared >= least], shared[shared >= least]
+            if len(last):
+                masks = self.masks[found]
+                shared = shared + np.bitwise_count(masks & np.bitwise_or.reduce(self.bit[last]))
+                if (heavy := last[self.weight[last] > 1]).size:
+                    shared = shared + np.bitwise_count(masks & np.bitwise_or.reduce(self.bit[heavy])).astype(count.dtype) * count.dtype.type(self.LONG)
+            keep = (shared & (self.LONG - 1) if count.dtype == "uint32" else shared) >= least
+            found, shared = found[keep], shared[keep]
+        if met * 16 < self.size and len(near) > 1 and len(found) > 1:
+            found, first = np.unique(found, return_index=True)
+            shared = shared[first]
         return found, shared
 
 

@@ -11,7 +11,8 @@ from tessera.functions.text import fuzzy, jaccard, tokenize
 from tessera.operators import quotes as Q
 from tessera.operators import upsert as U
 from tessera.operators.rules import first_match, match_table
-from tessera.plans.pipeline import Pipeline, run, scored
+from tessera.plans.overlap import simple_scored
+from tessera.plans.pipeline import Pipeline, run
 from tessera.queries.filters import _comparator_sql, _tokens_sql
 from tessera.queries.registry import NOW, now, query
 from tessera.shared import Scratch
@@ -391,7 +392,7 @@ select l, r, round(0.0 + 0.7 * words + cast(0.2 as double) * t + cast(0.1 as dou
 """)
 def _(t):
     """Every pair of listings of the two venues that shares a word and reaches the least score."""
-    return scored(simple(), *_sides(t)).select("l", "r", "score")
+    return simple_scored(*_sides(t), simple().least)
 
 
 @query("e_pipeline")

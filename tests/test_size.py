@@ -138,3 +138,45 @@ def test_token_pairs_are_made_in_memory(spark):
         took[n] = time.time() - began
         assert got == n * n and mb < 8
     assert took[6_000] < took[100] + 10, took
+
+
+def test_scores_made_in_memory_are_the_pipelines(spark):
+    """Missing times and categories, times just at the bounds, hot words: the same pairs and scores as the pipeline over all pairs that meet."""
+    from datetime import datetime, timedelta
+
+    from tessera.plans.overlap import simple_scored
+    from tessera.plans.pipeline import scored
+    from tessera.queries.tables import simple
+
+    rnd = random.Random(11)
+    some = ["2026", "cut", "otters", "weekend", "opening", "zulek", "morav", "tarin", "rooks", "millers", *(f"name{i}" for i in range(30))]
+    start = datetime(2026, 1, 1)
+    times = [start + timedelta(hours=h, microseconds=u) for h in (0, 12, 24, 48, 168, 336, 5000) for u in (0, 1)] + [None]
+    cats = [None, "", "Sports", " sports ", "Sport", "World Cup-finals", "finals 2026", "Crypto"]
+
+    def side(venue, k):
+        rows = [(k + i, venue, rnd.choice(times), rnd.choice(cats), rnd.sample(some[: rnd.choice([6, 10, 40])], rnd.randint(0, 6))) for i in range(150)] + [(k + 999, venue, None, None, None)]
+        return spark.createDataFrame(rows, "id long, venue string, close_time timestamp_ntz, category string, tok array<string>").withColumn("n", F.size("tok"))
+
+    l, r = side("kalshi", 0), side("polymarket", 2_000)
+    want = sorted((x.l, x.r, x.score) for x in scored(simple(), l, r).collect())
+    assert len(want) > 500
+    for rows in (200_000, 60):
+        assert sorted(map(tuple, simple_scored(l, r, 0.35, rows).collect())) == want
+
+
+def test_e_scored_does_not_compare_pairs_far_apart(spark, tmp_path):
+    """225 million pairs share a word, of which those about the same time reach the least score."""
+    import time
+
+    import __spark_entry__ as entry
+
+    took = {}
+    for n in (100, 15_000):
+        m = spark.range(2 * n).select("id", F.when(F.col("id") % 2 == 0, "kalshi").otherwise("polymarket").alias("venue"), F.format_string("weekend opening of otters%d", F.col("id")).alias("title"), F.lit("c").alias("category"), F.timestamp_seconds(F.expr("id div 2") * 1_209_600).cast("timestamp_ntz").alias("close_time"))
+        m = m.withColumn("title", F.when(F.col("venue") == "kalshi", F.col("title")).otherwise(F.format_string("weekend rooks%d beat millers%d", F.col("id"), F.col("id"))))
+        m.write.parquet(f"{tmp_path}/{n}/markets.parquet")
+        began = time.time()
+        assert entry.queries()["e_scored"](spark, f"{tmp_path}/{n}").count() == n
+        took[n] = time.time() - began
+    assert took[15_000] < took[100] + 10, took
