@@ -158,7 +158,7 @@ def _cells(parts: Iterator[pa.RecordBatch], each: Callable, names: tuple[str, st
         yield batch()
 
 
-def in_cells(left: DataFrame, right: DataFrame, each: Callable, value: str, kind: str, rows: int = 200_000) -> DataFrame:
+def in_cells(left: DataFrame, right: DataFrame, each: Callable, value: str, kind: str, rows: int = 500_000) -> DataFrame:
     """(l, r, ``value``) of sides with an ``id`` and the same columns, each cell of the two in memory by itself. Of a left row only arrays
     of ids leave Python, one a value; pairs are made from them at last and never shuffled."""
     scratch = Scratch(left.sparkSession, "cells")
@@ -192,7 +192,7 @@ def _flat(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     return pa.array(ends - ends[0]), lists.flatten()
 
 
-def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id", rows: int = 200_000) -> DataFrame:
+def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1, shortest: int = 3, on: str = "id", rows: int = 500_000) -> DataFrame:
     """(l, r, n_keys) of the pairs that share at least ``least`` tokens of ``shortest`` letters or more; no token is left out, however frequent.
 
     Shared tokens are counted in memory, a slice of the right side at a time. With ``least`` above 1 the most frequent tokens of a row, ``least`` - 1

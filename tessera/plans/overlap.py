@@ -111,7 +111,7 @@ def _each(least: float) -> Callable:
     return each
 
 
-def simple_scored(left: DataFrame, right: DataFrame, least: float, rows: int = 200_000) -> DataFrame:
+def simple_scored(left: DataFrame, right: DataFrame, least: float, rows: int = 500_000) -> DataFrame:
     """(l, r, score) of ``scored(simple(), left, right)``: sides with an id, close_time, category and tok, an array of distinct words."""
     long_words = F.filter(F.split(F.trim(F.lower("category")), r"[\s_-]+"), lambda w: F.length(w) > 3)
     g = F.when(F.col("category").isNotNull(), F.array_join(F.concat(F.array(F.trim(F.lower("category"))), long_words), "\x01"))
