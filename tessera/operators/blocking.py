@@ -130,42 +130,62 @@ class Postings:
         return found, shared
 
 
-def _cells(parts: Iterator[pa.RecordBatch], each: Callable, names: tuple[str, str, str], pairs: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Of one cell, right rows first (``side`` 0): what ``each(rights)`` returns is called with every batch of left rows, and yields
-    (left id, value, right ids). What it yields is passed on in batches of about ``pairs`` pairs."""
-    rights, call, out, waiting = [], None, [], 0
+def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every batch of rows as one row: how many they are, and their compressed bytes."""
+    for part in parts:
+        if part.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n", "z"])
 
-    def batch() -> pa.RecordBatch:
-        ends = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]).astype("int32")
-        r = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[2] for x in out])))
-        return pa.RecordBatch.from_arrays([pa.array(np.array([x[0] for x in out], dtype="int64")), pa.array(np.array([x[1] for x in out])), r], names=list(names))
 
+def _cells(parts: Iterator[pa.RecordBatch], each: Callable, made: Callable, pairs: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Of one cell, right rows first (``side`` 0, packed): what ``each(rights)`` returns is called with every batch of left rows, and yields
+    (left id, value, right ids). What it yields is passed to ``made`` in lots of about ``pairs`` pairs."""
+    rights, call, out, waiting = [], None, [], 0
     for part in parts:
-        side = part.column("side")
-        right, left = part.filter(pc.equal(side, 0)), part.filter(pc.equal(side, 1))
-        if right.num_rows:
-            rights.append(right)
-        if left.num_rows and rights:
-            call = call or each(pa.Table.from_batches(rights).combine_chunks().to_batches()[0])
+        right, left = part.filter(pc.equal(part.column("side"), 0)), part.filter(pc.equal(part.column("side"), 1))
+        for z in right.column("z"):
+            rights += pa.ipc.open_stream(z.as_buffer())
+        if left.num_rows and (call or rights):
+            if not call:
+                call = each(pa.Table.from_batches(rights).combine_chunks().to_batches()[0])
+                rights = []
             for x in call(left):
                 if len(x[2]):
                     out.append(x)
                     waiting += len(x[2])
                     if waiting >= pairs:
-                        yield batch()
+                        yield made(out)
                         out, waiting = [], 0
     if out:
-        yield batch()
+        yield made(out)
+
+
+def _listed(value: str) -> Callable:
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]).astype("int32")
+        r = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[2] for x in out])))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([x[0] for x in out], dtype="int64")), pa.array(np.array([x[1] for x in out])), r], names=["l", value, "r"])
+
+    return made
 
 
-def in_cells(left: DataFrame, right: DataFrame, each: Callable, value: str, kind: str, rows: int = 500_000) -> DataFrame:
-    """(l, r, ``value``) of sides with an ``id`` and the same columns, each cell of the two in memory by itself. Of a left row only arrays
-    of ids leave Python, one a value; pairs are made from them at last and never shuffled."""
-    scratch = Scratch(left.sparkSession, "cells")
-    a, b, n = _numbered(scratch.write(left, "l"), scratch.write(right, "r"), rows, "id")
-    both = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(0))).repartitionById(n, F.col("_b").cast("int")).sortWithinPartitions("side", "id")
-    found = both.mapInArrow(lambda parts: _cells(parts, each, ("l", value, "r")), f"l long, {value} {kind}, r array<long>")
-    return found.select("l", F.explode("r").alias("r"), value)
+def in_cells(left: DataFrame, right: DataFrame, each: Callable, made: Callable, kinds: str, rows: int = 500_000) -> DataFrame:
+    """What ``made`` makes (columns ``kinds``) of the pairs that ``each`` finds, of sides with an ``id`` and the same columns: right rows are in slices of
+    about ``rows``, and each cell of a slice and a share of the left rows is in memory by itself. Right rows go to all cells of their slice in compressed batches."""
+    scratch, cores = Scratch(left.sparkSession, "cells"), left.sparkSession.sparkContext.defaultParallelism
+    a, b = scratch.write(left, "l"), scratch.write(right.mapInArrow(_packed, "n long, z binary"), "r")
+    across = max(1, -(-(b.agg(F.sum("n")).first()[0] or 0) // rows))
+    down = max(-(-2 * cores // across), -(-a.count() // rows), 1)
+    cell = lambda row, column: (row * across + column).cast("int")
+    a = a.select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("id"), F.lit(down)).alias("_row"))
+    a = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_column")).withColumn("_b", cell(F.col("_row"), F.col("_column")))
+    b = b.withColumn("_n", F.monotonically_increasing_id()).withColumn("_column", F.pmod(F.shiftright("_n", 33) + F.col("_n").bitwiseAND((1 << 33) - 1), F.lit(across)))
+    b = b.select("z", F.lit(0).alias("side"), "_column", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_row")).withColumn("_b", cell(F.col("_row"), F.col("_column")))
+    both = a.drop("_row", "_column").unionByName(b.drop("_row", "_column"), allowMissingColumns=True).repartitionById(down * across, "_b").sortWithinPartitions("side", "id")
+    return both.mapInArrow(lambda parts: _cells(parts, each, made), kinds)
 
 
 def _sharing(least: int) -> Callable:
@@ -200,7 +220,7 @@ def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1,
     """
     mine = F.filter(F.array_distinct(F.array_compact(tokens)), lambda t: F.length(t) >= shortest)
     l, r = (x.select(F.col(on).alias("id"), mine.alias("w")).filter(F.size("w") >= least) for x in (left, right))
-    return in_cells(l, r, _sharing(least), "n_keys", "long", rows)
+    return in_cells(l, r, _sharing(least), _listed("n_keys"), "l long, n_keys long, r array<long>", rows).select("l", F.explode("r").alias("r"), "n_keys")
 
 
 def near_days(day: Column, reach: int = 1) -> Column:

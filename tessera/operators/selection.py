@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from tessera.shared import Scratch, small
 
 
-def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float = 0.0, keep_close: bool = False, finish: int = 50_000) -> DataFrame:
+def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float = 0.0, keep_close: bool = False, finish: int = 50_000, once: bool = False) -> DataFrame:
     """Greedy matching of (l, r, score) with caps on both sides, as if pairs were taken one by one by falling score (ties by
     l, then r). A pair is taken unless its left or right row is full, or the gap rule of its right row's best
     pair forbids it: with ``gap`` a pair less than gap below the best is skipped; with ``keep_close`` one more than gap
@@ -22,11 +23,12 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
     of its rows can be decided, as all that it depends on is. Each round decides all such pairs, and drops all those that a full
     row or the best pair of their right row already rules out; the first of all undecided pairs is always decided, so
     the rounds come to an end. Once at most ``finish`` are left, one task takes them in order. Where the pairs of the best scores are at most
-    20 times ``finish``, one task takes those in order too, instead of a round: all others come after them. Null and NaN scores and
-    null ends are left out; of repeated (l, r) the best score counts.
+    60 times ``finish``, one task takes those in order too, instead of a round: all others come after them. Null and NaN scores and
+    null ends are left out; of repeated (l, r) the best score counts. ``once`` says that none is repeated, which spares a shuffle of all pairs.
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "greedy")
-    rows = pairs.filter("l is not null and r is not null and score is not null and not isnan(score)").groupBy("l", "r").agg(F.max("score").alias("score"))
+    rows = pairs.filter("l is not null and r is not null and score is not null and not isnan(score)")
+    rows = rows if once else rows.groupBy("l", "r").agg(F.max("score").alias("score"))
     zero = F.lit(0)
     left = scratch.write(rows.select("l", "r", "score", zero.alias("n_l"), zero.alias("n_r"), F.lit(None).cast("double").alias("best")), "open")
     order = [F.col("score").desc(), F.col("l"), F.col("r")]
@@ -39,28 +41,30 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         below = F.col("best") - F.col("score")
         return free & (F.col("best").isNull() | (below <= gap if keep_close else below >= gap))
 
-    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "l", "r"], ascending=[False, True, True], kind="stable")
-        n_l, n_r, best, out = {}, {}, {}, []
-        for l, r, s, a, b, top in zip(pdf["l"], pdf["r"], pdf["score"], pdf["n_l"], pdf["n_r"], pdf["best"]):
-            x, y = n_l.get(l, a), n_r.get(r, b)
-            if x >= cap_left or y >= cap_right:
-                continue
-            top = best.get(r, None if pd.isna(top) else top)
-            if gap and top is not None and (top - s > gap if keep_close else top - s < gap):
-                continue
-            n_l[l], n_r[r] = x + 1, y + 1
-            best.setdefault(r, s if top is None else top)
-            out.append((l, r, s))
-        return pd.DataFrame(out, columns=["l", "r", "score"])
+    def one_by_one(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_l, n_r, best = {}, {}, {}
+        for part in parts:
+            kept = []
+            for k, (l, r, s, a, b, top) in enumerate(zip(*(part.column(c).to_pylist() for c in ("l", "r", "score", "n_l", "n_r", "best")))):
+                x, y = n_l.get(l, a), n_r.get(r, b)
+                if x >= cap_left or y >= cap_right:
+                    continue
+                top = best.get(r, top)
+                if gap and top is not None and (top - s > gap if keep_close else top - s < gap):
+                    continue
+                n_l[l], n_r[r] = x + 1, y + 1
+                if gap:
+                    best.setdefault(r, s if top is None else top)
+                kept.append(k)
+            yield part.select(["l", "r", "score"]).take(pa.array(kept, pa.int64()))
 
     kinds = ", ".join(f"{c} {dict(left.dtypes)[c]}" for c in ("l", "r", "score"))
 
     def in_order(some: DataFrame) -> DataFrame:
-        return some.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one_by_one, kinds)
+        return some.repartition(1).sortWithinPartitions(*order).mapInArrow(one_by_one, kinds)
 
     def first_of(left: DataFrame) -> float | None:
-        """A score that 1 to 20 * ``finish`` pairs reach, if it is easily found."""
+        """A score that 1 to 60 * ``finish`` pairs reach, if it is easily found."""
         low, high = left.agg(F.min("score"), F.max("score")).first()
         if not finish or not math.isfinite(high - low):
             return None
@@ -69,7 +73,7 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
         edge, n = None, 0
         for r in counts:
             n += r.n
-            if n > 20 * finish:
+            if n > 60 * finish:
                 break
             edge = r.s
         return edge
@@ -85,8 +89,8 @@ def greedy_capped(pairs: DataFrame, cap_left: int, cap_right: int, gap: float =
             won = marked.filter("_yes")
             rest = marked.filter("not _now").drop("_a", "_b", "_now", "_yes")
         taken.append(won.select("l", "r", "score"))
-        by_l = small(scratch.write(won.groupBy("l").agg(F.count("*").cast("int").alias("_l")), "side"))
-        by_r = small(scratch.write(won.groupBy("r").agg(F.count("*").cast("int").alias("_r"), F.max("score").alias("_s")), "side"))
+        by_l = small(scratch.write(won.groupBy("l").agg(F.count("*").cast("int").alias("_l")), "side"), 1_000_000)
+        by_r = small(scratch.write(won.groupBy("r").agg(F.count("*").cast("int").alias("_r"), F.max("score").alias("_s")), "side"), 1_000_000)
         rest = rest.join(by_l, "l", "left").join(by_r, "r", "left")
         rest = rest.select("l", "r", "score", (F.col("n_l") + F.coalesce("_l", zero)).alias("n_l"), (F.col("n_r") + F.coalesce("_r", zero)).alias("n_r"), F.coalesce("best", "_s").alias("best"))
         before, left = left, scratch.write(rest.filter(fits()), "open")

@@ -11,8 +11,8 @@ from tessera.functions.text import fuzzy, jaccard, tokenize
 from tessera.operators import quotes as Q
 from tessera.operators import upsert as U
 from tessera.operators.rules import first_match, match_table
-from tessera.plans.overlap import simple_scored
-from tessera.plans.pipeline import Pipeline, run
+from tessera.plans.overlap import simple_run, simple_scored
+from tessera.plans.pipeline import Pipeline
 from tessera.queries.filters import _comparator_sql, _tokens_sql
 from tessera.queries.registry import NOW, now, query
 from tessera.shared import Scratch
@@ -398,7 +398,7 @@ def _(t):
 @query("e_pipeline")
 def _(t):
     """The whole pipeline over all markets: block, gate, score, and choose greedily under the caps of both sides."""
-    return run(simple(), *_sides(t))
+    return simple_run(simple(), *_sides(t))
 
 
 @query("st_ingest")

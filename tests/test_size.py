@@ -180,3 +180,44 @@ def test_e_scored_does_not_compare_pairs_far_apart(spark, tmp_path):
         assert entry.queries()["e_scored"](spark, f"{tmp_path}/{n}").count() == n
         took[n] = time.time() - began
     assert took[15_000] < took[100] + 10, took
+
+
+def test_e_pipeline_chooses_from_scores_made_in_memory(spark, tmp_path):
+    """The same choice as over all pairs that meet, with ids that occur twice; and 36 million pairs that share a word are not compared one by one."""
+    import time
+
+    import __spark_entry__ as entry
+    from tessera.plans.overlap import simple_run
+    from tessera.plans.pipeline import run
+    from tessera.queries.tables import simple
+
+    rnd = random.Random(12)
+    some = ["2026", "otters", "weekend", "opening", "zulek", *(f"name{i}" for i in range(12))]
+    cols = "id long, venue string, close_time timestamp_ntz, category string, tok array<string>"
+    side = lambda venue, ids: spark.createDataFrame([(k, venue, None, rnd.choice(["a", "b", None]), rnd.sample(some, rnd.randint(0, 5))) for k in ids], cols).withColumn("n", F.size("tok"))
+    for ids in (range(60), [*range(60), 7, 7, 8]):
+        l, r = side("kalshi", ids), side("polymarket", [k + 1_000 for k in ids])
+        want = sorted(map(tuple, run(simple(), l, r).collect()))
+        assert len(want) > 50
+        for rows in (600_000, 25):
+            assert sorted(map(tuple, simple_run(simple(), l, r, rows).collect())) == want
+    took = {}
+    for n in (100, 6_000):
+        m = spark.range(2 * n).select("id", F.when(F.col("id") % 2 == 0, "kalshi").otherwise("polymarket").alias("venue"), F.lit("c").alias("category"), F.timestamp_seconds(F.expr("id div 2") * 1_209_600).cast("timestamp_ntz").alias("close_time"))
+        m = m.withColumn("title", F.when(F.col("venue") == "kalshi", F.format_string("weekend opening of otters%d", F.col("id"))).otherwise(F.format_string("weekend rooks%d beat millers%d", F.col("id"), F.col("id"))))
+        m.write.parquet(f"{tmp_path}/{n}/markets.parquet")
+        began = time.time()
+        assert entry.queries()["e_pipeline"](spark, f"{tmp_path}/{n}").count() == n
+        took[n] = time.time() - began
+    assert took[6_000] < took[100] + 10, took
+
+
+def test_right_rows_go_to_cells_in_compressed_batches(spark, tmp_path):
+    """Every cell has all right rows of its slice: as rows of strings that was the most of what j_token_index wrote to disk."""
+    import __spark_entry__ as entry
+
+    title = F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "kalshi").otherwise("polymarket"), *[F.format_string("zulek%05d", F.col("id") * k % 9973) for k in (1, 3, 5, 7)])
+    m = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "kalshi").otherwise("polymarket").alias("venue"), title.alias("title"))
+    m.write.parquet(f"{tmp_path}/markets.parquet")
+    n, mb = shuffled(spark, lambda: entry.queries()["j_token_index"](spark, str(tmp_path)))
+    assert n > 10_000 and mb < 4, (n, mb)
