@@ -206,6 +206,60 @@ def _sharing(least: int) -> Callable:
     return each
 
 
+def _alike(masks: np.ndarray) -> np.ndarray:
+    """An order in which rows that have the same of the most frequent tokens are next to each other, the most frequent token first."""
+    bits = np.unpackbits(masks.view("uint8").reshape(-1, 8), axis=1, bitorder="little")
+    return np.argsort(np.packbits(bits, axis=1).view(">u8").ravel(), kind="stable")
+
+
+def _tiled(tile: int = 512, group: int = 2_000_000) -> Callable:
+    """All pairs that share a token, as arrays of right ids of one left row and number of tokens. Of a group of left rows with frequent tokens alike, those of a tile of
+    such right rows follow each other, so that the same ids come again within few thousand pairs and files of them are compressed well."""
+
+    def each(rights: pa.RecordBatch) -> Callable:
+        made = lambda: Postings(rights.column("id").to_numpy(), pa.ListArray.from_arrays(*_flat(rights.column("w"))))
+        rights = rights.take(pa.array(_alike(made().masks)))
+        p = made()
+        edges = np.arange(0, p.size + tile, tile)
+
+        def out(rows: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            rows.sort(key=lambda x: x[1])
+            base = np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])])
+            cuts = np.stack([np.searchsorted(x[2], edges) for x in rows]) + base[:-1, None]
+            starts, many = cuts[:, :-1].T.ravel(), np.diff(cuts, axis=1).T.ravel()
+            l, n = (np.tile(np.array([x[k] for x in rows], dtype="int64"), len(edges) - 1) for k in (0, 1))
+            some = np.flatnonzero(many)
+            starts, many = starts[some], many[some]
+            at = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(base[-1])
+            return l[some], n[some], p.ids[np.concatenate([x[2] for x in rows])[at]], many
+
+        def call(lefts: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            ids, codes = lefts.column("id").to_numpy(), p.codes(pa.ListArray.from_arrays(*_flat(lefts.column("w"))))
+            rows, waiting = [], 0
+            for k in _alike(np.array([np.bitwise_or.reduce(p.bit[mine], initial=np.uint64(0)) for mine in codes], dtype="uint64")):
+                if not len(codes[k]):
+                    continue
+                found, shared = p.sharing(codes[k], 1)
+                for n in range(int(shared.min()), int(shared.max()) + 1):
+                    rows.append((ids[k], n, found[shared == n]))
+                waiting += len(found)
+                if waiting >= group:
+                    yield out(rows)
+                    rows, waiting = [], 0
+            if rows:
+                yield out(rows)
+
+        return call
+
+    return each
+
+
+def _tiles(out: list[tuple]) -> pa.RecordBatch:
+    l, n, r, many = (np.concatenate([x[k] for x in out]) for k in range(4))
+    ends = np.concatenate([[0], np.cumsum(many)]).astype("int32")
+    return pa.RecordBatch.from_arrays([pa.array(l), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(r))], names=["l", "n_keys", "r"])
+
+
 def _flat(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     """Offsets from 0 and the values they are in, whatever the array is a slice of."""
     ends = lists.offsets.to_numpy()
@@ -220,7 +274,8 @@ def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: int = 1,
     """
     mine = F.filter(F.array_distinct(F.array_compact(tokens)), lambda t: F.length(t) >= shortest)
     l, r = (x.select(F.col(on).alias("id"), mine.alias("w")).filter(F.size("w") >= least) for x in (left, right))
-    return in_cells(l, r, _sharing(least), _listed("n_keys"), "l long, n_keys long, r array<long>", rows).select("l", F.explode("r").alias("r"), "n_keys")
+    each, made = (_tiled(), _tiles) if least == 1 else (_sharing(least), _listed("n_keys"))
+    return in_cells(l, r, each, made, "l long, n_keys long, r array<long>", rows).select("l", F.explode("r").alias("r"), "n_keys")
 
 
 def near_days(day: Column, reach: int = 1) -> Column:

@@ -221,3 +221,14 @@ def test_right_rows_go_to_cells_in_compressed_batches(spark, tmp_path):
     m.write.parquet(f"{tmp_path}/markets.parquet")
     n, mb = shuffled(spark, lambda: entry.queries()["j_token_index"](spark, str(tmp_path)))
     assert n > 10_000 and mb < 4, (n, mb)
+
+
+def test_j_token_index_is_written_in_little_space(spark, tmp_path):
+    """Pairs are more than any other result: the same right ids come again soon, so that a pair takes less than a byte of a file, not four."""
+    import __spark_entry__ as entry
+
+    m = spark.range(30_300).select("id", F.when(F.col("id") < 300, "kalshi").otherwise("polymarket").alias("venue"), F.format_string("otters beat rooks%d zulek%d", F.col("id") % 5, F.col("id")).alias("title"))
+    m.write.parquet(f"{tmp_path}/in/markets.parquet")
+    entry.queries()["j_token_index"](spark, f"{tmp_path}/in").write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 300 * 30_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 300 * 30_000
